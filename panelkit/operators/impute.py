@@ -11,6 +11,7 @@ from panelkit.functions.scalar import quoted
 from panelkit.operators.neighbours import knn_impute
 from panelkit.operators.quality import drop_incomplete_rows, drop_sparse_columns
 from panelkit.operators.quantiles import exact_quantiles
+from panelkit.session import settled
 
 
 def column_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
@@ -31,10 +32,12 @@ def fill(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
 
 
 def mean_impute(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
+    df = df if fit_on is not None else settled(df)
     return fill(df, column_means(df if fit_on is None else fit_on, columns))
 
 
 def median_impute(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
+    df = df if fit_on is not None else settled(df)
     return fill(df, column_medians(df if fit_on is None else fit_on, columns))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions.scalar import quoted
 from panelkit.operators.ranks import with_bucket
-from panelkit.session import materialise
+from panelkit.session import materialise, settled
 
 CELL_ROWS = 1024
 MAX_CELLS = 10_000
@@ -245,7 +245,7 @@ def _search(visits: DataFrame, placed: DataFrame, columns: Sequence[str], k: int
     loads = materialise(loads, "knn-loads")  # at most one row per cell
     left = visits.join(F.broadcast(loads), "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
     right = placed.join(F.broadcast(loads), "cell").withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).cast("long")
+        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1))
     )
     return left.drop("chunks").groupBy("cell", "chunk").cogroup(
         right.drop("chunks").groupBy("cell", "chunk")
@@ -263,6 +263,8 @@ def nearest_donors(
 ) -> DataFrame:
     """``row_id, feature, donor, rank, distance, value``: the k nearest donors of every missing cell."""
     columns, width = list(columns), len(columns)
+    if fit_on is None:
+        df = settled(df.select(row_id, *[quoted(c) for c in columns]), "knn-input")
     vectors = _vectors(df, row_id, columns)
     lacking = [F.col(f"v{i}").isNull() for i in range(width)]
     any_missing = lacking[0]
@@ -301,6 +303,8 @@ def knn_impute(
     ``scale`` divides the features by their deviation for the search only.
     """
     columns = list(columns)
+    if fit_on is None:
+        df = settled(df, "knn-input")
     base = df if fit_on is None else fit_on
     search, search_fit = df, fit_on
     deviations: dict[str, float] = {}

@@ -12,6 +12,7 @@ from pyspark.sql.types import NumericType
 
 from panelkit.functions.scalar import quoted
 from panelkit.operators.quantiles import exact_quantiles
+from panelkit.session import settled
 
 
 def numeric_columns(df: DataFrame, without: Sequence[str] = ()) -> list[str]:
@@ -57,6 +58,7 @@ def missing_shares(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
 def drop_sparse_columns(df: DataFrame, columns: Sequence[str], threshold: float = 0.6) -> tuple[DataFrame, list[str]]:
     """Drop the columns whose missing share is strictly above the threshold; also returns their names."""
+    df = settled(df)
     dropped = [c for c, share in missing_shares(df, columns).items() if share > threshold]
     return df.drop(*dropped), dropped
 
@@ -72,6 +74,7 @@ def _inside_all(df: DataFrame, conditions: Sequence[Column]) -> DataFrame:
 
 def iqr_filter(df: DataFrame, columns: Sequence[str], k: float = 3.0) -> DataFrame:
     """Keep rows whose columns all lie within k interquartile ranges of the quartiles."""
+    df = settled(df)
     bounds = exact_quantiles(df, columns, [0.25, 0.75]).get((), {})
     conditions = []
     for c in columns:
@@ -85,6 +88,7 @@ def iqr_filter(df: DataFrame, columns: Sequence[str], k: float = 3.0) -> DataFra
 
 def zscore_filter(df: DataFrame, columns: Sequence[str], k: float = 3.0) -> DataFrame:
     """Keep rows whose columns all have an absolute z-score (population deviation) below k."""
+    df = settled(df)
     row = df.agg(
         *[f(quoted(c)).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
     ).first()

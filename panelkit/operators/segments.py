@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions.scalar import right_closed
 from panelkit.operators.quantiles import exact_quantiles
-from panelkit.session import sized
+from panelkit.session import settled, sized
 
 QUARTILE_LABELS = ("Low", "Lower-Middle", "Upper-Middle", "High")
 MIN_SEGMENT_ROWS = 30
@@ -18,6 +18,7 @@ MIN_SEGMENT_ROWS = 30
 def quartile_segment(
     df: DataFrame, column: str, labels: Sequence[str] = QUARTILE_LABELS, name: str = "segment"
 ) -> DataFrame:
+    df = settled(df)
     edges = exact_quantiles(df, [column], [0.25, 0.5, 0.75]).get((), {}).get(column, [None])
     if edges[0] is None:
         return df.withColumn(name, F.lit(None).cast("string"))

@@ -62,3 +62,13 @@ def sized(df: DataFrame, label: str, limit: int = 10_000) -> DataFrame:
     if len(rows) <= limit:
         return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
     return materialise(df, label)
+
+
+def settled(df: DataFrame, label: str = "settled") -> DataFrame:
+    """``df`` itself when it is a scan with projections and filters, else a written copy.
+
+    For steps that read their input more than once: a join or aggregation below them runs only once.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    heavy = ("Join", "Aggregate", "Window", "Generate", "MapInPandas", "MapInArrow", "FlatMap", "Union", "Repartition")
+    return materialise(df, label) if any(word in plan for word in heavy) else df
