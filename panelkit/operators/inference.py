@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelkit.functions.probability import normal_two_sided, t_greater, t_two_sided
 from panelkit.functions.scalar import better_of, inverse_normal, pair_label, yes_no
 from panelkit.operators.ranks import average_ranks, positions, tied_rank
+from panelkit.session import settled
 
 
 def model_names(predictions: DataFrame) -> list[str]:
@@ -56,9 +57,14 @@ def paired_t(pairs: DataFrame) -> DataFrame:
     )
 
 
-def signed_ranks(pairs: DataFrame, edges: Sequence[float] | None = None) -> DataFrame:
-    """Tie-averaged ranks of the non-zero absolute differences with the number of positive ones per value."""
+def signed_ranks(pairs: DataFrame, edges: Sequence[float] | None = None, digits: int | None = None) -> DataFrame:
+    """Tie-averaged ranks of the non-zero absolute differences with the number of positive ones per value.
+
+    ``digits`` compares differences at that many decimals, so that ties do not hang on the last bits.
+    """
     d = F.col("error_a") - F.col("error_b")
+    if digits is not None:
+        d = F.round(d, digits)
     differences = pairs.select("model_a", "model_b", F.abs(d).alias("abs_diff"), (d > 0).alias("positive")).where(
         F.col("abs_diff") > 0
     )
@@ -67,10 +73,10 @@ def signed_ranks(pairs: DataFrame, edges: Sequence[float] | None = None) -> Data
     )
 
 
-def wilcoxon(pairs: DataFrame, edges: Sequence[float] | None = None) -> DataFrame:
+def wilcoxon(pairs: DataFrame, edges: Sequence[float] | None = None, digits: int | None = None) -> DataFrame:
     """Signed-rank test: smaller rank sum and its normal two-sided p-value with tie correction."""
     ties = F.col("ties").cast("double")
-    sums = signed_ranks(pairs, edges).groupBy("model_a", "model_b").agg(
+    sums = signed_ranks(pairs, edges, digits).groupBy("model_a", "model_b").agg(
         F.sum(F.col("rank") * F.col("positives")).alias("w_plus"),
         F.sum(F.col("rank") * (F.col("ties") - F.col("positives"))).alias("w_minus"),
         F.sum(ties).alias("m"), F.sum(ties * ties * ties - ties).alias("tie_term"),
@@ -84,10 +90,10 @@ def wilcoxon(pairs: DataFrame, edges: Sequence[float] | None = None) -> DataFram
     ).withColumn("w_p_value", normal_two_sided(F.col("z_statistic")))
 
 
-def model_comparison_tests(predictions: DataFrame, models: Sequence[str]) -> DataFrame:
+def model_comparison_tests(predictions: DataFrame, models: Sequence[str], digits: int | None = None) -> DataFrame:
     """Paired t and signed-rank results side by side, one row per model pair."""
-    pairs = paired_errors(predictions, models)
-    return paired_t(pairs).join(wilcoxon(pairs), ["model_a", "model_b"], "left").select(
+    pairs = settled(paired_errors(predictions, models), "paired-errors")
+    return paired_t(pairs).join(wilcoxon(pairs, digits=digits), ["model_a", "model_b"], "left").select(
         pair_label(F.col("model_a"), F.col("model_b")).alias("comparison"),
         "t_statistic", "p_value", yes_no(F.col("p_value") < 0.05).alias("significant"),
         better_of(F.col("t_statistic"), F.col("model_a"), F.col("model_b")).alias("better_model"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions.hashing import hash_bucket
 from panelkit.operators.importance import correlation_importance
-from panelkit.operators.splits import split_column
+from panelkit.operators.splits import fold_column, split_column
 from panelkit.session import materialise, sized
 
 FEATURES = ["n_items", "qty_avg", "tax_avg", "disc_avg", "price_avg", "bal", "total"]
@@ -23,6 +23,7 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 MODELS = ["m_const", "m_entity", "m_lin", "m_prod", "m_ym"]
 NULL_RATES = {"target": 10, "tax_avg": 70, "bal": 20, "qty_avg": 5, "disc_avg": 3}
 REPLICATES = 20
+FOLDS = 5
 BANDS = [(0, 1500, "0-1500"), (1500, 2500, "1500-2500"), (2500, 3500, "2500-3500"), (3500, None, "3500+")]
 
 _written: dict[tuple[str, str, str], DataFrame] = {}
@@ -150,6 +151,43 @@ def test_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(spark, sf_dir).where(F.col("split") == "test").drop("split")
 
 
+def cv_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold predictions of the train split: ``row_id, model, fold, label, prediction``."""
+
+    def build() -> DataFrame:
+        df = frame(spark, sf_dir).select("row_id", "entity", "price_avg", "disc_avg", "target")
+        df = df.where(split_column("row_id") == "train").withColumn("fold", fold_column("row_id"))
+        df = materialise(df, "fold-frame")
+        # five left-out fits as conditional aggregates of one pass
+        kept = lambda c, k: F.when(F.col("fold") != k, F.col(c))
+        fit = df.agg(*[
+            a.alias(f"{n}{k}") for k in range(FOLDS) for n, a in (
+                ("mean", F.avg(kept("target", k))),
+                ("slope", F.regr_slope(kept("target", k), kept("price_avg", k))),
+                ("intercept", F.regr_intercept(kept("target", k), kept("price_avg", k))),
+            )
+        ]).first()
+        entity = sized(df.groupBy("entity").agg(*[F.avg(kept("target", k)).alias(f"e{k}") for k in range(FOLDS)]), "fold-means")
+
+        def by_fold(make):
+            expr = F.when(F.col("fold") == 0, make(0))
+            for k in range(1, FOLDS):
+                expr = expr.when(F.col("fold") == k, make(k))
+            return expr
+
+        scored = {
+            "m_const": by_fold(lambda k: F.lit(fit[f"mean{k}"])),
+            "m_entity": by_fold(lambda k: F.col(f"e{k}")),
+            "m_lin": by_fold(lambda k: F.col("price_avg") * F.lit(fit[f"slope{k}"]) + F.lit(fit[f"intercept{k}"])),
+            "m_prod": F.col("price_avg") * F.col("disc_avg"),
+        }
+        pairs = F.array(*[F.struct(F.lit(m).alias("model"), c.alias("prediction")) for m, c in scored.items()])
+        return df.join(entity, "entity", "left").select("row_id", "fold", F.col("target").alias("label"), F.inline(pairs)).where(
+            F.col("prediction").isNotNull())
+
+    return written(spark, sf_dir, "cv-predictions", build)
+
+
 def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``model, replicate, feature, importance`` from squared correlations on hashed subsamples."""
 
@@ -170,7 +208,7 @@ def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(spark, sf_dir, "importances", build)
 
 
-def first_replicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def model_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One importance per model and feature: the mean over replicates."""
     return importances(spark, sf_dir).groupBy("model", "feature").agg(F.avg("importance").alias("importance"))
 
@@ -238,6 +276,19 @@ CTES: dict[str, tuple[list[str], str]] = {
         f"SELECT row_id, '{m}' AS model, split, label, {m} AS prediction FROM wide_predictions WHERE {m} IS NOT NULL"
         for m in MODELS)),
     "test_predictions": (["predictions"], "SELECT row_id, model, label, prediction, label - prediction AS e FROM predictions WHERE split = 'test'"),
+    "fold_frame": (["split_frame"], f"""
+        SELECT *, CAST({sql_bucket('row_id', 'fold42', 5)} AS INTEGER) AS fold FROM split_frame WHERE split = 'train'"""),
+    "fold_fits": (["fold_frame"], """
+        SELECT CAST(k AS INTEGER) AS k, avg(target) AS m, regr_slope(target, price_avg) AS s, regr_intercept(target, price_avg) AS i
+        FROM fold_frame JOIN (SELECT unnest(range(5)) AS k) ON fold <> k GROUP BY 1"""),
+    "fold_means": (["fold_frame"], """
+        SELECT CAST(k AS INTEGER) AS k, entity, avg(target) AS m
+        FROM fold_frame JOIN (SELECT unnest(range(5)) AS k) ON fold <> k GROUP BY 1, 2"""),
+    "cv_predictions": (["fold_fits", "fold_means"], """
+        SELECT row_id, 'm_const' AS model, fold, target AS label, m AS prediction FROM fold_frame JOIN fold_fits ON k = fold
+        UNION ALL SELECT row_id, 'm_lin', fold, target, price_avg * s + i FROM fold_frame JOIN fold_fits ON k = fold
+        UNION ALL SELECT row_id, 'm_prod', fold, target, price_avg * disc_avg FROM fold_frame
+        UNION ALL SELECT row_id, 'm_entity', fold, target, m FROM fold_frame f JOIN fold_means x ON x.k = f.fold AND x.entity = f.entity"""),
     "sample_rows": (["frame"], f"""
         SELECT m.model, r.replicate, {', '.join(FEATURES)}, target
         FROM frame
@@ -258,6 +309,61 @@ CTES: dict[str, tuple[list[str], str]] = {
 }
 
 
+def metric_columns(label: str = "label", prediction: str = "prediction") -> str:
+    e = f"({label} - {prediction})"
+    return (f"count(*) AS n, sqrt(avg({e} * {e})) AS rmse, avg(abs({e})) AS mae, "
+            f"1 - sum({e} * {e}) / nullif(var_pop({label}) * count(*), 0) AS r2")
+
+
+CTES.update({
+    "metrics": (["predictions"], f"SELECT model, split, {metric_columns()} FROM predictions GROUP BY 1, 2"),
+    "fold_metrics": (["cv_predictions"], """
+        SELECT model, fold, avg((label - prediction) * (label - prediction)) AS mse,
+               sqrt(avg((label - prediction) * (label - prediction))) AS rmse, avg(abs(label - prediction)) AS mae,
+               1 - sum((label - prediction) * (label - prediction)) / nullif(var_pop(label) * count(*), 0) AS r2
+        FROM cv_predictions GROUP BY 1, 2"""),
+    "cv_summary": (["fold_metrics"], """
+        SELECT model, sqrt(avg(mse)) AS cv_rmse_mean, stddev_pop(rmse) AS cv_rmse_std, avg(mae) AS cv_mae_mean,
+               stddev_pop(mae) AS cv_mae_std, avg(r2) AS cv_r2_mean, stddev_pop(r2) AS cv_r2_std
+        FROM fold_metrics GROUP BY 1"""),
+    "extended": (["predictions"], f"""
+        SELECT model, split, {metric_columns()}, avg(e2.a / nullif(abs(label), 0)) * 100 AS mape,
+               1 - var_pop(e2.e) / nullif(var_pop(label), 0) AS explained_variance, max(e2.a) AS max_error,
+               avg(e2.e) AS residual_mean, stddev_pop(e2.e) AS residual_std,
+               (avg(pow(e2.e, 3)) - 3 * avg(e2.e) * avg(pow(e2.e, 2)) + 2 * pow(avg(e2.e), 3)) / pow(stddev_pop(e2.e), 3) AS residual_skewness,
+               kurtosis_pop(e2.e) AS residual_kurtosis, median(e2.a) AS median_abs_error
+        FROM (SELECT *, {{'e': label - prediction, 'a': abs(label - prediction)}} AS e2 FROM predictions) GROUP BY 1, 2"""),
+    "pairs": (["test_predictions"], """
+        SELECT a.row_id, a.model AS model_a, b.model AS model_b, abs(a.e) AS error_a, abs(b.e) AS error_b
+        FROM test_predictions a JOIN test_predictions b ON a.row_id = b.row_id AND a.model < b.model"""),
+    "t_tests": (["pairs"], """
+        SELECT model_a, model_b, count(*) AS n,
+               avg(error_a - error_b) * sqrt(count(*) - 1) / nullif(stddev_pop(error_a - error_b), 0) AS t_statistic
+        FROM pairs GROUP BY 1, 2"""),
+    "signed": (["pairs"], """
+        SELECT model_a, model_b, abs(d) AS abs_diff, d > 0 AS positive,
+               rank() OVER (PARTITION BY model_a, model_b ORDER BY abs(d))
+               + (count(*) OVER (PARTITION BY model_a, model_b, abs(d)) - 1) / 2.0::DOUBLE AS rank
+        FROM (SELECT model_a, model_b, ROUND(error_a - error_b, 6) AS d FROM pairs) WHERE d <> 0"""),
+    "wilcoxon": (["signed"], """
+        SELECT model_a, model_b, least(sum(CASE WHEN positive THEN rank ELSE 0 END), sum(CASE WHEN positive THEN 0 ELSE rank END)) AS w_statistic,
+               count(*) AS n_nonzero FROM signed GROUP BY 1, 2"""),
+    "bootstrap": (["importances"], """
+        SELECT model, feature, avg(importance) AS mean_importance, stddev_pop(importance) AS std_importance,
+               quantile_cont(importance, 0.025) AS ci_lower, quantile_cont(importance, 0.975) AS ci_upper,
+               quantile_cont(importance, 0.975) - quantile_cont(importance, 0.025) AS ci_width,
+               CASE WHEN avg(importance) > 0 THEN stddev_pop(importance) / avg(importance) END AS cv
+        FROM importances GROUP BY 1, 2"""),
+    "feature_ranks": (["model_importances"], """
+        SELECT model, feature, importance, rank() OVER (PARTITION BY model ORDER BY importance)
+               + (count(*) OVER (PARTITION BY model, importance) - 1) / 2.0::DOUBLE AS rank FROM model_importances"""),
+    "spearman": (["feature_ranks"], """
+        SELECT a.model AS model_a, b.model AS model_b, count(*) AS n,
+               CASE WHEN a.model = b.model THEN 1.0::DOUBLE ELSE corr(a.rank, b.rank) END AS rho
+        FROM feature_ranks a JOIN feature_ranks b ON a.feature = b.feature GROUP BY 1, 2"""),
+})
+
+
 def with_sql(names: str | list[str], body: str, **extra: str) -> str:
     """``WITH`` the named relations and everything they need, then ``body``."""
     order: list[str] = []
