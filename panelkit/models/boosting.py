@@ -6,9 +6,10 @@ costs one job for one model or for a hundred. A job sums the gradient histograms
 and returns one best split each; the trees, not the rows, reach the driver. Published formulas: gain
 1/2 [T(GL)^2/(HL+l) + T(GR)^2/(HR+l) - T(G)^2/(H+l)] with the L1 soft threshold T, leaf value -T(G)/(H+l).
 
-Gradients are summed as scaled integers, so a result does not depend on partitioning or merge order. Margins of
-finished trees are folded into the cached blocks every few trees; the blocks themselves lie in the shared folder,
-and the lineage is checkpointed, so lost executors cost a recomputation and nothing else.
+Gradients are summed as scaled integers, so a result does not depend on partitioning or merge order. A finished
+tree is folded into the margins by the next tree's first job, which caches the new blocks as it goes. The first
+blocks lie in the shared folder and the lineage is checkpointed, so lost executors cost a recomputation and nothing
+else.
 """
 
 from __future__ import annotations
@@ -27,8 +28,7 @@ from panelkit.functions.scalar import quoted
 from panelkit.session import materialise, settled, work_folder
 
 BLOCK_ROWS = 65_536
-FOLD_EVERY = 10
-CHECKPOINT_EVERY = 50
+CHECKPOINT_EVERY = 25
 DRIVER_MERGE_BYTES = 32 * 1024 * 1024
 
 
@@ -158,16 +158,7 @@ def best_split(histogram: np.ndarray, scale: float, params: BoostParams, mask: n
     return float(best), int(feature), int(cut), float(low * rate), float(high * rate)
 
 
-def _margins(block: dict, model: int, rows: np.ndarray, pending: Sequence[Sequence[tuple]]) -> np.ndarray:
-    margin = block["f"][rows, model].copy()
-    bins = block["x"][rows]
-    for trees in pending:
-        if trees[model] is not None:
-            margin += trees[model][4][_descend(bins, trees[model])]
-    return margin
-
-
-def _level(blocks, open_slots, current, pending, params, tree_no, scale, bins):
+def _level(blocks, open_slots, current, params, tree_no, scale, bins):
     """Histograms of all open nodes of one partition: ``((model, node), features x bins x 2)``."""
     found: dict[tuple[int, int], np.ndarray] = {}
     for block in blocks:
@@ -188,7 +179,7 @@ def _level(blocks, open_slots, current, pending, params, tree_no, scale, bins):
             if not len(rows):
                 continue
             weight = weight[rows].astype(float)
-            gradient = np.rint((_margins(block, model, rows, pending) - block["y"][rows]) * scale) * weight
+            gradient = np.rint((block["f"][rows, model] - block["y"][rows]) * scale) * weight
             count = int(slots.max()) + 1
             part = np.empty((count, width, bins, 2), np.int64)
             for f in range(width):
@@ -202,12 +193,11 @@ def _level(blocks, open_slots, current, pending, params, tree_no, scale, bins):
     return iter(found.items())
 
 
-def _fold(block: dict, pending: Sequence[Sequence[tuple]]) -> dict:
+def _fold(block: dict, trees: dict[int, tuple]) -> dict:
+    """Add one finished tree per model to the margins."""
     margins = block["f"].copy()
-    for trees in pending:
-        for model, tree in enumerate(trees):
-            if tree is not None:
-                margins[:, model] += tree[4][_descend(block["x"], tree)]
+    for model, tree in trees.items():
+        margins[:, model] += tree[4][_descend(block["x"], tree)]
     return {**block, "f": margins}
 
 
@@ -442,18 +432,21 @@ class _Trainer:
                 "f": np.tile(base, (row["n"], 1)),
             }
 
+        # the code and the settings go out once; a level's closure holds only its open nodes and trees
+        self.level = self.context.broadcast((_level, params, _fold))
+        self.before, self.folder = None, work_folder(spark)
         self.blocks = blocks.rdd.map(load).persist(StorageLevel.MEMORY_AND_DISK)
         self.parts = self.blocks.getNumPartitions()
 
-    def histograms(self, open_slots, current, pending, tree_no):
-        params, scale, bins = self.params, self.scale, self.bins
+    def histograms(self, open_slots, current, tree_no):
+        level, scale, bins = self.level, self.scale, self.bins
         return self.blocks.mapPartitions(
-            lambda blocks: _level(blocks, open_slots, current, pending, params, tree_no, scale, bins))
+            lambda blocks: level.value[0](blocks, open_slots, current, level.value[1], tree_no, scale, bins))
 
-    def best(self, open_slots, current, pending, tree_no) -> dict[tuple[int, int], tuple]:
+    def best(self, open_slots, current, tree_no) -> dict[tuple[int, int], tuple]:
         params, scale, width = self.params, self.scale, len(self.features)
         masks = {m: _column_mask(width, params[m], tree_no) for m in open_slots}
-        parts = self.histograms(open_slots, current, pending, tree_no)
+        parts = self.histograms(open_slots, current, tree_no)
         keys = sum(int((s >= 0).sum()) for s in open_slots.values())
         if self.parts * keys * width * self.bins * 16 <= DRIVER_MERGE_BYTES:
             merged: dict[tuple[int, int], np.ndarray] = {}
@@ -466,23 +459,25 @@ class _Trainer:
                 lambda kv: (kv[0], best_split(kv[1], scale, params[kv[0][0]], masks[kv[0][0]]))).collect())
         return {k: v for k, v in found.items() if v is not None}
 
-    def fold(self, pending, checkpoint: bool) -> None:
-        before = self.blocks
-        self.blocks = before.map(lambda block: _fold(block, pending)).persist(StorageLevel.MEMORY_AND_DISK)
+    def fold(self, trees: dict[int, tuple], checkpoint: bool) -> None:
+        """Queue the margin update; the next job computes and caches it."""
+        self.release()
+        level, self.before = self.level, self.blocks
+        self.blocks = self.before.map(lambda block: level.value[2](block, trees)).persist(StorageLevel.MEMORY_AND_DISK)
         if checkpoint:
-            self.context.setCheckpointDir(f"{work_folder_of(self.context)}/panelkit/checkpoints")
+            self.context.setCheckpointDir(f"{self.folder}/panelkit/checkpoints")
             self.blocks.checkpoint()
-        self.blocks.count()
-        before.unpersist()
+
+    def release(self) -> None:
+        """Drop the blocks of the tree before last, which no later job reads."""
+        if self.before is not None:
+            self.before.unpersist()
+            self.before = None
 
     def close(self) -> None:
+        self.release()
         self.blocks.unpersist()
-
-
-def work_folder_of(context) -> str:
-    from pyspark.sql import SparkSession
-
-    return work_folder(SparkSession.builder.getOrCreate())
+        self.level.unpersist()
 
 
 def fit_boosted(
@@ -504,24 +499,19 @@ def fit_boosted(
     settings = [params or BoostParams()] if params is None or isinstance(params, BoostParams) else list(params)
     trainer = _Trainer(df, key, features, label, weights, settings, edges, max_bins, block_rows)
     done: list[list[_Tree]] = [[] for _ in settings]
-    pending: list[list[tuple | None]] = []
     rounds = max(p.n_estimators for p in settings)
     for number in range(rounds):
         growing = {m: _Tree() for m, p in enumerate(settings) if number < p.n_estimators}
-        _grow(trainer, growing, settings, pending, number)
-        packed: list[tuple | None] = [None] * len(settings)
+        _grow(trainer, growing, settings, number)
         for m, tree in growing.items():
             done[m].append(tree)
-            packed[m] = tree.packed()
-        pending.append(packed)
-        if len(pending) == FOLD_EVERY and number + 1 < rounds:
-            trainer.fold(pending, (number + 1) % CHECKPOINT_EVERY == 0)
-            pending = []
+        if number + 1 < rounds:
+            trainer.fold({m: t.packed() for m, t in growing.items()}, (number + 1) % CHECKPOINT_EVERY == 0)
     trainer.close()
     return BoostedModels(features, trainer.edges, trainer.base, done, settings)
 
 
-def _grow(trainer: _Trainer, growing: dict[int, _Tree], settings, pending, number: int) -> None:
+def _grow(trainer: _Trainer, growing: dict[int, _Tree], settings, number: int) -> None:
     """Grow one tree per model, all models level by level in the same jobs."""
     frontier = {m: [0] for m in growing}
     while True:
@@ -533,7 +523,7 @@ def _grow(trainer: _Trainer, growing: dict[int, _Tree], settings, pending, numbe
                 open_slots[m], current[m] = slots, growing[m].packed()
         if not open_slots:
             break
-        found = trainer.best(open_slots, current, pending, number)
+        found = trainer.best(open_slots, current, number)
         for m in open_slots:
             tree, setting = growing[m], settings[m]
             for node in frontier[m]:
@@ -555,7 +545,7 @@ def level_histogram(
     """Root histogram of the first tree: ``feature, bin, gradient, weight``."""
     trainer = _Trainer(df, key, features, label, None, [BoostParams()], edges, 64, BLOCK_ROWS)
     names, scale = list(features), trainer.scale
-    parts = trainer.histograms({0: np.zeros(1, np.int32)}, {0: _Tree().packed()}, [], 0).reduceByKey(lambda a, b: a + b)
+    parts = trainer.histograms({0: np.zeros(1, np.int32)}, {0: _Tree().packed()}, 0).reduceByKey(lambda a, b: a + b)
     cells = parts.flatMap(lambda kv: [
         (names[f], int(b), float(kv[1][f, b, 0] / scale), int(kv[1][f, b, 1]))
         for f in range(kv[1].shape[0]) for b in range(kv[1].shape[1]) if kv[1][f, b, 1]

@@ -21,6 +21,7 @@ def build_session(master: str | None = None, app_name: str = "panelkit", **conf:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.unix.domain.socket.enabled": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
