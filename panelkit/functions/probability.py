@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -55,17 +56,17 @@ def _apply(function, t: pd.Series, df: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _two_sided_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return _apply(_t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _greater_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return _apply(student_tail, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _erfc_udf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: np.nan if pd.isna(v) else math.erfc(v)).astype("float64")
 

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from panelkit.functions.scalar import quoted
 from panelkit.session import materialise, settled, work_folder
@@ -271,7 +272,7 @@ class BoostedModels:
                 out += tree[4][_descend(bins, tree)]
             return out
 
-        @F.pandas_udf("double")
+        @F.pandas_udf(DoubleType())
         def score(values: pd.DataFrame) -> pd.Series:
             names = [c for c in values.columns if c != "model"]
             bins = bin_rows(values[names].to_numpy(dtype=float), edges)
@@ -409,14 +410,17 @@ class _Trainer:
         self.rows = facts["n"]
         if not self.rows:
             raise ValueError("no rows with a label to train on")
-        self.base = [(facts[f"s{m}"] or 0.0) / facts[f"n{m}"] if facts[f"n{m}"] else 0.0 for m in range(models)]
+        means = [(facts[f"s{m}"] or 0.0) / facts[f"n{m}"] if facts[f"n{m}"] else 0.0 for m in range(models)]
+        # ten digits: the last bits of a distributed sum depend on its order
+        self.base = [float(f"{mean:.10g}") for mean in means]
         heaviest = max(1, max(facts[f"n{m}"] or 0 for m in range(models)))
         self.edges = edges if edges is not None else quantile_edges(
             rows.select(*[F.col(f"x{i}").alias(c) for i, c in enumerate(features)]), features, max_bins)
         self.bins = max(len(e) for e in self.edges) + 1
         # the widest gradient takes 2^bits; block sums stay exact in a double, total sums in 63 bits
+        block_rows = min(block_rows, BLOCK_ROWS)
         size = min(block_rows, max(4096, 8 * block_rows // max(8, models)))
-        bits = min(52 - math.ceil(math.log2(size)) - 4, 60 - math.ceil(math.log2(heaviest)) - 1)
+        bits = min(52 - math.ceil(math.log2(BLOCK_ROWS)) - 4, 60 - math.ceil(math.log2(heaviest)) - 1)
         self.scale = 2.0 ** (bits - math.ceil(math.log2(max(facts["hi"] - facts["lo"], 1e-300))))
         count = max(1, math.ceil(self.rows / size))
         packed = rows.repartition(count, "k").mapInPandas(

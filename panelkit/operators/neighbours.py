@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions.scalar import quoted
 from panelkit.operators.ranks import with_bucket
-from panelkit.session import materialise, settled
+from panelkit.session import materialise, settled, sized
 
 CELL_ROWS = 1024
 MAX_CELLS = 10_000
@@ -242,9 +242,9 @@ def _search(visits: DataFrame, placed: DataFrame, columns: Sequence[str], k: int
     loads = visits.groupBy("cell").count().select(
         "cell", F.ceil(F.col("count") / F.lit(chunk_rows)).cast("int").alias("chunks")
     )
-    loads = materialise(loads, "knn-loads")  # at most one row per cell
-    left = visits.join(F.broadcast(loads), "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
-    right = placed.join(F.broadcast(loads), "cell").withColumn(
+    loads = sized(loads, "knn-loads", MAX_CELLS * MAX_PATTERNS)  # one row per cell
+    left = visits.join(loads, "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    right = placed.join(loads, "cell").withColumn(
         "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1))
     )
     return left.drop("chunks").groupBy("cell", "chunk").cogroup(
@@ -271,7 +271,7 @@ def nearest_donors(
     all_missing = lacking[0]
     for c in lacking[1:]:
         any_missing, all_missing = any_missing | c, all_missing & c
-    receivers = materialise(vectors.where(any_missing), "knn-receivers")
+    receivers = vectors.where(any_missing)
     donors = _vectors(df if fit_on is None else fit_on, row_id, columns).where(~all_missing)
     folded = materialise(_fold_copies(donors, width, k), "knn-donors")
     placed = materialise(_with_cells(folded, width, cell_rows), "knn-cells")

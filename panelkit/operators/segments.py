@@ -41,11 +41,13 @@ def lookup_segment(
 def unmatched_keys(df: DataFrame, key: str, dimension: DataFrame, first: int = 10) -> DataFrame:
     """How often, and for which keys, the lookup fails: total rows, the first keys and how many keys remain."""
     code = dimension.columns[0]
-    missing = df.groupBy(key).count().join(dimension.select(F.col(code).alias(key)), key, "left_anti")
-    totals = missing.agg(F.sum("count").alias("unmatched_rows"), F.count(F.lit(1)).alias("unmatched_keys"))
-    listed = missing.orderBy(key).limit(first).agg(F.array_join(F.sort_array(F.collect_list(key)), ",").alias("first_keys"))
-    return totals.crossJoin(listed).select(
-        F.coalesce("unmatched_rows", F.lit(0)).cast("long").alias("unmatched_rows"), "unmatched_keys", "first_keys",
+    missing = settled(df.groupBy(key).count().join(dimension.select(F.col(code).alias(key)), key, "left_anti"), "unmatched-keys")
+    listed = [r[key] for r in missing.orderBy(key).limit(first).collect()]
+    return missing.agg(
+        F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("unmatched_rows"),
+        F.count(F.lit(1)).alias("unmatched_keys"),
+    ).select(
+        "unmatched_rows", "unmatched_keys", F.lit(",".join(str(k) for k in listed)).alias("first_keys"),
         F.greatest(F.col("unmatched_keys") - F.lit(first), F.lit(0)).cast("long").alias("more_keys"),
     )
 
