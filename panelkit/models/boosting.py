@@ -469,7 +469,7 @@ class _Trainer:
         level, self.before = self.level, self.blocks
         self.blocks = self.before.map(lambda block: level.value[2](block, trees)).persist(StorageLevel.MEMORY_AND_DISK)
         if checkpoint:
-            self.context.setCheckpointDir(f"{self.folder}/panelkit/checkpoints")
+            self.context.setCheckpointDir(f"{self.folder}/panelkit/{self.context.applicationId}/checkpoints")
             self.blocks.checkpoint()
 
     def release(self) -> None:

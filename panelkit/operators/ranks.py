@@ -14,6 +14,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelkit.session import settled
+
 ROWS_PER_BUCKET = 1_000_000
 MIN_BUCKETS = 16
 
@@ -64,6 +66,7 @@ def average_ranks(
         F.count(F.lit(1)).alias("ties"), *[c.alias(n) for n, c in extra.items()]
     )
     if edges is None:
+        distinct = settled(distinct, "distinct-values")
         edges = value_bounds(distinct, value)
     placed = with_bucket(distinct, value, edges)
     sizes = placed.groupBy(*keys, "bucket").agg(F.sum("ties").alias("size"))
@@ -83,6 +86,7 @@ def positions(
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull())
     if edges is None:
+        rows = settled(rows, "ordered-rows")
         edges = value_bounds(rows, value)
     placed = with_bucket(rows, value, edges)
     alone = single_value_buckets(edges)

@@ -155,9 +155,10 @@ def cv_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold predictions of the train split: ``row_id, model, fold, label, prediction``."""
 
     def build() -> DataFrame:
-        df = frame(spark, sf_dir).select("row_id", "entity", "price_avg", "disc_avg", "target")
-        df = df.where(split_column("row_id") == "train").withColumn("fold", fold_column("row_id"))
-        df = materialise(df, "fold-frame")
+        # the split is filtered on the written relation: on the frame it would be pushed under the joins, to every line
+        df = materialise(frame(spark, sf_dir).select("row_id", "entity", "price_avg", "disc_avg", "target").withColumns(
+            {"split": split_column("row_id"), "fold": fold_column("row_id")}), "fold-frame")
+        df = df.where(F.col("split") == "train").drop("split")
         # five left-out fits as conditional aggregates of one pass
         kept = lambda c, k: F.when(F.col("fold") != k, F.col(c))
         fit = df.agg(*[
@@ -192,7 +193,8 @@ def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``model, replicate, feature, importance`` from squared correlations on hashed subsamples."""
 
     def build() -> DataFrame:
-        df = frame(spark, sf_dir)
+        # written first: the hashes below would otherwise be pushed under the joins and run per line
+        df = materialise(frame(spark, sf_dir).select("row_id", "year", "month", *FEATURES, "target"), "frame")
         models = F.array(
             F.when(F.col("year") % 2 == 0, "even_year").otherwise("odd_year"),
             F.when(F.col("month") <= 6, "first_half").otherwise("second_half"),
@@ -200,8 +202,8 @@ def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
         chosen = F.array_compact(F.array(*[
             F.when(hash_bucket(F.col("row_id"), str(r)) < 80, F.lit(r)) for r in range(REPLICATES)
         ]))
-        rows = df.select(*FEATURES, "target", F.explode(models).alias("model"), chosen.alias("chosen")).select(
-            *FEATURES, "target", "model", F.explode("chosen").alias("replicate")
+        rows = df.select(*FEATURES, "target", models.alias("models"), F.explode(chosen).alias("replicate")).select(
+            *FEATURES, "target", F.explode("models").alias("model"), "replicate"
         )
         return correlation_importance(rows, FEATURES, "target", ["model", "replicate"])
 

@@ -179,6 +179,19 @@ def result_reuse(spark, sf_dir):
     return reuse(spark, folder, data, {"by": "entity"}, lambda: data.where(F.lit(False)).groupBy("entity").agg(F.count(F.lit(1)).alias("n")))
 
 
+@query("u4_consistency_check", "SELECT count(*) AS rows, true AS same, false AS same_after_change FROM orders")
+def consistency_check(spark, sf_dir):
+    from panelkit.plans.reuse import check_unchanged, fingerprint_text
+
+    orders = B.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    stored = fingerprint_text(orders)
+    shuffled = orders.orderBy(F.desc("o_totalprice"))
+    changed = orders.withColumn("o_custkey", F.col("o_custkey") + F.lit(1))
+    return orders.agg(F.count(F.lit(1)).alias("rows")).select(
+        "rows", F.lit(check_unchanged(shuffled, stored, False)).alias("same"),
+        F.lit(check_unchanged(changed, stored, False)).alias("same_after_change"))
+
+
 def _bundle(spark, sf_dir) -> str:
     path = fresh_path(spark, "bundle")
     models = {k: fitted(spark, sf_dir, k) for k in ("decision_tree", "lightgbm")}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -39,11 +41,21 @@ def work_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_folders.setdefault(context.applicationId, tempfile.mkdtemp(prefix="panelkit-"))
+    if context.applicationId not in _local_folders:
+        made = tempfile.mkdtemp(prefix="panelkit-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _local_folders[context.applicationId] = made
+    return _local_folders[context.applicationId]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{work_folder(spark)}/panelkit/{label}-{uuid.uuid4().hex}"
+    return f"{work_folder(spark)}/panelkit/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete what this application wrote to the work folder; call it when no relation built on it is needed any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{work_folder(spark)}/panelkit/{spark.sparkContext.applicationId}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
