@@ -97,15 +97,11 @@ def positions(
     offsets = sizes.select(*keys, "bucket", "part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
     inside = Window.partitionBy(*keys, "bucket", "part").orderBy(value, F.xxhash64(tie), tie)
     local = placed.withColumn("local", F.row_number().over(inside))
-    return local.join(F.broadcast(offsets) if _few(edges) else offsets, [*keys, "bucket", "part"]).select(
+    return local.join(offsets, [*keys, "bucket", "part"]).select(
         *df.columns, (F.col("offset") + F.col("local")).cast("long").alias(name)
     )
 
 
-def _few(edges: Sequence[float]) -> bool:
-    return len(edges) <= 4096
-
-
 def hash_positions(df: DataFrame, keys: Sequence[str], digest: str, name: str = "position") -> DataFrame:
     """Positions 1..n ordered by a hex digest column; digests are uniform, so their prefix is the bucket."""
     keys = list(keys)
