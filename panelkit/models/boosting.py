@@ -15,12 +15,13 @@ else.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -437,15 +438,19 @@ class _Trainer:
             }
 
         # the code and the settings go out once; a level's closure holds only its open nodes and trees
-        self.level = self.context.broadcast((_level, params, _fold))
+        self.level = self.context.broadcast(cloudpickle.dumps((_level, params, _fold)))
         self.before, self.folder = None, work_folder(spark)
         self.blocks = blocks.rdd.map(load).persist(StorageLevel.MEMORY_AND_DISK)
         self.parts = self.blocks.getNumPartitions()
 
     def histograms(self, open_slots, current, tree_no):
         level, scale, bins = self.level, self.scale, self.bins
-        return self.blocks.mapPartitions(
-            lambda blocks: level.value[0](blocks, open_slots, current, level.value[1], tree_no, scale, bins))
+
+        def run(blocks):
+            code, params, _ = pickle.loads(level.value)
+            return code(blocks, open_slots, current, params, tree_no, scale, bins)
+
+        return self.blocks.mapPartitions(run)
 
     def best(self, open_slots, current, tree_no) -> dict[tuple[int, int], tuple]:
         params, scale, width = self.params, self.scale, len(self.features)
@@ -467,9 +472,15 @@ class _Trainer:
         """Queue the margin update; the next job computes and caches it."""
         self.release()
         level, self.before = self.level, self.blocks
-        self.blocks = self.before.map(lambda block: level.value[2](block, trees)).persist(StorageLevel.MEMORY_AND_DISK)
+
+        def run(blocks):
+            code = pickle.loads(level.value)[2]
+            return (code(block, trees) for block in blocks)
+
+        self.blocks = self.before.mapPartitions(run, True).persist(StorageLevel.MEMORY_AND_DISK)
         if checkpoint:
-            self.context.setCheckpointDir(f"{self.folder}/panelkit/{self.context.applicationId}/checkpoints")
+            if self.context.getCheckpointDir() is None:
+                self.context.setCheckpointDir(f"{self.folder}/panelkit/{self.context.applicationId}/checkpoints")
             self.blocks.checkpoint()
 
     def release(self) -> None:
@@ -556,6 +567,3 @@ def level_histogram(
     ])
     return df.sparkSession.createDataFrame(cells, "feature string, bin int, gradient double, weight long")
 
-
-def with_seed(params: BoostParams, seed: int) -> BoostParams:
-    return replace(params, seed=seed)
