@@ -48,8 +48,8 @@ def _fold_copies(donors: DataFrame, width: int, k: int) -> DataFrame:
     return donors.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k).drop("copy")
 
 
-def _with_cells(donors: DataFrame, width: int, cell_rows: int) -> DataFrame:
-    """Add ``cell``: null pattern, a grid over the widest-spread features, and a hash part for crowded spots."""
+def _spot(donors: DataFrame, width: int, cell_rows: int) -> tuple[DataFrame, int]:
+    """Add ``spot``: null pattern and a grid over the widest-spread features; also returns the rows per cell."""
     names = [f"v{i}" for i in range(width)]
     facts = donors.agg(
         F.count(F.lit(1)).alias("rows"), *[F.var_pop(n).alias(n) for n in names],
@@ -79,13 +79,18 @@ def _with_cells(donors: DataFrame, width: int, cell_rows: int) -> DataFrame:
             placed = with_bucket(placed, name, sorted(set(found[stride - 1 :: stride])), f"axis{axis}")
             parts.append(F.coalesce(F.col(f"axis{axis}").cast("string"), F.lit("-")))
     placed = placed.withColumn("spot", F.concat_ws(":", *parts)).drop(*[f"axis{a}" for a in range(len(axes))])
+    return placed, size
+
+
+def _with_cells(donors: DataFrame, width: int, cell_rows: int, k: int) -> DataFrame:
+    """Donors without surplus copies in bounded cells: crowded spots are cut by a hash of the id."""
+    spotted, size = _spot(donors, width, cell_rows)
+    placed = materialise(_fold_copies(spotted, width, k), "knn-donors")
     crowd = placed.groupBy("spot").count().withColumn("pieces", F.ceil(F.col("count") / F.lit(size)).cast("int"))
     crowd = crowd.where(F.col("pieces") > 1).select("spot", "pieces").collect()
     piece = F.lit(0)
-    for row in crowd:
-        piece = F.when(F.col("spot") == row["spot"], F.pmod(F.xxhash64("id"), F.lit(row["pieces"]))).otherwise(piece) \
-            if len(crowd) <= 200 else piece
-    if len(crowd) > 200:
+    if crowd:
+        # at most rows / size spots are crowded, which MAX_CELLS bounds
         sides = donors.sparkSession.createDataFrame(crowd, "spot string, pieces int")
         placed = placed.join(F.broadcast(sides), "spot", "left")
         piece = F.coalesce(F.pmod(F.xxhash64("id"), F.col("pieces")), F.lit(0))
@@ -273,8 +278,7 @@ def nearest_donors(
         any_missing, all_missing = any_missing | c, all_missing & c
     receivers = vectors.where(any_missing)
     donors = _vectors(df if fit_on is None else fit_on, row_id, columns).where(~all_missing)
-    folded = materialise(_fold_copies(donors, width, k), "knn-donors")
-    placed = materialise(_with_cells(folded, width, cell_rows), "knn-cells")
+    placed = _with_cells(donors, width, cell_rows, k)
     cells = _Cells(placed, width)
 
     visit_schema = ", ".join(["id long", *[f"v{i} double" for i in range(width)], "cell string"])
