@@ -664,7 +664,7 @@ def segmentation_report(spark, sf_dir):
     SELECT 1 AS section, rank AS place, printf('%d %s %.4f [%.4f, %.4f]', rank, feature, mean_importance, ci_lower, ci_upper) AS line
       FROM (SELECT *, row_number() OVER (ORDER BY mean_importance DESC, feature) AS rank FROM bootstrap WHERE model = 'even_year')
     UNION ALL SELECT 2, rank, printf('%d %s %.4f %s', rank, feature, m, CASE WHEN m > 0.01 THEN 'Yes' ELSE 'No' END)
-      FROM (SELECT feature, m, row_number() OVER (ORDER BY m DESC, feature) AS rank FROM (SELECT feature, avg(score_drop) + 0.0 AS m FROM drops GROUP BY 1))
+      FROM (SELECT feature, m, row_number() OVER (ORDER BY m DESC, feature) AS rank FROM (SELECT feature, round(avg(score_drop), 9) AS m FROM drops GROUP BY 1))
     UNION ALL SELECT 3, row_number() OVER (ORDER BY model_a, model_b), printf('%s / %s %.3f', model_a, model_b, rho) FROM spearman
     UNION ALL SELECT 4, 0, printf('%d features have 95%% CIs excluding zero', count(CASE WHEN ci_lower > 0 THEN 1 END)) FROM bootstrap WHERE model = 'even_year'
     UNION ALL SELECT 5, 0, printf('%d features show significant permutation importance (p<0.05)', count(CASE WHEN m > 0.01 THEN 1 END)) FROM (SELECT avg(score_drop) AS m FROM drops GROUP BY feature)
@@ -672,7 +672,8 @@ def segmentation_report(spark, sf_dir):
     UNION ALL SELECT 7, row_number() OVER (ORDER BY mean_rank, feature), feature FROM ({CONSENSUS_SQL}))""", drops=DROPS_SQL))
 def statistical_report(spark, sf_dir):
     # significance by size of the drop here, so that the SQL side needs no t distribution
-    drops = X.drop_summary(product_drops(spark, sf_dir)).withColumn("significant", F.col("mean_score_drop") > 0.01)
+    drops = X.drop_summary(product_drops(spark, sf_dir)).withColumn("mean_score_drop", r("mean_score_drop", 9)).withColumn(
+        "significant", F.col("mean_score_drop") > 0.01)
     top = I.top_features(B.model_importances(spark, sf_dir), ["model"], 5)
     pick = lambda m: top.where(F.col("model") == m).select("feature", "rank")
     intervals = I.replicate_summary(B.importances(spark, sf_dir).where(F.col("model") == "even_year"), ["feature"])
