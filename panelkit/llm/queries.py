@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import substrings
+from panelkit.llm import minhash, substrings
 from panelkit.llm.catalog import ORACLES, QUERIES, query, table  # noqa: F401
 
 OP3_SQL = r"""
@@ -26,3 +26,9 @@ FROM d LEFT JOIN kept USING (doc_id)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_minhash_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "kept")
