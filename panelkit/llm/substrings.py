@@ -21,9 +21,9 @@ from panelkit.llm import words as W
 
 WIDTH = 13
 BLOCK_BYTES = 3 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 COARSE = 64
-HELD_WINDOWS = 4_000_000
+HELD_WINDOWS = 1_500_000
 
 RESULT = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()),

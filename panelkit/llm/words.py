@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 _RATE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
