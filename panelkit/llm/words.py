@@ -143,3 +143,14 @@ def hash_of(data: bytes) -> int:
     buffer = np.frombuffer(data, np.uint8)
     one = Words(np.array([0]), np.array([len(buffer)]), np.array([0]), np.array([0, 1]))
     return int(hashes(buffer, one)[0])
+
+
+def rolling(data: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` bytes before each position from ``width`` on; entry k belongs to position ``width + k``."""
+    up, down = _Powers.of(len(data))
+    if len(data) < width:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        return mix((sums[width:] - sums[:-width]) * down[: len(data) - width + 1])
