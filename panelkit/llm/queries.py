@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import bpe, language, minhash, substrings
+from panelkit.llm import bpe, language, minhash, mixing, substrings
 from panelkit.llm.catalog import ORACLES, QUERIES, query, table  # noqa: F401
 from panelkit.llm.sampling import fold
 
@@ -46,6 +46,32 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs,
+             (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+r AS (SELECT *, 3.0 * source_size / weight AS ratio, sum(3 * source_size) OVER w - 3 * source_size AS caps, sum(weight) OVER w - weight AS used,
+             sum(source_size) OVER () AS total, sum(weight) OVER () AS every
+      FROM s WINDOW w AS (ORDER BY 3.0 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+ok AS (SELECT arg_min(CAST(total - caps AS DOUBLE) / (every - used), used) AS level FROM r
+       WHERE ratio >= CAST(total - caps AS DOUBLE) / (every - used)),
+t AS (SELECT source, source_size, docs,
+             CAST(CASE WHEN 3 * source_size < level * weight THEN 3 * source_size ELSE level * weight END AS DOUBLE) AS target FROM r, ok),
+j AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+             md5(concat(d.doc_id, ':23')) AS h, t.docs FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % CAST(ceil(docs / 256.0) AS BIGINT) AS stratum FROM j),
+b AS (SELECT *, floor((rate - floor(rate)) * sum(size) OVER (PARTITION BY source, stratum) + 0.5)
+                - coalesce(sum(size) OVER (PARTITION BY source, stratum ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM k)
+SELECT doc_id, size, source_size, target, CAST(floor(rate) * size + greatest(0, least(size, rest)) AS BIGINT) AS taken FROM b
+"""
+
+
+@query("op7_mixing", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op8_minhash_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
