@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import bpe, language, licenses, minhash, mixing, quality_rules, substrings
+from panelkit.llm import bpe, classifier, language, licenses, minhash, mixing, quality_rules, substrings
 from panelkit.llm.catalog import ORACLES, QUERIES, query, table  # noqa: F401
 from panelkit.llm.sampling import fold
 
@@ -88,3 +88,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", "kept")
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = fold("doc_id", 4) == 2
+    model = classifier.fit(docs, labels.where(~held_out))
+    found = classifier.score(docs, model).select("doc_id", held_out.alias("held_out"), "score")
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
