@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import bpe, classifier, language, licenses, minhash, mixing, quality_rules, substrings
+from panelkit.llm import bpe, classifier, language, lattice, licenses, minhash, mixing, quality_rules, substrings
 from panelkit.llm.catalog import ORACLES, QUERIES, query, table  # noqa: F401
 from panelkit.llm.sampling import fold
 
@@ -90,6 +90,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "kept")
 
 
+@query("op9_lattice_near_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lattice.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 @query("op10_quality_classifier")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
