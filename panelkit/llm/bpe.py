@@ -76,6 +76,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # what was known before the last turn; words still in use move back
         one, two = self.raw(["Word", "it's"])
         if self.raw(["Word it's", " Word\n\t\x0b\x0c\rit's "]) != [one + two] * 2:
             raise ValueError("a tokenizer that keeps white space cannot be used here")
@@ -98,10 +99,16 @@ class Encoder:
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = list(words)
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.older = {}, self.known
+        new = []
+        for w in words:
+            if w not in self.known:
+                ids = self.older.get(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    self.known[w] = ids
         for at in range(0, len(new), 10_000):
             own = new[at : at + 10_000]
             self.known.update(zip(own, self.raw([w.decode() for w in own]), strict=True))
