@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+LAST_DRAW = 12
+
+
 def hash_prefix(key: Column, salt: str | Column, digits: int = 8) -> Column:
     """The first hex digits of ``md5(key:salt)`` as a long (15 digits at most stay positive)."""
     text = F.concat(key.cast("string"), F.lit(":"), salt if isinstance(salt, Column) else F.lit(str(salt)))
@@ -22,12 +25,12 @@ def hash_uniform(key: Column, salt: str | Column) -> Column:
 
 
 def poisson_one(uniform: Column) -> Column:
-    """Poisson(1) draw by inversion of its distribution function; counts above 7 are merged into 8."""
+    """Poisson(1) draw by inversion of its distribution function, up to 12: more has less chance than a step of the hash."""
     cumulative, term, expr = 0.0, 0.36787944117144233, None
-    for count in range(8):
+    for count in range(LAST_DRAW):
         if count:
             term /= count
         cumulative += term
         condition = uniform < F.lit(cumulative)
         expr = F.when(condition, count) if expr is None else expr.when(condition, count)
-    return expr.otherwise(8).cast("int")
+    return expr.otherwise(LAST_DRAW).cast("int")

@@ -6,8 +6,15 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
+
+
+def present(df: DataFrame, name: str) -> Column:
+    """A column with NaN turned into NULL, so that both count as missing."""
+    value = quoted(name)
+    return F.when(~F.isnan(value), value) if isinstance(df.schema[name].dataType, (DoubleType, FloatType)) else value
 
 
 def quoted(name: str) -> Column:

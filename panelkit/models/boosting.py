@@ -31,7 +31,6 @@ from panelkit.session import materialise, settled, work_folder
 
 BLOCK_ROWS = 65_536
 CHECKPOINT_EVERY = 25
-DRIVER_MERGE_BYTES = 32 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -57,10 +56,10 @@ class BoostParams:
         return max(self.min_child_weight, float(self.min_child_samples))
 
     @property
-    def depth_limit(self) -> int:
+    def depth_limit(self) -> float:
         if self.max_depth > 0:
             return self.max_depth
-        return (self.num_leaves or 31) - 1
+        return self.num_leaves - 1 if self.num_leaves else math.inf  # no chain of splits is longer than the leaves allow
 
 
 class _Tree:
@@ -402,7 +401,7 @@ class _Trainer:
         weight = weights if weights is not None else F.array(F.lit(1))
         rows = df.select(
             F.xxhash64(F.col(key).cast("string")).alias("k"), quoted(label).cast("double").alias("y"),
-            weight.cast("array<tinyint>").alias("w"), *[quoted(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)],
+            weight.cast("array<smallint>").alias("w"), *[quoted(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)],
         )
         rows = settled(rows.where(F.col("y").isNotNull()), "boosting-rows")
         sums = [F.sum(F.col("w")[m] * F.col("y")).alias(f"s{m}") for m in range(models)]
@@ -457,15 +456,9 @@ class _Trainer:
         masks = {m: _column_mask(width, params[m], tree_no) for m in open_slots}
         parts = self.histograms(open_slots, current, tree_no)
         keys = sum(int((s >= 0).sum()) for s in open_slots.values())
-        if self.parts * keys * width * self.bins * 16 <= DRIVER_MERGE_BYTES:
-            merged: dict[tuple[int, int], np.ndarray] = {}
-            for key, piece in parts.collect():
-                merged[key] = merged[key] + piece if key in merged else piece
-            found = {k: best_split(v, scale, params[k[0]], masks[k[0]]) for k, v in merged.items()}
-        else:
-            reducers = max(1, min(keys, self.context.defaultParallelism))
-            found = dict(parts.reduceByKey(lambda a, b: a + b, reducers).map(
-                lambda kv: (kv[0], best_split(kv[1], scale, params[kv[0][0]], masks[kv[0][0]]))).collect())
+        reducers = max(1, min(keys, self.context.defaultParallelism))
+        found = dict(parts.reduceByKey(lambda a, b: a + b, reducers).map(
+            lambda kv: (kv[0], best_split(kv[1], scale, params[kv[0][0]], masks[kv[0][0]]))).collect())
         return {k: v for k, v in found.items() if v is not None}
 
     def fold(self, trees: dict[int, tuple], checkpoint: bool) -> None:
@@ -515,14 +508,16 @@ def fit_boosted(
     trainer = _Trainer(df, key, features, label, weights, settings, edges, max_bins, block_rows)
     done: list[list[_Tree]] = [[] for _ in settings]
     rounds = max(p.n_estimators for p in settings)
-    for number in range(rounds):
-        growing = {m: _Tree() for m, p in enumerate(settings) if number < p.n_estimators}
-        _grow(trainer, growing, settings, number)
-        for m, tree in growing.items():
-            done[m].append(tree)
-        if number + 1 < rounds:
-            trainer.fold({m: t.packed() for m, t in growing.items()}, (number + 1) % CHECKPOINT_EVERY == 0)
-    trainer.close()
+    try:
+        for number in range(rounds):
+            growing = {m: _Tree() for m, p in enumerate(settings) if number < p.n_estimators}
+            _grow(trainer, growing, settings, number)
+            for m, tree in growing.items():
+                done[m].append(tree)
+            if number + 1 < rounds:
+                trainer.fold({m: t.packed() for m, t in growing.items()}, (number + 1) % CHECKPOINT_EVERY == 0)
+    finally:
+        trainer.close()
     return BoostedModels(features, trainer.edges, trainer.base, done, settings)
 
 

@@ -44,7 +44,10 @@ def mllib_params(key: str, params: dict[str, Any]) -> dict[str, Any]:
     out: dict[str, Any] = {}
     for name, value in params.items():
         if name == "max_depth":
-            out["maxDepth"] = MAX_DEPTH if value is None or value < 0 else min(value, MAX_DEPTH)
+            depth = MAX_DEPTH if value is None or value < 0 else value
+            if depth > MAX_DEPTH:
+                raise ValueError(f"MLlib trees have at most {MAX_DEPTH} levels, not {depth}")
+            out["maxDepth"] = depth
         elif name == "min_samples_leaf":
             out["minInstancesPerNode"] = value
         elif name == "n_estimators":
@@ -181,9 +184,8 @@ def cross_validate(
     return reduce(DataFrame.unionByName, parts).select("row_id", F.lit(key).alias("model"), "fold", "label", "prediction")
 
 
-def grid_points(grid: dict[str, Sequence[Any]], limit: int | None = None) -> list[dict[str, Any]]:
-    points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
-    return points if limit is None else points[:limit]
+def grid_points(grid: dict[str, Sequence[Any]]) -> list[dict[str, Any]]:
+    return [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
 
 
 def grid_search(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.functions.scalar import quoted
+from panelkit.functions.scalar import present
 from panelkit.operators.neighbours import knn_impute
 from panelkit.operators.quality import drop_incomplete_rows, drop_sparse_columns
 from panelkit.operators.quantiles import exact_quantiles
@@ -15,7 +15,7 @@ from panelkit.session import settled
 
 
 def column_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
-    row = df.agg(*[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    row = df.agg(*[F.avg(present(df, c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     return {c: row[i] for i, c in enumerate(columns)}
 
 
@@ -25,9 +25,9 @@ def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | N
 
 
 def fill(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
-    """Replace NULL by the fitted value of the column; columns without any value stay NULL."""
+    """Replace NULL and NaN by the fitted value of the column; columns without any value stay NULL."""
     return df.withColumns(
-        {c: F.coalesce(quoted(c).cast("double"), F.lit(v)) for c, v in values.items() if v is not None}
+        {c: F.coalesce(present(df, c).cast("double"), F.lit(v)) for c, v in values.items() if v is not None}
     )
 
 

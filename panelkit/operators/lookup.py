@@ -13,7 +13,7 @@ def display_name(df: DataFrame, code: str, dictionary: DataFrame, name: str = "d
 
     ``dictionary`` has columns ``code, display``; when codes differ only in case the smallest wins.
     """
-    exact = dictionary.select(F.col("code").alias(code), F.col("display").alias("exact_name"))
+    exact = dictionary.groupBy(F.col("code").alias(code)).agg(F.min("display").alias("exact_name"))
     folded = dictionary.groupBy(F.upper("code").alias("folded_code")).agg(F.min_by("display", "code").alias("folded_name"))
     return (
         df.join(exact, code, "left")
@@ -26,7 +26,7 @@ def display_name(df: DataFrame, code: str, dictionary: DataFrame, name: str = "d
 
 def model_label(df: DataFrame, key: str, labels: DataFrame, name: str = "label_text") -> DataFrame:
     """Display label of a model key, ignoring case; unknown keys in title case. ``labels``: ``key, label``."""
-    side = labels.select(F.lower("key").alias("folded_key"), F.col("label").alias("known_label"))
+    side = labels.groupBy(F.lower("key").alias("folded_key")).agg(F.min_by("label", "key").alias("known_label"))
     return (
         df.withColumn("folded_key", F.lower(key))
         .join(side, "folded_key", "left")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.functions.scalar import quoted
+from panelkit.functions.scalar import present, quoted
 from panelkit.operators.ranks import with_bucket
 from panelkit.session import materialise, settled, sized
 
@@ -39,7 +39,7 @@ def _vectors(df: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
     for i, c in enumerate(columns):
         v = quoted(c).cast("double")
         values.append(F.when(~F.isnan(v), v).alias(f"v{i}"))
-    return df.select(F.col(row_id).cast("long").alias("id"), *values)
+    return df.select(quoted(row_id).alias("id"), *values)
 
 
 def _fold_copies(donors: DataFrame, width: int, k: int) -> DataFrame:
@@ -239,22 +239,21 @@ def _nearest(width: int, columns: Sequence[str], k: int):
     return run
 
 
-_CANDIDATES = "id long, feature string, donor long, squared double, value double"
-
-
 def _search(visits: DataFrame, placed: DataFrame, columns: Sequence[str], k: int, chunk_rows: int) -> DataFrame:
     """Run the visits cell by cell; crowded cells are cut into receiver chunks with a copy of the donors each."""
+    kinds = [d.schema["id"].dataType.simpleString() for d in (visits, placed)]
+    candidates = f"id {kinds[0]}, feature string, donor {kinds[1]}, squared double, value double"
     loads = visits.groupBy("cell").count().select(
         "cell", F.ceil(F.col("count") / F.lit(chunk_rows)).cast("int").alias("chunks")
     )
-    loads = sized(loads, "knn-loads", MAX_CELLS * MAX_PATTERNS)  # one row per cell
+    loads = sized(loads, "knn-loads")  # one row per cell
     left = visits.join(loads, "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
     right = placed.join(loads, "cell").withColumn(
         "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1))
     )
     return left.drop("chunks").groupBy("cell", "chunk").cogroup(
         right.drop("chunks").groupBy("cell", "chunk")
-    ).applyInPandas(_nearest(len(columns), list(columns), k), _CANDIDATES)
+    ).applyInPandas(_nearest(len(columns), list(columns), k), candidates)
 
 
 def nearest_donors(
@@ -269,7 +268,7 @@ def nearest_donors(
     """``row_id, feature, donor, rank, distance, value``: the k nearest donors of every missing cell."""
     columns, width = list(columns), len(columns)
     if fit_on is None:
-        df = settled(df.select(row_id, *[quoted(c) for c in columns]), "knn-input")
+        df = settled(df.select(quoted(row_id), *[quoted(c) for c in columns]), "knn-input")
     vectors = _vectors(df, row_id, columns)
     lacking = [F.col(f"v{i}").isNull() for i in range(width)]
     any_missing = lacking[0]
@@ -281,7 +280,7 @@ def nearest_donors(
     placed = _with_cells(donors, width, cell_rows, k)
     cells = _Cells(placed, width)
 
-    visit_schema = ", ".join(["id long", *[f"v{i} double" for i in range(width)], "cell string"])
+    visit_schema = ", ".join([f"id {vectors.schema['id'].dataType.simpleString()}", *[f"v{i} double" for i in range(width)], "cell string"])
     visits = materialise(receivers.mapInPandas(_visits(cells, width, k, False), visit_schema), "knn-visits")
     near = materialise(_search(visits, placed, columns, k, chunk_rows), "knn-near")
 
@@ -313,20 +312,20 @@ def knn_impute(
     search, search_fit = df, fit_on
     deviations: dict[str, float] = {}
     if scale:
-        row = base.agg(*[F.stddev_pop(quoted(c)).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+        row = base.agg(*[F.stddev_pop(present(base, c)).alias(f"s{i}") for i, c in enumerate(columns)]).first()
         deviations = {c: row[i] or 1.0 for i, c in enumerate(columns)}
         change = {c: quoted(c) / F.lit(s) for c, s in deviations.items()}
         search = df.withColumns(change)
         search_fit = fit_on.withColumns(change) if fit_on is not None else None
     found = nearest_donors(search, row_id, columns, k, search_fit, cell_rows)
-    means = base.agg(*[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    means = base.agg(*[F.avg(present(base, c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     filled = found.groupBy(row_id).agg(
         *[F.avg(F.when(F.col("feature") == c, F.col("value") * F.lit(deviations.get(c, 1.0)))).alias(f"fill{i}")
           for i, c in enumerate(columns)]
     )
     joined = df.join(filled, row_id, "left")
     result = {
-        c: F.coalesce(quoted(c).cast("double"), F.col(f"fill{i}"), F.lit(means[i]).cast("double"))
+        c: F.coalesce(present(df, c).cast("double"), F.col(f"fill{i}"), F.lit(means[i]).cast("double"))
         for i, c in enumerate(columns)
     }
     return joined.withColumns(result).select(*[quoted(c) for c in df.columns])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from panelkit.functions.scalar import quoted
+from panelkit.functions.scalar import present, quoted
 from panelkit.operators.quantiles import exact_quantiles
 from panelkit.session import settled
 
@@ -26,40 +26,39 @@ def feature_columns(df: DataFrame, ids: Sequence[str], target: str) -> list[str]
 
 
 def known_target(df: DataFrame, target: str) -> DataFrame:
-    return df.where(quoted(target).isNotNull())
+    return df.where(present(df, target).isNotNull())
 
 
 def missing_summary(df: DataFrame, columns: Sequence[str] | None = None, only_missing: bool = True) -> DataFrame:
-    """``variable, missing, percentage`` from one aggregate over all columns."""
+    """``variable, missing, percentage`` from one aggregate over all columns, most missing first."""
     columns = list(columns or df.columns)
     counted = df.agg(
         F.count(F.lit(1)).alias("total"),
-        *[F.count_if(quoted(c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[F.count_if(present(df, c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)],
     )
-    pairs = ", ".join(f"'{c}', m{i}" for i, c in enumerate(columns))
-    rows = counted.selectExpr("total", f"stack({len(columns)}, {pairs}) as (variable, missing)").select(
+    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"m{i}").alias("missing")) for i, c in enumerate(columns)])
+    rows = counted.select("total", F.inline(pairs)).select(
         "variable",
         "missing",
         (F.try_divide(F.col("missing").cast("double"), F.col("total").cast("double")) * 100).alias("percentage"),
     )
-    return rows.where(F.col("missing") > 0) if only_missing else rows
+    return (rows.where(F.col("missing") > 0) if only_missing else rows).orderBy(F.desc("missing"), "variable")
 
 
 def remaining_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    cells = reduce(lambda a, b: a + b, [F.when(quoted(c).isNull(), 1).otherwise(0) for c in columns])
+    cells = reduce(lambda a, b: a + b, [F.when(present(df, c).isNull(), 1).otherwise(0) for c in columns])
     return df.agg(F.sum(cells).cast("long").alias("missing_cells"))
 
 
 def missing_shares(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Missing share per column; one row reaches the driver."""
-    row = df.agg(*[F.avg(quoted(c).isNull().cast("double")).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    row = df.agg(*[F.avg(present(df, c).isNull().cast("double")).alias(f"s{i}") for i, c in enumerate(columns)]).first()
     return {c: (row[i] or 0.0) for i, c in enumerate(columns)}
 
 
 def drop_sparse_columns(df: DataFrame, columns: Sequence[str], threshold: float = 0.6) -> tuple[DataFrame, list[str]]:
     """Drop the columns whose missing share is strictly above the threshold; also returns their names."""
-    df = settled(df)
-    dropped = [c for c, share in missing_shares(df, columns).items() if share > threshold]
+    dropped = [c for c, share in missing_shares(df.select(*[quoted(c) for c in columns]), columns).items() if share > threshold]
     return df.drop(*dropped), dropped
 
 
@@ -124,14 +123,16 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``variable, n, mean, std, min, max, missing_pct`` in one pass; ``n`` counts all rows, std is the sample one."""
     aggregates = [F.count(F.lit(1)).alias("total")]
     for i, c in enumerate(columns):
-        v = quoted(c).cast("double")
+        v = present(df, c).cast("double")
         aggregates += [
             F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}"), F.min(v).alias(f"min{i}"),
             F.max(v).alias(f"max{i}"), F.count_if(v.isNull()).alias(f"miss{i}"),
         ]
-    cells = ", ".join(f"'{c}', mean{i}, std{i}, min{i}, max{i}, miss{i}" for i, c in enumerate(columns))
-    wide = df.agg(*aggregates)
-    return wide.selectExpr("total", f"stack({len(columns)}, {cells}) as (variable, mean, std, min, max, miss)").select(
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("variable"), *[F.col(f"{n}{i}").alias(n) for n in ("mean", "std", "min", "max", "miss")])
+        for i, c in enumerate(columns)
+    ])
+    return df.agg(*aggregates).select("total", F.inline(cells)).select(
         "variable",
         F.col("total").alias("n"),
         "mean", "std", "min", "max",

@@ -15,11 +15,11 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.functions.scalar import quoted
 from panelkit.session import settled
 
 ACCURACY = 10_000
 GATHER_LIMIT = 200_000
-SMALL_GROUP = 1_000_000
 
 
 def _matches(keys: Sequence[str], group: tuple) -> Column:
@@ -53,23 +53,10 @@ def exact_quantiles(
     keys: Sequence[str] = (),
     accuracy: int = ACCURACY,
     gather_limit: int = GATHER_LIMIT,
-    small_group: int = SMALL_GROUP,
 ) -> dict[tuple, dict[str, list[float | None]]]:
     """``{group: {column: [quantile, ...]}}``; groups must be few (models, segments), rows may be many."""
     columns, keys = list(columns), list(keys)
-    source = settled(df.select(*keys, *[_clean(F.col(c)).alias(f"v{i}") for i, c in enumerate(columns)]), "quantiles")
-    largest = source.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= small_group:
-        # a bounded group: the exact aggregate keeps at most that many distinct values
-        wanted = [float(p) for p in probabilities]
-        exact = source.groupBy(*keys).agg(*[F.percentile(f"v{i}", wanted).alias(f"p{i}") for i in range(len(columns))])
-        return {
-            tuple(r[k] for k in keys): {
-                c: list(r[f"p{i}"]) if r[f"p{i}"] is not None else [None] * len(wanted) for i, c in enumerate(columns)
-            }
-            for r in exact.collect()
-        }
-
+    source = settled(df.select(*keys, *[_clean(quoted(c)).alias(f"v{i}") for i, c in enumerate(columns)]), "quantiles")
     # every wanted quantile needs the two order statistics around position p * (n - 1)
     first = [F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))]
     grid = sorted({min(1.0, max(0.0, p + d)) for p in probabilities for d in (-3.0 / accuracy, 3.0 / accuracy)})
@@ -108,6 +95,8 @@ def exact_quantiles(
                 )
 
     pending = dict(brackets)
+    # all brackets together gather at most about this many values
+    gather_limit = max(1000, gather_limit // max(1, sum(len(b) for b in brackets.values())))
     while pending:
         labels = list(pending)
         aggregates = []
@@ -174,6 +163,7 @@ def exact_quantiles(
         if wide:
             narrower = _narrow(source, keys, rows, counts, labels, pending, ranks, wide, accuracy, narrower)
         pending = narrower
+        accuracy *= 2  # a bracket that missed is drawn with a finer sketch, so this ends
     return answer
 
 

@@ -34,7 +34,7 @@ def lookup_segment(
     small and splits skewed keys when it is not.
     """
     code, label = dimension.columns
-    side = dimension.select(F.col(code).alias(key), F.col(label).alias(name))
+    side = dimension.groupBy(F.col(code).alias(key)).agg(F.min(label).alias(name))  # a repeated key must not multiply rows
     return df.join(side, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(fallback)))
 
 

@@ -94,7 +94,7 @@ def event_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User x day panel with one column per event type: one aggregation, one shuffle."""
-    return table(spark, sf_dir, "events").where(F.col("event_type").isin(EVENT_TYPES)).groupBy(
+    return table(spark, sf_dir, "events").groupBy(
         "user_id", F.to_date("ts").alias("day")
     ).agg(*[F.avg(F.when(F.col("event_type") == t, F.col("value"))).alias(t) for t in EVENT_TYPES])
 

@@ -623,12 +623,12 @@ def folds(spark, sf_dir):
 
 def _poisson_sql(u: str) -> str:
     cumulative, term, cases = 0.0, 0.36787944117144233, []
-    for k in range(8):
+    for k in range(12):
         if k:
             term /= k
         cumulative += term
         cases.append(f"WHEN {u} < {cumulative!r}::DOUBLE THEN {k}")
-    return f"CASE {' '.join(cases)} ELSE 8 END"
+    return f"CASE {' '.join(cases)} ELSE 12 END"
 
 
 @query("r4_bootstrap_weights", with_sql("frame", f"""SELECT row_id, CAST(b.b AS INTEGER) AS replicate, CAST({_poisson_sql('u')} AS INTEGER) AS weight

@@ -8,7 +8,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _local_folders: dict[str, str] = {}
 
@@ -65,15 +64,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, label: str, limit: int = 10_000) -> DataFrame:
-    """A side whose size is known before it is joined.
-
-    At most ``limit`` rows: a local relation with a broadcast hint. More: a written table, whose file size
-    lets the planner choose the join.
-    """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+def sized(df: DataFrame, label: str) -> DataFrame:
+    """A side whose size is known before it is joined: written once, so that its file size lets the planner choose the join."""
     return materialise(df, label)
 
 
@@ -82,6 +74,12 @@ def settled(df: DataFrame, label: str = "settled") -> DataFrame:
 
     For steps that read their input more than once: a join or aggregation below them runs only once.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    heavy = ("Join", "Aggregate", "Window", "Generate", "MapInPandas", "MapInArrow", "FlatMap", "Union", "Repartition")
-    return materialise(df, label) if any(word in plan for word in heavy) else df
+    light = {"Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation", "Range", "SubqueryAlias", "DataSourceV2ScanRelation"}
+    nodes = [df._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().split(" ")[0] not in light:
+            return materialise(df, label)
+        children = node.children()
+        nodes += [children.apply(k) for k in range(children.size())]
+    return df

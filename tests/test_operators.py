@@ -150,10 +150,10 @@ def test_bracketed_quantiles_equal_the_exact_ones(spark, kind):
               "hot": np.where(rng.random(9000) < 0.4, 5.0, rng.normal(size=9000)), "small": rng.normal(size=11)}[kind]
     df = spark.createDataFrame(pd.DataFrame({"g": np.where(rng.random(len(values)) < 0.7, "a", "b"), "v": values}))
     probabilities = [0.0, 0.025, 0.25, 0.5, 0.75, 0.975, 1.0]
-    found = exact_quantiles(df, ["v"], probabilities, accuracy=100, gather_limit=50, small_group=0)[()]["v"]
+    found = exact_quantiles(df, ["v"], probabilities, accuracy=100, gather_limit=50)[()]["v"]
     assert found == pytest.approx(list(np.quantile(values, probabilities)), rel=1e-12, abs=1e-12)
     pdf = df.toPandas()
-    by_group = exact_quantiles(df, ["v"], probabilities, ["g"], accuracy=200, gather_limit=60, small_group=0)
+    by_group = exact_quantiles(df, ["v"], probabilities, ["g"], accuracy=200, gather_limit=60)
     for g, part in pdf.groupby("g"):
         assert by_group[(g,)]["v"] == pytest.approx(list(np.quantile(part["v"], probabilities)), rel=1e-12, abs=1e-12)
     quick = exact_quantiles(df, ["v"], probabilities)[()]["v"]
@@ -163,7 +163,7 @@ def test_bracketed_quantiles_equal_the_exact_ones(spark, kind):
 def test_quantiles_of_nothing(spark):
     df = frame(spark, [(1, None), (2, None)], "id int, v double")
     assert exact_quantiles(df, ["v"], [0.5])[()]["v"] == [None]
-    assert exact_quantiles(df, ["v"], [0.5], small_group=0)[()]["v"] == [None]
+    assert exact_quantiles(df, ["v"], [0.5])[()]["v"] == [None]
 
 
 def test_average_ranks_with_a_hot_value(spark):
