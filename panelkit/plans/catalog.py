@@ -48,6 +48,29 @@ def q(columns: list[str], digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
 
 
+def _simpson(upper: str, integrand: str, steps: int = 4000) -> str:
+    """SQL for the integral of ``integrand`` (in ``x``) from 0 to ``upper``."""
+    point = integrand.replace("{x}", f"(i * ({upper}) / {steps}::DOUBLE)")
+    weight = f"(CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)::DOUBLE"
+    return f"(({upper}) / {3 * steps}::DOUBLE * list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * {point})))"
+
+
+def t_two_sided_sql(t: str, free: str) -> str:
+    """SQL for the two-sided p-value of Student's t: the density is integrated over the angle atan(t / sqrt(free))."""
+    factor = f"exp(lgamma((({free}) + 1) / 2.0::DOUBLE) - lgamma(({free}) / 2.0::DOUBLE)) / sqrt(pi())"
+    inner = _simpson(f"atan(abs({t}) / sqrt(({free})::DOUBLE))", f"pow(cos({{x}}), ({free}) - 1)")
+    return f"greatest(0::DOUBLE, 1 - 2 * {factor} * {inner})"
+
+
+def t_greater_sql(t: str, free: str) -> str:
+    two = t_two_sided_sql(t, free)
+    return f"(CASE WHEN ({t}) >= 0 THEN {two} / 2 ELSE 1 - {two} / 2 END)"
+
+
+def normal_two_sided_sql(z: str) -> str:
+    return f"greatest(0::DOUBLE, 1 - 2 / sqrt(2 * pi()) * {_simpson(f'least(abs({z}), 38::DOUBLE)', 'exp(-0.5::DOUBLE * {x} * {x})')})"
+
+
 def settle_rounding(sql: str) -> str:
     """Add the same nudge to every ``round(x, d)`` of a SQL text."""
     out, place = [], 0

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from panelkit.functions.hashing import hash_bucket
 from panelkit.operators.importance import correlation_importance
 from panelkit.operators.splits import fold_column, split_column
+from panelkit.plans.catalog import normal_two_sided_sql
 from panelkit.session import materialise, sized
 
 FEATURES = ["n_items", "qty_avg", "tax_avg", "disc_avg", "price_avg", "bal", "total"]
@@ -350,6 +351,13 @@ CTES.update({
     "wilcoxon": (["signed"], """
         SELECT model_a, model_b, least(sum(CASE WHEN positive THEN rank ELSE 0 END), sum(CASE WHEN positive THEN 0 ELSE rank END)) AS w_statistic,
                count(*) AS n_nonzero FROM signed GROUP BY 1, 2"""),
+    "wilcoxon_p": (["signed", "wilcoxon"], f"""
+        SELECT model_a, model_b, {normal_two_sided_sql('z')} AS w_p_value FROM (
+          SELECT w.model_a, w.model_b, (w_statistic - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - t.ties / 48) AS z
+          FROM (SELECT *, n_nonzero::DOUBLE AS m FROM wilcoxon) w
+          JOIN (SELECT model_a, model_b, sum(k * k * k - k) AS ties FROM (
+                  SELECT model_a, model_b, abs_diff, count(*)::DOUBLE AS k FROM signed GROUP BY 1, 2, 3) GROUP BY 1, 2) t
+            ON t.model_a = w.model_a AND t.model_b = w.model_b)"""),
     "bootstrap": (["importances"], """
         SELECT model, feature, avg(importance) AS mean_importance, stddev_pop(importance) AS std_importance,
                quantile_cont(importance, 0.025) AS ci_lower, quantile_cont(importance, 0.975) AS ci_upper,

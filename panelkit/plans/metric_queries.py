@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ from panelkit.operators.ranks import positions, small_rank, tied_rank
 from panelkit.plans import frames as B
 from panelkit.plans import panel_queries as P
 from panelkit.plans import reports as R
-from panelkit.plans.catalog import q, query, r, rounded
+from panelkit.plans.catalog import q, query, r, rounded, t_greater_sql, t_two_sided_sql
 from panelkit.plans.frames import with_sql
 from panelkit.session import fresh_path
 from panelkit.sources import tables
@@ -167,9 +170,10 @@ def paired_t(spark, sf_dir):
     return rounded(X.paired_t(X.paired_errors(B.test_predictions(spark, sf_dir), B.MODELS)).drop("p_value"))
 
 
-@query("x1b_paired_t_p_values")
+@query("x1b_paired_t_p_values", with_sql("t_tests", f"""SELECT model_a, model_b, n, round(t_statistic, 6) AS t_statistic,
+    round({t_two_sided_sql('t_statistic', 'n - 1')}, 6) AS p_value FROM t_tests"""))
 def paired_t_p_values(spark, sf_dir):
-    return X.paired_t(X.paired_errors(B.test_predictions(spark, sf_dir), B.MODELS))
+    return rounded(X.paired_t(X.paired_errors(B.test_predictions(spark, sf_dir), B.MODELS)))
 
 
 @query("w4_signed_ranks", with_sql("signed", """SELECT model_a, model_b, count(*) AS n, round(sum(rank), 2) AS rank_sum,
@@ -189,15 +193,15 @@ def wilcoxon(spark, sf_dir):
     return found.select("model_a", "model_b", r("w_statistic", 2).alias("w_statistic"), "n_nonzero")
 
 
-@query("f13_f14_pair_labels", with_sql("t_tests", """SELECT model_a || ' vs ' || model_b AS comparison,
+@query("f13_f14_pair_labels", with_sql("t_tests", f"""SELECT model_a || ' vs ' || model_b AS comparison,
     CASE WHEN t_statistic < 0 THEN model_a ELSE model_b END AS better_model,
-    CASE WHEN abs(t_statistic) > 1.96 THEN 'Yes' ELSE 'No' END AS beyond FROM t_tests"""))
+    CASE WHEN p < 0.05 THEN 'Yes' ELSE 'No' END AS significant FROM (SELECT *, {t_two_sided_sql('t_statistic', 'n - 1')} AS p FROM t_tests)"""))
 def pair_labels(spark, sf_dir):
     found = X.paired_t(X.paired_errors(B.test_predictions(spark, sf_dir), B.MODELS))
     return found.select(
         S.pair_label(F.col("model_a"), F.col("model_b")).alias("comparison"),
         S.better_of(F.col("t_statistic"), F.col("model_a"), F.col("model_b")).alias("better_model"),
-        S.yes_no(F.abs("t_statistic") > 1.96).alias("beyond"))
+        S.yes_no(F.col("p_value") < 0.05).alias("significant"))
 
 
 INVERSE_NORMAL_SQL = """CASE WHEN p < 0.02425 THEN (((((-7.784894002430293e-3 * l + -3.223964580411365e-1) * l + -2.400758277161838e0) * l + -2.549732539343734e0) * l + 4.374664141464968e0) * l + 2.938163982698783e0)
@@ -292,14 +296,14 @@ def safe_ratio(spark, sf_dir):
     return found.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.count("cv").alias("known"), r(F.avg("cv")).alias("cv"))
 
 
-@query("p15_significance", with_sql("bootstrap", "SELECT model, feature, ci_lower > 0.01 AS significant FROM bootstrap"))
+@query("p15_significance", with_sql("bootstrap", "SELECT model, feature, ci_lower > 0 AS significant FROM bootstrap"))
 def significance(spark, sf_dir):
-    return I.replicate_summary(B.importances(spark, sf_dir)).select("model", "feature", (F.col("ci_lower") > 0.01).alias("significant"))
+    return I.replicate_summary(B.importances(spark, sf_dir)).select("model", "feature", (F.col("ci_lower") > 0).alias("significant"))
 
 
-@query("a20_significant_count", with_sql("bootstrap", "SELECT model, count(CASE WHEN ci_lower > 0.01 THEN 1 END) AS significant FROM bootstrap GROUP BY 1"))
+@query("a20_significant_count", with_sql("bootstrap", "SELECT model, count(CASE WHEN ci_lower > 0 THEN 1 END) AS significant FROM bootstrap GROUP BY 1"))
 def significant_count(spark, sf_dir):
-    return I.replicate_summary(B.importances(spark, sf_dir)).groupBy("model").agg(F.count_if(F.col("ci_lower") > 0.01).alias("significant"))
+    return I.replicate_summary(B.importances(spark, sf_dir)).groupBy("model").agg(F.count_if(F.col("ci_lower") > 0).alias("significant"))
 
 
 @query("o3_sorted_importance", with_sql("bootstrap", """SELECT model, feature, CAST(row_number() OVER (ORDER BY mean_importance DESC, feature, model) AS INTEGER) AS place FROM bootstrap"""))
@@ -360,9 +364,10 @@ def spearman(spark, sf_dir):
     return rounded(X.spearman_matrix(B.model_importances(spark, sf_dir)))
 
 
-@query("x4b_spearman_p_values")
+@query("x4b_spearman_p_values", with_sql("spearman", f"""SELECT model_a, model_b, n, round(rho, 6) AS rho, round(CASE WHEN abs(rho) >= 1 THEN 0
+    ELSE {t_two_sided_sql('rho * sqrt(n - 2) / sqrt(1 - rho * rho)', 'n - 2')} END, 6) AS p_value FROM spearman"""))
 def spearman_p_values(spark, sf_dir):
-    return X.spearman_tests(B.model_importances(spark, sf_dir))
+    return rounded(X.spearman_tests(B.model_importances(spark, sf_dir)))
 
 
 @query("a19_mean_correlation", with_sql("spearman", "SELECT round(avg(rho), 6) AS mean_correlation FROM spearman WHERE model_a < model_b"))
@@ -389,28 +394,31 @@ def consensus(spark, sf_dir):
 
 # ------------------------------------------------------------------ permutation tests on a fixed predictor
 
-REPS = 5
-TESTED = ["price_avg", "disc_avg", "tax_avg"]
+REPS = 50
+TESTED = B.FEATURES
+# a fixed predictor in which every feature has a part
+PARTS = {"n_items": 10.0, "qty_avg": 1.0, "tax_avg": 1000.0, "bal": 0.01, "total": 0.001}
+_picked = {f: f"CASE WHEN f.feature = '{f}' THEN m.new_{f} ELSE m.{f} END" for f in TESTED}
+_predicted = lambda c: " + ".join([f"({c['price_avg']}) * ({c['disc_avg']})", *[f"{w}::DOUBLE * ({c[f]})" for f, w in PARTS.items()]])
 _r2 = "1 - sum((label - p) * (label - p)) / nullif(var_pop(label) * count(*), 0)"
 DROPS_SQL = f"""SELECT s.feature, CAST(s.replicate AS INTEGER) AS replicate, b.score - s.score AS score_drop FROM (
     SELECT feature, replicate, {_r2} AS score FROM (
-      SELECT f.feature, m.replicate, m.label,
-             CASE WHEN f.feature = 'price_avg' THEN m.new_price ELSE m.price_avg END
-             * CASE WHEN f.feature = 'disc_avg' THEN m.new_disc ELSE m.disc_avg END AS p
-      FROM (SELECT k.replicate, b.target AS label, b.price_avg, b.disc_avg, k.price_avg AS new_price, k.disc_avg AS new_disc
+      SELECT f.feature, m.replicate, m.label, {_predicted(_picked)} AS p
+      FROM (SELECT k.replicate, b.target AS label, {', '.join(f'b.{f}, k.{f} AS new_{f}' for f in TESTED)}
             FROM (SELECT *, row_number() OVER (ORDER BY md5(concat(row_id, ':base42'))) AS pos FROM split_frame WHERE split = 'test') b
-            JOIN (SELECT replicate, price_avg, disc_avg,
+            JOIN (SELECT replicate, {', '.join(TESTED)},
                          row_number() OVER (PARTITION BY replicate ORDER BY md5(concat(row_id, ':perm42:', replicate))) AS pos
                   FROM split_frame CROSS JOIN (SELECT unnest(range({REPS})) AS replicate) WHERE split = 'test') k ON k.pos = b.pos) m
       CROSS JOIN (SELECT unnest({TESTED}) AS feature) f) GROUP BY 1, 2) s
-    CROSS JOIN (SELECT {_r2} AS score FROM (SELECT target AS label, price_avg * disc_avg AS p FROM split_frame WHERE split = 'test')) b"""
+    CROSS JOIN (SELECT {_r2} AS score FROM (SELECT target AS label, {_predicted({f: f for f in TESTED})} AS p FROM split_frame WHERE split = 'test')) b"""
 
 
 def product_drops(spark, sf_dir, replicates: int = REPS) -> DataFrame:
     from panelkit.operators.splits import with_split
 
     df = with_split(B.frame(spark, sf_dir), "row_id").where(F.col("split") == "test")
-    predict = lambda d: d.withColumn("prediction", F.col("price_avg") * F.col("disc_avg"))
+    rest = reduce(add, [F.lit(w) * F.col(f) for f, w in PARTS.items()])
+    predict = lambda d: d.withColumn("prediction", F.col("price_avg") * F.col("disc_avg") + rest)
     return permutation_drops(df, "row_id", "target", TESTED, TESTED, predict, replicates)
 
 
@@ -435,9 +443,15 @@ def one_sample_t(spark, sf_dir):
     return found.select("feature", r(F.when(F.col("std_score_drop") > 1e-12, F.col("t_statistic")), 2).alias("t_statistic"))
 
 
-@query("f12_stars", with_sql("bootstrap", """SELECT model, feature, CASE WHEN cv < 0.001 THEN '***' WHEN cv < 0.01 THEN '**' WHEN cv < 0.05 THEN '*' ELSE 'ns' END AS stars FROM bootstrap"""))
+TESTED_SQL = f"""SELECT feature, mean_score_drop, std_score_drop, t_statistic, {t_greater_sql('t_statistic', str(REPS - 1))} AS p_value FROM (
+    SELECT feature, avg(score_drop) AS mean_score_drop, stddev_pop(score_drop) AS std_score_drop,
+           avg(score_drop) * sqrt({REPS - 1}) / nullif(stddev_pop(score_drop), 0) AS t_statistic FROM drops GROUP BY 1)"""
+
+
+@query("f12_stars", with_sql("split_frame", """SELECT feature, CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE 'ns' END AS stars
+    FROM tested""", drops=DROPS_SQL, tested=TESTED_SQL))
 def stars(spark, sf_dir):
-    return I.replicate_summary(B.importances(spark, sf_dir)).select("model", "feature", S.stars(F.col("cv")).alias("stars"))
+    return X.drop_summary(product_drops(spark, sf_dir)).select("feature", S.stars(F.col("p_value")).alias("stars"))
 
 
 # ------------------------------------------------------------------ report relations
@@ -482,9 +496,15 @@ def pairwise_tests(spark, sf_dir):
     return found.select("comparison", r("t_statistic").alias("t_statistic"), "better_model", r("w_statistic", 2).alias("w_statistic"))
 
 
-@query("q3b_pairwise_tests_full")
+@query("q3b_pairwise_tests_full", with_sql(["t_tests", "wilcoxon", "wilcoxon_p"], f"""SELECT model_a || ' vs ' || model_b AS comparison, round(t_statistic, 6) AS t_statistic,
+    round(p, 6) AS p_value, CASE WHEN p < 0.05 THEN 'Yes' ELSE 'No' END AS significant, CASE WHEN t_statistic < 0 THEN model_a ELSE model_b END AS better_model,
+    round(w_statistic, 2) AS w_statistic, round(w_p_value, 6) AS w_p_value, CASE WHEN w_p_value < 0.05 THEN 'Yes' ELSE 'No' END AS w_significant
+    FROM (SELECT t.*, {t_two_sided_sql('t_statistic', 'n - 1')} AS p, w_statistic, w_p_value FROM t_tests t
+          LEFT JOIN wilcoxon w ON w.model_a = t.model_a AND w.model_b = t.model_b
+          LEFT JOIN wilcoxon_p v ON v.model_a = t.model_a AND v.model_b = t.model_b)"""))
 def pairwise_tests_full(spark, sf_dir):
-    return X.model_comparison_tests(B.test_predictions(spark, sf_dir), B.MODELS, digits=6)
+    found = X.model_comparison_tests(B.test_predictions(spark, sf_dir), B.MODELS, digits=6)
+    return rounded(found.withColumn("w_statistic", r("w_statistic", 2)))
 
 
 @query("q4_band_performance", with_sql("test_predictions", f"""SELECT segment AS "Segment", model AS "Model", n AS "N Samples", round(rmse, 4) AS "RMSE",
@@ -543,12 +563,14 @@ def bootstrap_table(spark, sf_dir):
 
 
 @query("q7_permutation_table", with_sql(["split_frame", "model_importances"], """SELECT d.feature, round(max(i.importance), 6) AS baseline_importance,
-    round(avg(score_drop), 6) AS mean_score_drop, round(stddev_pop(score_drop), 6) AS std_score_drop
-    FROM drops d JOIN model_importances i ON i.feature = d.feature AND i.model = 'even_year' GROUP BY 1""", drops=DROPS_SQL))
+    max(round(mean_score_drop, 6)) AS mean_score_drop, max(round(std_score_drop, 6)) AS std_score_drop, max(round(t_statistic, 2)) AS t_statistic,
+    max(round(p_value, 6)) AS p_value, bool_or(p_value < 0.05) AS significant
+    FROM tested d JOIN model_importances i ON i.feature = d.feature AND i.model = 'even_year' GROUP BY 1""", drops=DROPS_SQL, tested=TESTED_SQL))
 def permutation_table(spark, sf_dir):
     base = B.model_importances(spark, sf_dir).where(F.col("model") == "even_year")
     found = X.drop_summary(product_drops(spark, sf_dir)).join(base.select("feature", F.col("importance").alias("baseline_importance")), "feature")
-    return rounded(found.select("feature", "baseline_importance", "mean_score_drop", "std_score_drop"))
+    return rounded(found.select("feature", "baseline_importance", "mean_score_drop", "std_score_drop", r("t_statistic", 2).alias("t_statistic"),
+                                "p_value", "significant"))
 
 
 GROUPS = ["even_year", "first_half", "odd_year", "second_half"]
@@ -583,7 +605,7 @@ def feature_table(spark, sf_dir):
     return rounded(R.feature_table(one, P.name_dimension(spark)))
 
 
-@query("q13_summary_sentence", with_sql("frame", """SELECT printf('The mean target is %.1f with standard deviation %.1f, ranging from %.1f to %.1f. price_avg shows substantial variation (mean: %.0f, std: %.0f).',
+@query("q13_summary_sentence", with_sql("frame", """SELECT printf('target: average %.1f (sd %.1f, between %.1f and %.1f); price_avg: average %.0f (sd %.0f)',
     avg(target), stddev_samp(target), min(target), max(target), avg(price_avg), stddev_samp(price_avg)) AS summary FROM frame"""))
 def summary_sentence(spark, sf_dir):
     return R.summary_sentence(B.frame(spark, sf_dir), "target", "price_avg")
@@ -618,15 +640,15 @@ def interval_bars(spark, sf_dir):
 
 
 @query("q18_comparison_report", with_sql(["extended", "cv_summary", "metrics"], """SELECT CAST(row_number() OVER (ORDER BY section, place, line) AS INTEGER) AS line_no, line FROM (
-    SELECT 1 AS section, p AS place, printf('Best %s: %s = %.3f', metric, best_model, best_value) AS line FROM (
+    SELECT 1 AS section, p AS place, printf('winner on %s is %s, at %.3f', metric, best_model, best_value) AS line FROM (
       SELECT 1 AS p, 'rmse' AS metric, min_by(model, rmse) AS best_model, min(rmse) AS best_value FROM extended WHERE split = 'test' UNION ALL
       SELECT 2, 'mae', min_by(model, mae), min(mae) FROM extended WHERE split = 'test' UNION ALL
       SELECT 3, 'r2', max_by(model, r2), max(r2) FROM extended WHERE split = 'test' UNION ALL
       SELECT 4, 'mape', min_by(model, mape), min(mape) FROM extended WHERE split = 'test')
-    UNION ALL SELECT 2, rank, printf('%d. %s: test R2 %.4f, test RMSE %.4f, test MAE %.4f, overfit gap %.4f', rank, model, test_r2, test_rmse, test_mae, overfit_gap)
+    UNION ALL SELECT 2, rank, printf('place %d, %s: r2=%.4f rmse=%.4f mae=%.4f on the test rows, train less test rmse=%.4f', rank, model, test_r2, test_rmse, test_mae, overfit_gap)
       FROM (SELECT c.*, e.mae AS test_mae, row_number() OVER (ORDER BY test_r2 DESC, c.model) AS rank FROM c JOIN extended e ON e.model = c.model AND e.split = 'test')
-    UNION ALL SELECT 3, 0, 'Best overall model: ' || max_by(model, test_r2) FROM c
-    UNION ALL SELECT 4, 0, 'Best interpretable model: ' || min_by(model, test_rmse) FROM c WHERE model LIKE '%lin%')""", c=COMPARISON_SQL))
+    UNION ALL SELECT 3, 0, 'choice by r2: ' || max_by(model, test_r2) FROM c
+    UNION ALL SELECT 4, 0, 'choice among simple models: ' || min_by(model, test_rmse) FROM c WHERE model LIKE '%lin%')""", c=COMPARISON_SQL))
 def comparison_report(spark, sf_dir):
     found = M.extended_metrics(B.predictions(spark, sf_dir))
     return R.comparison_report(found, comparison(spark, sf_dir), "lin")
@@ -645,8 +667,8 @@ def text_report(spark, sf_dir):
 
 
 @query("q19_segmentation_report", with_sql(["test_predictions", "region_dim", "frame"], """SELECT CAST(row_number() OVER (ORDER BY segment, block, place) AS INTEGER) AS line_no, line FROM (
-    SELECT DISTINCT segment, 0 AS block, 0 AS place, printf('%s: %d observations, mean %.2f (sd %.2f)', segment, n, mean, std) AS line FROM s WHERE model <> 'm_ym'
-    UNION ALL SELECT segment, 1, row_number() OVER (PARTITION BY segment ORDER BY model), printf('  %s: RMSE=%.2f, R2=%.3f', model, rmse, r2) FROM s WHERE model <> 'm_ym'
+    SELECT DISTINCT segment, 0 AS block, 0 AS place, printf('[%s] rows=%d, target average=%.2f, sd=%.2f', segment, n, mean, std) AS line FROM (SELECT segment, max(n) AS n, arg_max(mean, n) AS mean, arg_max(std, n) AS std FROM s GROUP BY 1)
+    UNION ALL SELECT segment, 1, row_number() OVER (PARTITION BY segment ORDER BY model), printf('  %s: RMSE=%.2f, R2=%.3f', model, rmse, r2) FROM s
     UNION ALL SELECT segment, 2, rank, printf('  %d. %s: %.4f', rank, feature, importance) FROM (
       SELECT *, row_number() OVER (PARTITION BY segment ORDER BY importance DESC, feature) AS rank FROM g) WHERE rank <= 3)""",
     s=SEGMENT_RESULT_SQL, sq=f"""SELECT coalesce(label, 'Other') AS segment, {', '.join(f'coalesce(pow(corr({f}, target), 2), 0) AS {f}' for f in B.FEATURES)}
@@ -655,25 +677,21 @@ def text_report(spark, sf_dir):
 def segmentation_report(spark, sf_dir):
     labelled = segments.lookup_segment(B.frame(spark, sf_dir), "entity", B.region_dimension(spark, sf_dir))
     found = I.correlation_importance(labelled, B.FEATURES, "target", ["segment"])
-    # the year-month predictor misses rows, so its count differs from the segment's
-    results = segment_results(spark, sf_dir).where(F.col("model") != "m_ym")
-    return R.segmentation_report(results, found, 3)
+    return R.segmentation_report(segment_results(spark, sf_dir), found, 3)
 
 
 @query("q20_statistical_report", with_sql(["bootstrap", "spearman", "split_frame", "model_importances"], f"""SELECT CAST(row_number() OVER (ORDER BY section, place, line) AS INTEGER) AS line_no, line FROM (
     SELECT 1 AS section, rank AS place, printf('%d %s %.4f [%.4f, %.4f]', rank, feature, mean_importance, ci_lower, ci_upper) AS line
       FROM (SELECT *, row_number() OVER (ORDER BY mean_importance DESC, feature) AS rank FROM bootstrap WHERE model = 'even_year')
-    UNION ALL SELECT 2, rank, printf('%d %s %.4f %s', rank, feature, m, CASE WHEN m > 0.01 THEN 'Yes' ELSE 'No' END)
-      FROM (SELECT feature, m, row_number() OVER (ORDER BY m DESC, feature) AS rank FROM (SELECT feature, round(avg(score_drop), 9) AS m FROM drops GROUP BY 1))
+    UNION ALL SELECT 2, rank, printf('%d %s %.4f %s', rank, feature, m, CASE WHEN p_value < 0.05 THEN 'Yes' ELSE 'No' END)
+      FROM (SELECT feature, m, p_value, row_number() OVER (ORDER BY m DESC, feature) AS rank FROM (SELECT feature, p_value, round(mean_score_drop, 9) AS m FROM tested))
     UNION ALL SELECT 3, row_number() OVER (ORDER BY model_a, model_b), printf('%s / %s %.3f', model_a, model_b, rho) FROM spearman
-    UNION ALL SELECT 4, 0, printf('%d features have 95%% CIs excluding zero', count(CASE WHEN ci_lower > 0 THEN 1 END)) FROM bootstrap WHERE model = 'even_year'
-    UNION ALL SELECT 5, 0, printf('%d features show significant permutation importance (p<0.05)', count(CASE WHEN m > 0.01 THEN 1 END)) FROM (SELECT avg(score_drop) AS m FROM drops GROUP BY feature)
-    UNION ALL SELECT 6, 0, printf('Mean cross-model correlation: %.3f', avg(rho)) FROM spearman WHERE model_a <> model_b
-    UNION ALL SELECT 7, row_number() OVER (ORDER BY mean_rank, feature), feature FROM ({CONSENSUS_SQL}))""", drops=DROPS_SQL))
+    UNION ALL SELECT 4, 0, printf('lower interval end above zero: %d features', count(CASE WHEN ci_lower > 0 THEN 1 END)) FROM bootstrap WHERE model = 'even_year'
+    UNION ALL SELECT 5, 0, printf('score drop with p below 0.05: %d features', count(CASE WHEN p_value < 0.05 THEN 1 END)) FROM tested
+    UNION ALL SELECT 6, 0, printf('rank agreement between models, averaged: %.3f', avg(rho)) FROM spearman WHERE model_a <> model_b
+    UNION ALL SELECT 7, row_number() OVER (ORDER BY mean_rank, feature), feature FROM ({CONSENSUS_SQL}))""", drops=DROPS_SQL, tested=TESTED_SQL))
 def statistical_report(spark, sf_dir):
-    # significance by size of the drop here, so that the SQL side needs no t distribution
-    drops = X.drop_summary(product_drops(spark, sf_dir)).withColumn("mean_score_drop", r("mean_score_drop", 9)).withColumn(
-        "significant", F.col("mean_score_drop") > 0.01)
+    drops = X.drop_summary(product_drops(spark, sf_dir)).withColumn("mean_score_drop", r("mean_score_drop", 9))
     top = I.top_features(B.model_importances(spark, sf_dir), ["model"], 5)
     pick = lambda m: top.where(F.col("model") == m).select("feature", "rank")
     intervals = I.replicate_summary(B.importances(spark, sf_dir).where(F.col("model") == "even_year"), ["feature"])

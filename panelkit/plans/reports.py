@@ -69,8 +69,8 @@ def summary_sentence(df: DataFrame, target: str, second: str) -> DataFrame:
         F.avg(second).alias("m2"), F.stddev_samp(second).alias("s2"),
     )
     text = (
-        f"The mean {target} is %.1f with standard deviation %.1f, ranging from %.1f to %.1f. "
-        f"{second} shows substantial variation (mean: %.0f, std: %.0f)."
+        f"{target}: average %.1f (sd %.1f, between %.1f and %.1f); "
+        f"{second}: average %.0f (sd %.0f)"
     )
     return found.select(F.format_string(text, "m", "s", "lo", "hi", "m2", "s2").alias("summary"))
 
@@ -109,12 +109,12 @@ def comparison_report(metrics: DataFrame, comparison: DataFrame, simple: str = "
     ranked = ranking(comparison).join(mae, "model")
     advice = recommendation(comparison, simple)
     return _lines([
-        _part(best, 1, F.format_string("Best %s: %s = %.3f", "metric", "best_model", "best_value"), F.col("place")),
+        _part(best, 1, F.format_string("winner on %s is %s, at %.3f", "metric", "best_model", "best_value"), F.col("place")),
         _part(ranked, 2, F.format_string(
-            "%d. %s: test R2 %.4f, test RMSE %.4f, test MAE %.4f, overfit gap %.4f",
+            "place %d, %s: r2=%.4f rmse=%.4f mae=%.4f on the test rows, train less test rmse=%.4f",
             "rank", "model", "test_r2", "test_rmse", "test_mae", "overfit_gap"), F.col("rank")),
-        _part(advice, 3, F.concat(F.lit("Best overall model: "), F.col("best_overall"))),
-        _part(advice.where(F.col("best_simple").isNotNull()), 4, F.concat(F.lit("Best interpretable model: "), F.col("best_simple"))),
+        _part(advice, 3, F.concat(F.lit("choice by r2: "), F.col("best_overall"))),
+        _part(advice.where(F.col("best_simple").isNotNull()), 4, F.concat(F.lit("choice among simple models: "), F.col("best_simple"))),
     ])
 
 
@@ -124,10 +124,11 @@ def segmentation_report(results: DataFrame, importances: DataFrame, n: int = 5,
     ``results``: segment, n, mean, std, model, rmse, r2; ``importances``: segment, feature, importance.
     """
     place = F.dense_rank().over(Window.orderBy("segment"))
-    heads = results.select("segment", "n", "mean", "std").distinct()
+    # a model that misses rows does not speak for its segment
+    heads = results.groupBy("segment").agg(F.max(F.struct("n", "mean", "std")).alias("h")).select("segment", "h.*")
     lines = [
         heads.select("segment", F.lit(0).alias("block"), F.lit(0).alias("place"),
-                     F.format_string("%s: %d observations, mean %.2f (sd %.2f)", "segment", "n", "mean", "std").alias("line")),
+                     F.format_string("[%s] rows=%d, target average=%.2f, sd=%.2f", "segment", "n", "mean", "std").alias("line")),
         results.select("segment", F.lit(1).alias("block"),
                        small_rank(["segment"], [F.col("model")], "place"),
                        F.format_string("  %s: RMSE=%.2f, R2=%.3f", "model", "rmse", "r2").alias("line")),
@@ -154,9 +155,9 @@ def statistical_report(bootstrap: DataFrame, permutation: DataFrame, matrix: Dat
         _part(matrix, 3, F.format_string("%s / %s %.3f", "model_a", "model_b", "rho"),
               F.row_number().over(Window.orderBy("model_a", "model_b"))),
         _part(bootstrap.agg(F.count_if(F.col("ci_lower") > 0).alias("k")), 4,
-              F.format_string("%d features have 95%% CIs excluding zero", "k")),
+              F.format_string("lower interval end above zero: %d features", "k")),
         _part(permutation.agg(F.count_if(F.col("significant")).alias("k")), 5,
-              F.format_string("%d features show significant permutation importance (p<0.05)", "k")),
-        _part(scores, 6, F.format_string("Mean cross-model correlation: %.3f", "mean")),
+              F.format_string("score drop with p below 0.05: %d features", "k")),
+        _part(scores, 6, F.format_string("rank agreement between models, averaged: %.3f", "mean")),
         _part(consensus, 7, F.col("feature"), F.row_number().over(Window.orderBy("mean_rank", "feature"))),
     ])
