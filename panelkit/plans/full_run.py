@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.models import trees as T
 from panelkit.operators import importance as I
+from panelkit.functions.scalar import quoted
 from panelkit.operators import impute, inference, metrics, quality, segments, splits
 from panelkit.operators.features import derive
+from panelkit.operators.panel import repeated_keys, widen, with_year_feature
 from panelkit.operators.permutation import permutation_importance
 from panelkit.plans import reports as R
 from panelkit.session import materialise
 from panelkit.sources import fixed_values as fixed
+from panelkit.sources.pages import collect_indicators
+from panelkit.sources.tables import nan_to_null, safe_columns, safe_name
 
 
 @dataclass
@@ -27,12 +31,13 @@ class RunOptions:
     threshold: float = 0.6
     n_neighbors: int = 5
     outliers: str | None = None
-    specs: Sequence[dict[str, Any]] = ()
+    specs: Sequence[dict[str, Any]] = tuple(fixed.FEATURE_SPECS)
     models: Sequence[str] = (*T.MLLIB, *T.BOOSTED)
     params: dict[str, dict[str, Any]] = field(default_factory=dict)
     grids: dict[str, dict[str, Sequence[Any]]] = field(default_factory=dict)
     bands: Sequence[tuple] = tuple(fixed.TARGET_BANDS)
     segment_column: str | None = None
+    income_column: str | None = "NY.GDP.PCAP"  # quartile segments of the first feature whose name holds this text
     segment_models: Sequence[str] = tuple(T.SEGMENT_DEFAULTS)
     segment_params: dict[str, dict[str, Any]] = field(default_factory=dict)
     tested_model: str = "xgboost"
@@ -44,9 +49,44 @@ class RunOptions:
     statistics: bool = True
 
 
+def ingest(spark: SparkSession, path: str, names: Sequence[str] | None = None, start_year: int = 2000, end_year: int = 2023) -> DataFrame:
+    """Landed indicator pages to a panel: ``row_id`` (code and year), code, name, year, a column per indicator, ``year_feature``.
+
+    ``names`` are the wanted indicators in order, else those found, sorted. An indicator with two records for a code and year is refused.
+    """
+    long = materialise(collect_indicators(spark, path, start_year, end_year), "indicators")
+    keys = ["entity_code", "year"]
+    doubled = repeated_keys(long, keys, "indicator").limit(1).collect()
+    if doubled:
+        raise ValueError(f"more than one value of {doubled[0]['indicator']} for {doubled[0]['entity_code']} {doubled[0]['year']}")
+    if names is None:
+        names = sorted(r["indicator"] for r in long.select("indicator").distinct().collect())
+    labels = long.groupBy("entity_code").agg(F.min("entity_name").alias("entity_name"))
+    wide = widen(long, keys, "indicator", "value", names).join(labels, "entity_code")
+    row_id = F.concat_ws("-", "entity_code", F.col("year").cast("string")).alias("row_id")
+    return with_year_feature(wide.select(row_id, "entity_code", "entity_name", "year", *[quoted(n) for n in names]))
+
+
+def _safe_spec(spec: dict[str, Any]) -> dict[str, Any]:
+    """A spec on safe column names; its own name, operation and numbers stay."""
+    change = lambda v: safe_name(v) if isinstance(v, str) else [safe_name(x) for x in v] if isinstance(v, list) else v
+    return {**spec, "dependencies": change(spec.get("dependencies", [])),
+            "parameters": {k: change(v) for k, v in spec.get("parameters", {}).items()}}
+
+
+def _with_codes(df: DataFrame, codes: dict[str, str]) -> DataFrame:
+    """Names of columns, and of features in a result, as the caller knows them."""
+    changed = {a: b for a, b in codes.items() if a != b}
+    if not changed:
+        return df
+    df = df.toDF(*[changed.get(c, c) for c in df.columns])
+    names = F.create_map(*[F.lit(x) for pair in changed.items() for x in pair])
+    return df.withColumns({c: F.coalesce(names[F.col(c)], F.col(c)) for c in ("feature", "variable") if c in df.columns})
+
+
 def prepare(panel: DataFrame, row_id: str, target: str, ids: Sequence[str], options: RunOptions) -> tuple[DataFrame, list[str]]:
     """Known targets, sparse columns dropped, values imputed, features derived, outliers removed; and the feature list."""
-    df = quality.known_target(panel, target)
+    df = quality.known_target(nan_to_null(panel), target)
     features = [c for c in quality.numeric_columns(df, [*ids, row_id, target])]
     df, kept = impute.handle_missing(df, features, options.strategy, options.threshold, row_id, options.n_neighbors)
     df, skipped = derive(df, options.specs)
@@ -59,8 +99,31 @@ def prepare(panel: DataFrame, row_id: str, target: str, ids: Sequence[str], opti
 
 
 def run(panel: DataFrame, row_id: str, target: str, ids: Sequence[str], options: RunOptions | None = None) -> dict[str, DataFrame]:
-    """Every relation of the analysis by name; result relations are small, row relations stay distributed."""
+    """Every relation of the analysis by name; result relations are small, row relations stay distributed.
+
+    Column names may hold dots: the steps work on safe names, and all relations come back with the caller's names.
+    """
     options = options or RunOptions()
+    codes = {safe_name(c): c for c in panel.columns}
+    if len(codes) < len(panel.columns):
+        raise ValueError("two column names differ only in dots and underscores")
+    plain = replace(options, specs=[_safe_spec(s) for s in options.specs],
+                    segment_column=options.segment_column and safe_name(options.segment_column),
+                    income_column=options.income_column and safe_name(options.income_column))
+    found = _run(safe_columns(panel), safe_name(row_id), safe_name(target), [safe_name(i) for i in ids], plain)
+    return {name: _with_codes(df, codes) for name, df in found.items()}
+
+
+def _segments(rows: DataFrame, column: str, name: str, features: Sequence[str], target: str, row_id: str, options: RunOptions) -> dict[str, DataFrame]:
+    scored, found = T.train_segments(rows, column, features, target, row_id, options.segment_models, options.segment_params)
+    sizes = segments.segment_summary(rows.select(F.col(column).alias("segment"), target), "segment", target)
+    results = metrics.regression_metrics(scored, ["segment", "model"]).drop("n").join(sizes, "segment")
+    lead = options.tested_model if options.tested_model in options.segment_models else options.segment_models[0]
+    report = R.segmentation_report(results, found.where(F.col("model") == lead))
+    return {f"{name}s": results, f"{name}_importances": found, f"{name}_report": report}
+
+
+def _run(panel: DataFrame, row_id: str, target: str, ids: Sequence[str], options: RunOptions) -> dict[str, DataFrame]:
     spark = panel.sparkSession
     prepared, features = prepare(panel, row_id, target, ids, options)
     rows = materialise(splits.with_split(prepared, row_id), "prepared")
@@ -94,13 +157,11 @@ def run(panel: DataFrame, row_id: str, target: str, ids: Sequence[str], options:
     out["bands"] = metrics.band_metrics(test, options.bands)
 
     if options.segment_column:
-        scored, found = T.train_segments(prepared, options.segment_column, features, target, row_id,
-                                         options.segment_models, options.segment_params)
-        sizes = segments.segment_summary(prepared.withColumnRenamed(options.segment_column, "segment"), "segment", target)
-        out["segments"] = metrics.regression_metrics(scored, ["segment", "model"]).drop("n").join(sizes, "segment")
-        out["segment_importances"] = found
-        lead = options.tested_model if options.tested_model in options.segment_models else options.segment_models[0]
-        out["segment_report"] = R.segmentation_report(out["segments"], found.where(F.col("model") == lead))
+        out.update(_segments(rows, options.segment_column, "segment", features, target, row_id, options))
+    income = next((f for f in features if options.income_column and options.income_column in f), None)
+    if income is not None:
+        by_income = segments.quartile_segment(rows, income, fixed.INCOME_LABELS, "income_segment")
+        out.update(_segments(materialise(by_income, "income"), "income_segment", "income_segment", features, target, row_id, options))
 
     if options.statistics:
         key = options.tested_model

@@ -18,6 +18,7 @@ from panelkit.plans.catalog import q, query, r, rounded
 from panelkit.plans.frames import with_sql
 from panelkit.session import fresh_path
 from panelkit.sources import dictionaries, pages, tables
+from panelkit.sources import fixed_values as fixed
 
 FEATURE_SPECS = [
     {"name": "price_rate", "operation": "ratio_scaled", "dependencies": ["price_avg", "total"],
@@ -484,6 +485,25 @@ def shipped_specs(spark, sf_dir):
     return rounded(derive(B.frame(spark, sf_dir), FEATURE_SPECS)[0].select("row_id", *FEATURE_SQL))
 
 
+# indicator codes of the shipped specs, played by columns of the frame
+ROLES = {
+    "SP.URB.TOTL": "n_items", "SP.POP.TOTL": "qty_avg", "NY.GDP.PCAP.CD": "total", "NE.EXP.GNFS.ZS": "ext_a", "NE.IMP.GNFS.ZS": "ext_n",
+    "SH.XPD.CHEX.GD.ZS": "price_avg", "SE.XPD.TOTL.GD.ZS": "bal", "SL.TLF.CACT.MA.ZS": "disc_avg", "SL.TLF.CACT.FE.ZS": "tax_avg",
+    "NV.AGR.TOTL.ZS": "ext_a", "NV.IND.TOTL.ZS": "ext_n", "NV.SRV.TOTL.ZS": "ext_r",
+}
+
+
+@query("f8b_indicator_specs", with_sql("frame", f"""SELECT row_id, round(n_items / nullif(qty_avg, 0) * 100, 6) AS urbanization_rate,
+    round(CASE WHEN total > -1 THEN ln(1 + total) END, 6) AS log_gdp_per_capita, round(coalesce(ext_a, 0) + coalesce(ext_n, 0), 6) AS trade_openness,
+    round(price_avg / nullif(bal, 0), 6) AS health_to_edu_ratio, round(disc_avg - tax_avg, 6) AS gender_labor_gap,
+    round({FEATURE_SQL['flag_diversity']}, 6) AS economic_diversity FROM frame"""))
+def indicator_specs(spark, sf_dir):
+    coded = B.frame(spark, sf_dir).select("row_id", *[F.col(c).alias(code) for code, c in ROLES.items()])
+    derived, skipped = derive(coded, fixed.FEATURE_SPECS)
+    assert not skipped
+    return rounded(derived.select("row_id", *[s["name"] for s in fixed.FEATURE_SPECS]))
+
+
 @query("f10_quartile_bins", with_sql("frame", f"""SELECT row_id, {_quartile_case} AS segment
     FROM frame, (SELECT {QUARTILES.format(c='price_avg')} FROM frame) b"""))
 def quartile_bins(spark, sf_dir):
