@@ -20,7 +20,7 @@ from panelkit.operators import importance as I  # noqa: E402
 from panelkit.operators import metrics as M  # noqa: E402
 from panelkit.plans import frames as B  # noqa: E402
 from panelkit.plans import model_queries, registry  # noqa: E402
-from panelkit.session import build_session  # noqa: E402
+from panelkit.session import build_session, clean_up  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -79,6 +79,7 @@ def main() -> None:
         "metric": "total_seconds", "value": round(sum(timings.values()), 3), "unit": "sec", "queries": timings,
         "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
     }))
+    clean_up(spark)
     spark.stop()
 
 

@@ -202,7 +202,7 @@ def _fold(block: dict, trees: dict[int, tuple]) -> dict:
     return {**block, "f": margins}
 
 
-def quantile_edges(df: DataFrame, features: Sequence[str], max_bins: int = 64) -> list[list[float]]:
+def quantile_edges(df: DataFrame, features: Sequence[str], max_bins: int = 255) -> list[list[float]]:
     """Inner bin edges per feature from one mergeable sketch pass; a row is in bin b when edge[b-1] < x <= edge[b]."""
     steps = [k / max_bins for k in range(1, max_bins)]
     row = df.agg(*[F.percentile_approx(quoted(c).cast("double"), steps, 10_000).alias(f"e{i}") for i, c in enumerate(features)]).first()
@@ -496,7 +496,7 @@ def fit_boosted(
     params: BoostParams | Sequence[BoostParams] | None = None,
     weights: Column | None = None,
     edges: Sequence[Sequence[float]] | None = None,
-    max_bins: int = 64,
+    max_bins: int = 255,
     block_rows: int = BLOCK_ROWS,
 ) -> BoostedModels:
     """Train one ensemble per entry of ``params``.

@@ -90,7 +90,8 @@ def positions(
         edges = value_bounds(rows, value)
     placed = with_bucket(rows, value, edges)
     alone = single_value_buckets(edges)
-    spread = F.pmod(F.xxhash64(tie), F.lit(64)).cast("int")
+    pieces = max(1, math.ceil(placed.where(F.col("bucket").isin(alone)).count() / ROWS_PER_BUCKET)) if alone else 1
+    spread = F.pmod(F.xxhash64(tie), F.lit(pieces)).cast("int")
     placed = placed.withColumn("part", F.when(F.col("bucket").isin(alone), spread).otherwise(0) if alone else F.lit(0))
     sizes = placed.groupBy(*keys, "bucket", "part").agg(F.count(F.lit(1)).alias("size"))
     earlier = Window.partitionBy(*keys).orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,9 +104,10 @@ def positions(
 
 
 def hash_positions(df: DataFrame, keys: Sequence[str], digest: str, name: str = "position") -> DataFrame:
-    """Positions 1..n ordered by a hex digest column; digests are uniform, so their prefix is the bucket."""
+    """Positions 1..n ordered by a hex digest column; digests are uniform, so a prefix that fits their number is the bucket."""
     keys = list(keys)
-    placed = df.withColumn("bucket", F.substring(digest, 1, 3))
+    digits = 1 + int(math.log(max(df.count() / ROWS_PER_BUCKET, 1), 16))
+    placed = df.withColumn("bucket", F.substring(digest, 1, digits))
     sizes = placed.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("size"))
     earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))

@@ -23,7 +23,7 @@ IDS = ["row_id", "entity", "region_key", "year", "month"]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 MODELS = ["m_const", "m_entity", "m_lin", "m_prod", "m_ym"]
 NULL_RATES = {"target": 10, "tax_avg": 70, "bal": 20, "qty_avg": 5, "disc_avg": 3}
-REPLICATES = 20
+REPLICATES = 100
 FOLDS = 5
 BANDS = [(0, 1500, "0-1500"), (1500, 2500, "1500-2500"), (2500, 3500, "2500-3500"), (3500, None, "3500+")]
 
@@ -34,9 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def state(spark: SparkSession, sf_dir: str) -> str:
+    """Name, size and age of the tables below a folder, so that nothing is kept beyond a change of them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    return ",".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
+
+
 def written(spark: SparkSession, sf_dir: str, label: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A relation that several steps of a plan read: built once per session and kept as a table."""
-    key = (spark.sparkContext.applicationId, sf_dir, label)
+    """A relation that several steps of a plan read: built once per session and state of the tables, and kept as a table."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} {state(spark, sf_dir)}", label)
     if key not in _written:
         _written[key] = materialise(build(), label)
     return _written[key]

@@ -42,7 +42,7 @@ def train_rows(spark, sf_dir) -> DataFrame:
 
 
 def fitted(spark, sf_dir, key: str) -> T.TreeModel:
-    place = (spark.sparkContext.applicationId, sf_dir, key)
+    place = (spark.sparkContext.applicationId, f"{sf_dir} {B.state(spark, sf_dir)}", key)
     if place not in _models:
         _models[place] = T.train(key, train_rows(spark, sf_dir), B.FEATURES, "target", "row_id", QUICK[key])
     return _models[place]
@@ -93,19 +93,19 @@ def cross_validation(spark, sf_dir):
     return M.cross_validation_summary(parts[0].unionByName(parts[1]))
 
 
-@query("m9_predictions", with_sql("frame", "SELECT row_id, model FROM frame CROSS JOIN (SELECT unnest(['decision_tree', 'xgboost']) AS model)"))
+@query("m9_predictions", with_sql("frame", f"SELECT row_id, model FROM frame CROSS JOIN (SELECT unnest({list(QUICK)}) AS model)"))
 def model_predictions(spark, sf_dir):
-    models = {k: fitted(spark, sf_dir, k) for k in ("decision_tree", "xgboost")}
+    models = {k: fitted(spark, sf_dir, k) for k in QUICK}
     scored = T.predict_long(models, split_rows(spark, sf_dir), "row_id", "target")
     return scored.where(F.col("prediction").isNotNull()).select("row_id", "model")
 
 
 @query("m10_importances")
 def model_importances(spark, sf_dir):
-    return T.importances_long({k: fitted(spark, sf_dir, k) for k in ("decision_tree", "random_forest", "xgboost", "lightgbm")}, spark)
+    return T.importances_long({k: fitted(spark, sf_dir, k) for k in QUICK}, spark)
 
 
-@query("m10b_importance_sums", "SELECT unnest(['decision_tree', 'random_forest', 'xgboost', 'lightgbm']) AS model, 1.0::DOUBLE AS total, 7::BIGINT AS features")
+@query("m10b_importance_sums", f"SELECT unnest({list(QUICK)}) AS model, 1.0::DOUBLE AS total, 7::BIGINT AS features")
 def importance_sums(spark, sf_dir):
     return model_importances(spark, sf_dir).groupBy("model").agg(
         F.round(F.sum("importance"), 6).alias("total"), F.count(F.lit(1)).alias("features"))
@@ -116,6 +116,23 @@ def train_all(spark, sf_dir):
     return model_metrics(spark, sf_dir, list(QUICK))
 
 
+@query("m11b_model_checks", with_sql("split_frame", f"""SELECT model, split, count(*) AS n, true AS beats_mean
+    FROM split_frame CROSS JOIN (SELECT unnest({list(QUICK)}) AS model) GROUP BY 1, 2"""))
+def model_checks(spark, sf_dir):
+    """Every model scores all rows of both splits, and better than the mean does."""
+    return model_metrics(spark, sf_dir, list(QUICK)).select("model", "split", "n", (F.col("r2") > 0).alias("beats_mean"))
+
+
+@query("m8b_fold_checks", with_sql("split_frame", """SELECT model, CAST(fold AS INTEGER) AS fold, count(*) AS n, true AS beats_mean FROM (
+    SELECT model, CAST(('0x' || substr(md5(concat(row_id, ':fold42')), 1, 8)) AS BIGINT) % 5 AS fold FROM split_frame
+    CROSS JOIN (SELECT unnest(['decision_tree', 'xgboost']) AS model) WHERE split = 'train') GROUP BY 1, 2"""))
+def fold_checks(spark, sf_dir):
+    """Each fold is predicted once by a model that did not see it."""
+    parts = [T.cross_validate(k, train_rows(spark, sf_dir), B.FEATURES, "target", "row_id", QUICK[k]) for k in ("decision_tree", "xgboost")]
+    found = parts[0].unionByName(parts[1]).groupBy("model", "fold").agg(F.count("prediction").alias("n"), M.r2().alias("r2"))
+    return found.select("model", "fold", "n", (F.col("r2") > 0).alias("beats_mean"))
+
+
 def regional(spark, sf_dir) -> DataFrame:
     return segments.lookup_segment(B.frame(spark, sf_dir).select("row_id", "entity", "target", *B.FEATURES), "entity", B.region_dimension(spark, sf_dir))
 
@@ -142,9 +159,20 @@ def segment_test_rows(spark, sf_dir):
     return scored.where(F.col("prediction").isNotNull()).groupBy("segment", "model").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("q5b_segment_checks", with_sql(["frame", "region_dim"], """SELECT segment, model, n, round(mean, 4) AS mean, round(std, 4) AS std, true AS beats_mean FROM (
+    SELECT coalesce(label, 'Other') AS segment, count(*) AS n, avg(target) AS mean, stddev_pop(target) AS std
+    FROM frame LEFT JOIN region_dim ON code = entity GROUP BY 1) CROSS JOIN (SELECT unnest(['random_forest', 'xgboost', 'lightgbm']) AS model)"""))
+def segment_checks(spark, sf_dir):
+    """All three models per region, with the region's size, and better than its mean."""
+    scored, _ = segment_training(spark, sf_dir)
+    sizes = segments.segment_summary(regional(spark, sf_dir), "segment", "target")
+    found = M.regression_metrics(scored, ["segment", "model"]).drop("n").join(sizes, "segment")
+    return found.select("segment", "model", "n", r("mean", 4).alias("mean"), r("std", 4).alias("std"), (F.col("r2") > 0).alias("beats_mean"))
+
+
 @query("q5_segment_results")
 def segment_results(spark, sf_dir):
-    scored, _ = segment_training(spark, sf_dir, ("xgboost", "lightgbm"))
+    scored, _ = segment_training(spark, sf_dir)
     sizes = segments.segment_summary(regional(spark, sf_dir), "segment", "target")
     found = M.regression_metrics(scored, ["segment", "model"]).drop("n").join(sizes, "segment")
     return found.select(F.lit("Region").alias("segment_type"), "segment", "n", "mean", "std", "model", "rmse", "mae", "r2")
@@ -157,11 +185,19 @@ def bootstrap_intervals(spark, sf_dir):
     return I.replicate_summary(samples).orderBy(F.col("mean_importance").desc(), "feature")
 
 
+@query("x5b_replicate_checks", f"SELECT CAST(unnest(range(10)) AS INTEGER) AS replicate, {len(B.FEATURES)}::BIGINT AS features, 1.0::DOUBLE AS total")
+def replicate_checks(spark, sf_dir):
+    """Every replicate rates every feature, and its importances sum to one."""
+    samples = T.bootstrap_importances("xgboost", train_rows(spark, sf_dir), B.FEATURES, "target", "row_id", 10,
+                                      {"n_estimators": 5, "max_depth": 4, "learning_rate": 0.3})
+    return samples.groupBy("replicate").agg(F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"))
+
+
 @query("x6b_model_permutation")
 def model_permutation(spark, sf_dir):
     model = fitted(spark, sf_dir, "xgboost")
     test = split_rows(spark, sf_dir).where(F.col("split") == "test")
-    return permutation_importance(test, "row_id", "target", B.FEATURES, model.importances(spark), T.predictor(model), 10, 5)
+    return permutation_importance(test, "row_id", "target", B.FEATURES, model.importances(spark), T.predictor(model), 50, len(B.FEATURES))
 
 
 @query("x4c_model_consistency")
