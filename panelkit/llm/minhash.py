@@ -25,6 +25,10 @@ SIMILARITY = 0.8
 REGISTERS = 128  # a power of two: the register is the low bits of a random word
 BANDS = 25
 ROWS = 5
+#: Pairs whose registers agree this much less than the bound are not verified: over five deviations of the estimate.
+SLACK = 0.2
+#: Members of a crowded bucket are dealt to groups of about this size.
+GROUP = 1024
 
 
 def shingles(piece: W.Piece, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,14 +133,18 @@ def _verify(width: int, similarity: float):
     return run
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of ``id`` that share a band: each bucket's members against two centres, not against each other.
+def bucket_members(classes: DataFrame) -> DataFrame:
+    """``bucket, id, n, low`` of all buckets with more than one member."""
+    rows = classes.select("id", F.explode("bands").alias("bucket"))
+    buckets = materialise(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1"), "buckets")
+    return materialise(rows.join(buckets, "bucket"), "members")
+
+
+def central_pairs(members: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of each bucket's members and its two centres, instead of all members with each other.
 
     The centres are the smallest id and the member that shares most buckets with others, which lies amid a group of copies of one text.
     """
-    rows = classes.select("id", F.explode("bands").alias("bucket"))
-    buckets = materialise(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1"), "buckets")
-    members = materialise(rows.join(buckets, "bucket"), "members")
     weight = materialise(members.groupBy("id").agg(F.sum("n").alias("weight")), "weights")
     amid = members.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("amid"))
     amid = materialise(amid.select("bucket", (-F.col("amid.id")).alias("amid")), "amid")
@@ -144,6 +152,61 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     return pairs.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
+def _registers(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in W.pieces(batch.column(1)):
+                text, value, weight = shingles(piece, width)
+                found = signatures(text, value, weight.astype(np.float64), len(piece)).astype(np.uint32)
+                ids = batch.column(0).slice(piece.first, len(piece))
+                yield pa.record_batch([ids, pa.array([row.tobytes() for row in found], pa.binary())], ["id", "registers"])
+
+    return run
+
+
+def _alike(least: float):
+    """Pairs of a block whose members are in different components and whose registers agree often enough."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(block: pa.Table) -> pa.Table:
+        low, high = block.column("low")[0].as_py(), block.column("high")[0].as_py()
+        part, ids, component = (block.column(n).to_numpy() for n in ("part", "id", "component"))
+        registers = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in block.column("registers")])
+        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        out = []
+        for at in range(0, len(left), 256):
+            rows = left[at : at + 256]
+            agree = np.zeros((len(rows), len(right)), np.uint8)
+            for k in range(REGISTERS):
+                agree += registers[rows, k][:, None] == registers[right, k][None, :]
+            i, j = np.nonzero((agree >= least * REGISTERS) & (component[rows][:, None] != component[right][None, :]))
+            out.append(np.stack([np.minimum(ids[rows[i]], ids[right[j]]), np.maximum(ids[rows[i]], ids[right[j]])]))
+        found = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.table([pa.array(found[0]), pa.array(found[1])], schema=schema)
+
+    return run
+
+
+def remaining_pairs(members: DataFrame, found: DataFrame, bodies: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Pairs of bucket-mates that the links so far leave in different components and that are alike by their registers.
+
+    Only buckets that hold several components are looked at again. Their members are compared as blocks in tasks; a crowded bucket
+    is cut into groups, each pair of groups being a block.
+    """
+    placed = members.select("bucket", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn(
+        "component", F.coalesce("component", "id"))
+    placed = materialise(placed, "placed-members")
+    mixed = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    rows = placed.join(materialise(mixed.select("bucket", F.ceil(F.col("n") / GROUP).cast("int").alias("groups")), "mixed-buckets"), "bucket")
+    rows = materialise(rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int")), "mixed-members")
+    registers = bodies.join(rows.select("id").distinct(), "id").select("id", "body").mapInArrow(_registers(width), "id long, registers binary")
+    blocks = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select(
+        "bucket", "id", "component", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    alike = blocks.join(materialise(registers, "registers"), "id").groupBy("bucket", "low", "high").applyInArrow(
+        _alike(similarity - SLACK), "a long, b long")
+    return alike.distinct()
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE
 ) -> DataFrame:
@@ -159,13 +222,20 @@ def near_duplicates(
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("body")).where("id IS NOT NULL")
     signed = materialise(texts.mapInArrow(_signed(width), "id long, digest binary, bands array<long>"), "signatures")
     classes = materialise(signed.groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "texts")
-    pairs = materialise(candidate_pairs(classes), "pairs")
-    wanted = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+    members = bucket_members(classes)
+    wanted = materialise(members.select("id").distinct(), "wanted")
     bodies = materialise(texts.join(wanted, "id").groupBy("id").agg(F.min("body").alias("body")), "bodies")
-    both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a").join(
-        bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").select("a", "b", "body_a", "body_b")
-    links = both.mapInArrow(_verify(width, similarity), "a long, b long, similarity double")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a").join(
+            bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").select("a", "b", "body_a", "body_b")
+        return materialise(both.mapInArrow(_verify(width, similarity), "a long, b long, similarity double"), "near-links")
+
+    pairs = materialise(central_pairs(members), "pairs")
+    links = verified(pairs)
     found = components(links, "a", "b")
+    rest = materialise(remaining_pairs(members, found, bodies, width, similarity).join(pairs, ["a", "b"], "left_anti"), "rest")
+    found = components(links.unionByName(verified(rest)), "a", "b")
     class_of = classes.select("digest", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "digest", F.coalesce("component", "id").alias("class_id"))
     member = signed.select("id", "digest").join(materialise(class_of, "classes"), "digest").select("id", "class_id")

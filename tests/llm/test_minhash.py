@@ -66,6 +66,21 @@ def test_classes_match_brute_force(frame):
     assert set(got[0].asDict()) == {"doc_id", "text", "block", "extra", "class_id", "kept"}
 
 
+def test_no_link_hangs_on_a_centre(spark, frame, monkeypatch):
+    """With no centre compared at all, the second look finds every link; a chain of small edits is one class."""
+    monkeypatch.setattr(minhash, "central_pairs", lambda members: members.where("id < 0").selectExpr("id AS a", "id AS b"))
+    monkeypatch.setattr(minhash, "GROUP", 5)
+    rng = random.Random(9)
+    own = [f"w{rng.randrange(500)}" for _ in range(200)]
+    rows = []
+    for k in range(40):
+        own[rng.randrange(200)] = f"x{k}"
+        rows.append((k, " ".join(own)))
+    rows += [(k, " ".join(f"y{rng.randrange(500)}" for _ in range(150))) for k in range(40, 60)]
+    got = minhash.near_duplicates(frame(rows)).collect()
+    assert {r.doc_id: r.class_id for r in got} == brute(rows)
+
+
 def test_empty_table(frame):
     assert minhash.near_duplicates(frame([])).count() == 0
 
