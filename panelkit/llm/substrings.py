@@ -1,7 +1,7 @@
 """Removal of word windows that an earlier document already has.
 
 Rabin-Karp hashes of every window are counted in Spark without sending one row per window: documents fall into blocks of
-consecutive ids, and a task sends, for each bucket of hash values, the sorted distinct hashes of a block. As blocks follow the order
+consecutive ids, and a task sends, for each bucket of hash values, the sorted distinct hashes with their blocks. As blocks follow the order
 of ids, a bucket only tells each block which of its hashes an earlier block has; repeats inside a block are found where its texts are.
 A window in a third of all documents is therefore one entry per block and task.
 """
@@ -66,21 +66,21 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def _sketches(buckets: int, width: int):
     edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
-    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("blocks", pa.binary())])
 
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         value, block = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(block, kind="stable")
+        order = order[np.argsort(value[order], kind="stable")]
         value, block = value[order], block[order]
-        at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        new = np.r_[True, (value[1:] != value[:-1]) | (block[1:] != block[:-1])]
+        value, block = value[new], block[new]
+        cut = np.r_[0, np.searchsorted(value, edges), len(value)]
         out: tuple[list, list, list] = ([], [], [])
-        for start, end in zip(at, np.r_[at[1:], len(block)], strict=True):
-            own = np.unique(value[start:end])
-            cut = np.r_[0, np.searchsorted(own, edges), len(own)]
-            for bucket in np.flatnonzero(np.diff(cut)):
-                out[0].append(bucket)
-                out[1].append(block[start])
-                out[2].append(_pack(own[cut[bucket] : cut[bucket + 1]]))
+        for bucket in np.flatnonzero(np.diff(cut)):
+            own = slice(cut[bucket], cut[bucket + 1])
+            for column, item in zip(out, (bucket, _pack(value[own]), _pack(block[own])), strict=True):
+                column.append(item)
         return pa.record_batch([pa.array(x, t) for x, t in zip(out, schema.types, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,12 +104,9 @@ def _sketches(buckets: int, width: int):
 
 def _earlier(group: pa.Table) -> pa.Table:
     """For each block, its hashes of this bucket that a block of smaller ids has as well."""
-    group = group.sort_by("block")
-    blocks = group.column("block").to_numpy()
-    parts = [_unpack(x.as_py()) for x in group.column("hashes")]
-    value = np.concatenate(parts)
-    block = np.repeat(blocks, [len(x) for x in parts])
-    order = np.argsort(value, kind="stable")  # blocks stay in order
+    value, block = (np.concatenate([_unpack(x.as_py()) for x in group.column(n)]) for n in ("hashes", "blocks"))
+    order = np.argsort(block, kind="stable")
+    order = order[np.argsort(value[order], kind="stable")]
     value, block = value[order], block[order]
     start = np.r_[True, value[1:] != value[:-1]]
     first = block[np.flatnonzero(start)][np.cumsum(start) - 1]
@@ -119,7 +116,7 @@ def _earlier(group: pa.Table) -> pa.Table:
     value, block = value[order], block[order]
     at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, int)
     return pa.table({
-        "block": pa.array(block[at], pa.int64()),
+        "block": pa.array(block[at].astype(np.int64), pa.int64()),
         "hashes": pa.array([_pack(np.unique(x)) for x in np.split(value, at[1:])] if len(at) else [], pa.binary()),
     })
 
@@ -177,7 +174,7 @@ def remove_repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "t
     block, buckets = _block(docs, key, text)
     placed = docs.withColumn("block", block)
     sketches = placed.where("block >= 0").select("block", text).mapInArrow(
-        _sketches(buckets, width), "bucket int, block long, hashes binary")
+        _sketches(buckets, width), "bucket int, hashes binary, blocks binary")
     earlier = sketches.groupBy("bucket").applyInArrow(_earlier, "block long, hashes binary")
     schema = T.StructType([*docs.schema.fields, *RESULT.fields])
     return placed.groupBy("block").cogroup(earlier.groupBy("block")).applyInArrow(_remove(width, key, text, docs.columns), schema)
