@@ -165,7 +165,7 @@ def _registers(width: int):
 
 
 def _alike(least: float):
-    """Pairs of a block whose members are in different components and whose registers agree often enough."""
+    """For each member of a block its likest one in another component, if their registers agree often enough: a pair a member at most."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(block: pa.Table) -> pa.Table:
@@ -173,34 +173,48 @@ def _alike(least: float):
         part, ids, component = (block.column(n).to_numpy() for n in ("part", "id", "component"))
         registers = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in block.column("registers")])
         left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
-        out = []
+        out, best, partner = [], np.zeros(len(right), np.uint8), np.zeros(len(right), np.int64)
         for at in range(0, len(left), 256):
             rows = left[at : at + 256]
             agree = np.zeros((len(rows), len(right)), np.uint8)
             for k in range(REGISTERS):
                 agree += registers[rows, k][:, None] == registers[right, k][None, :]
-            i, j = np.nonzero((agree >= least * REGISTERS) & (component[rows][:, None] != component[right][None, :]))
-            out.append(np.stack([np.minimum(ids[rows[i]], ids[right[j]]), np.maximum(ids[rows[i]], ids[right[j]])]))
-        found = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
+            agree[(agree < least * REGISTERS) | (component[rows][:, None] == component[right][None, :])] = 0
+            if not len(right):
+                continue
+            mine, theirs = agree.argmax(1), agree.argmax(0)
+            some = np.flatnonzero(agree.max(1))
+            out.append(np.stack([ids[rows[some]], ids[right[mine[some]]]]))
+            better = agree.max(0) > best
+            best, partner = np.where(better, agree.max(0), best), np.where(better, ids[rows[theirs]], partner)
+        out.append(np.stack([partner[best > 0], ids[right[best > 0]]]))
+        found = np.unique(np.sort(np.concatenate(out, 1), axis=0), axis=1)
         return pa.table([pa.array(found[0]), pa.array(found[1])], schema=schema)
 
     return run
 
 
 def remaining_pairs(members: DataFrame, found: DataFrame, bodies: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Pairs of bucket-mates that the links so far leave in different components and that are alike by their registers.
+    """For bucket-mates that the links so far leave in different components: each one's likest mate elsewhere, by registers.
 
-    Only buckets that hold several components are looked at again. Their members are compared as blocks in tasks; a crowded bucket
-    is cut into groups, each pair of groups being a block.
+    Only buckets that hold several components are looked at again. Members outside the bucket's largest component are compared with
+    all others, as blocks of two groups in a task; those of the largest component are not compared with each other.
     """
     placed = members.select("bucket", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
     placed = materialise(placed, "placed-members")
-    mixed = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    rows = placed.join(materialise(mixed.select("bucket", F.ceil(F.col("n") / GROUP).cast("int").alias("groups")), "mixed-buckets"), "bucket")
-    rows = materialise(rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int")), "mixed-members")
+    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("bucket").agg(
+        F.count("*").alias("kinds"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("largest")).where("kinds > 1")
+    groups = lambda n: F.ceil(n / F.lit(GROUP)).cast("int")
+    mixed = materialise(mixed.select("bucket", F.col("largest.component").alias("main"), groups(F.col("n") - F.col("largest.n")).alias("few"),
+                                     groups(F.col("largest.n")).alias("many")), "mixed-buckets")
+    rows = placed.join(mixed, "bucket").withColumn("inner", F.col("component") == F.col("main"))
+    part = F.when(F.col("inner"), F.col("few") + F.pmod(F.xxhash64("id"), F.col("many"))).otherwise(F.pmod(F.xxhash64("id"), F.col("few")))
+    rows = materialise(rows.withColumn("part", part.cast("int")).withColumn(
+        "others", F.when(F.col("inner"), F.col("few")).otherwise(F.col("few") + F.col("many"))), "mixed-members")
     registers = bodies.join(rows.select("id").distinct(), "id").select("id", "body").mapInArrow(_registers(width), "id long, registers binary")
-    blocks = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select(
+    blocks = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).select(
         "bucket", "id", "component", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     alike = blocks.join(materialise(registers, "registers"), "id").groupBy("bucket", "low", "high").applyInArrow(
         _alike(similarity - SLACK), "a long, b long")
@@ -234,8 +248,13 @@ def near_duplicates(
     pairs = materialise(central_pairs(members), "pairs")
     links = verified(pairs)
     found = components(links, "a", "b")
-    rest = materialise(remaining_pairs(members, found, bodies, width, similarity).join(pairs, ["a", "b"], "left_anti"), "rest")
-    found = components(links.unionByName(verified(rest)), "a", "b")
+    while True:  # each round joins components by their likest members, as long as that finds links
+        rest = materialise(remaining_pairs(members, found, bodies, width, similarity).join(pairs, ["a", "b"], "left_anti"), "rest")
+        more = verified(rest)
+        if more.isEmpty():
+            break
+        links, pairs = links.unionByName(more), pairs.unionByName(rest)
+        found = components(links, "a", "b")
     class_of = classes.select("digest", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "digest", F.coalesce("component", "id").alias("class_id"))
     member = signed.select("id", "digest").join(materialise(class_of, "classes"), "digest").select("id", "class_id")
