@@ -114,15 +114,19 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return shared / (len(va) + len(vb) - shared), float((1.0 / total).sum())
 
 
+def _sets(piece: W.Piece, text: np.ndarray, value: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted shingles of each text of a piece, with their counts."""
+    cut = np.searchsorted(text, np.arange(len(piece) + 1))
+    for k in range(len(piece)):
+        own = value[cut[k] : cut[k + 1]]
+        order = np.argsort(own)
+        yield own[order], count[cut[k] : cut[k + 1]][order]
+
+
 def _verify(width: int, similarity: float):
     def sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for piece in W.pieces(column):
-            text, value, count = shingles(piece, width)
-            cut = np.searchsorted(text, np.arange(len(piece) + 1))
-            for k in range(len(piece)):
-                own = value[cut[k] : cut[k + 1]]
-                order = np.argsort(own)
-                yield own[order], count[cut[k] : cut[k + 1]][order]
+            yield from _sets(piece, *shingles(piece, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,53 +156,89 @@ def central_pairs(members: DataFrame) -> DataFrame:
     return pairs.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
-def _registers(width: int):
+def _sketches(width: int):
+    """Registers, and the sorted shingles with their counts."""
+    schema = pa.schema([("id", pa.int64()), ("registers", pa.binary()), ("shingles", pa.binary()), ("counts", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in W.pieces(batch.column(1)):
                 text, value, weight = shingles(piece, width)
                 found = signatures(text, value, weight.astype(np.float64), len(piece)).astype(np.uint32)
-                ids = batch.column(0).slice(piece.first, len(piece))
-                yield pa.record_batch([ids, pa.array([row.tobytes() for row in found], pa.binary())], ["id", "registers"])
+                own, times = [], []
+                for value, count in _sets(piece, text, value, weight):
+                    own.append(value.tobytes())
+                    times.append(count.astype(np.uint32).tobytes())
+                yield pa.record_batch([batch.column(0).slice(piece.first, len(piece)), pa.array([row.tobytes() for row in found], pa.binary()),
+                                       pa.array(own, pa.binary()), pa.array(times, pa.binary())], schema=schema)
+
+    return run
+
+
+def _pairs(block: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of a block's members in different components whose registers agree often enough, and how often they do; each pair once."""
+    low, high = block.column("low")[0].as_py(), block.column("high")[0].as_py()
+    part, component = (block.column(n).to_numpy() for n in ("part", "component"))
+    registers = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in block.column("registers")])
+    left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+    for at in range(0, len(left), 256):
+        rows = left[at : at + 256]
+        agree = np.zeros((len(rows), len(right)), np.uint8)
+        for k in range(REGISTERS):
+            agree += registers[rows, k][:, None] == registers[right, k][None, :]
+        wanted = (agree >= least * REGISTERS) & (component[rows][:, None] != component[right][None, :])
+        if low == high:
+            wanted &= rows[:, None] < right[None, :]
+        x, y = np.nonzero(wanted)
+        yield rows[x], right[y], agree[x, y]
+
+
+def _paired(least: float):
+    """The members of a block that have a pair to verify."""
+
+    def run(block: pa.Table) -> pa.Table:
+        some = np.zeros(len(block), bool)
+        for x, y, _ in _pairs(block, least):
+            some[x] = some[y] = True
+        return block.select(["bucket", "id", "component", "part", "low", "high"]).filter(pa.array(some))
 
     return run
 
 
-def _alike(least: float):
-    """For each member of a block its likest one in another component, if their registers agree often enough: a pair a member at most."""
+def _linked(least: float, similarity: float):
+    """Links of a block: its pairs are verified from the likest on, unless links before have joined their components."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(block: pa.Table) -> pa.Table:
-        low, high = block.column("low")[0].as_py(), block.column("high")[0].as_py()
-        part, ids, component = (block.column(n).to_numpy() for n in ("part", "id", "component"))
-        registers = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in block.column("registers")])
-        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
-        out, best, partner = [], np.zeros(len(right), np.uint8), np.zeros(len(right), np.int64)
-        for at in range(0, len(left), 256):
-            rows = left[at : at + 256]
-            agree = np.zeros((len(rows), len(right)), np.uint8)
-            for k in range(REGISTERS):
-                agree += registers[rows, k][:, None] == registers[right, k][None, :]
-            agree[(agree < least * REGISTERS) | (component[rows][:, None] == component[right][None, :])] = 0
-            if not len(right):
-                continue
-            mine, theirs = agree.argmax(1), agree.argmax(0)
-            some = np.flatnonzero(agree.max(1))
-            out.append(np.stack([ids[rows[some]], ids[right[mine[some]]]]))
-            better = agree.max(0) > best
-            best, partner = np.where(better, agree.max(0), best), np.where(better, ids[rows[theirs]], partner)
-        out.append(np.stack([partner[best > 0], ids[right[best > 0]]]))
-        found = np.unique(np.sort(np.concatenate(out, 1), axis=0), axis=1)
-        return pa.table([pa.array(found[0]), pa.array(found[1])], schema=schema)
+        ids, component = block.column("id").to_numpy(), block.column("component").to_numpy()
+        sets = [(np.frombuffer(v.as_py(), np.uint64), np.frombuffer(c.as_py(), np.uint32))
+                for v, c in zip(block.column("shingles"), block.column("counts"), strict=True)]
+        x, y, agree = (np.concatenate(c) for c in zip(*_pairs(block, least), (np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint8)), strict=True))
+        root = {c: c for c in component.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        for k in np.argsort(-agree.astype(np.int16), kind="stable"):
+            one, other = find(int(component[x[k]])), find(int(component[y[k]]))
+            if one != other and max(likeness(sets[x[k]], sets[y[k]])) >= similarity - 1e-12:
+                root[other] = one
+                out.append(sorted((int(ids[x[k]]), int(ids[y[k]]))))
+        return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], schema=schema)
 
     return run
 
 
-def remaining_pairs(members: DataFrame, found: DataFrame, bodies: DataFrame, width: int, similarity: float) -> DataFrame:
-    """For bucket-mates that the links so far leave in different components: each one's likest mate elsewhere, by registers.
+def remaining_links(members: DataFrame, found: DataFrame, bodies: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links ``a < b`` that join the components which bucket-mates are left in by the links so far.
 
     Only buckets that hold several components are looked at again. Members outside the bucket's largest component are compared with
-    all others, as blocks of two groups in a task; those of the largest component are not compared with each other.
+    all others, as blocks of two groups in a task; those of the largest component are not compared with each other. Every pair of a
+    block that agrees in enough registers is verified there, so no pair is a row; only members with such a pair bring their shingles.
     """
     placed = members.select("bucket", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
@@ -213,12 +253,15 @@ def remaining_pairs(members: DataFrame, found: DataFrame, bodies: DataFrame, wid
     part = F.when(F.col("inner"), F.col("few") + F.pmod(F.xxhash64("id"), F.col("many"))).otherwise(F.pmod(F.xxhash64("id"), F.col("few")))
     rows = materialise(rows.withColumn("part", part.cast("int")).withColumn(
         "others", F.when(F.col("inner"), F.col("few")).otherwise(F.col("few") + F.col("many"))), "mixed-members")
-    registers = bodies.join(rows.select("id").distinct(), "id").select("id", "body").mapInArrow(_registers(width), "id long, registers binary")
+    sketches = materialise(bodies.join(rows.select("id").distinct(), "id").select("id", "body").mapInArrow(
+        _sketches(width), "id long, registers binary, shingles binary, counts binary"), "sketches")
     blocks = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).select(
         "bucket", "id", "component", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    alike = blocks.join(materialise(registers, "registers"), "id").groupBy("bucket", "low", "high").applyInArrow(
-        _alike(similarity - SLACK), "a long, b long")
-    return alike.distinct()
+    paired = blocks.join(sketches.select("id", "registers"), "id").groupBy("bucket", "low", "high").applyInArrow(
+        _paired(similarity - SLACK), "bucket long, id long, component long, part int, low int, high int")
+    alike = materialise(paired, "paired").join(sketches, "id").groupBy("bucket", "low", "high").applyInArrow(
+        _linked(similarity - SLACK, similarity), "a long, b long")
+    return materialise(alike.distinct(), "far-links")
 
 
 def near_duplicates(
@@ -245,16 +288,9 @@ def near_duplicates(
             bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").select("a", "b", "body_a", "body_b")
         return materialise(both.mapInArrow(_verify(width, similarity), "a long, b long, similarity double"), "near-links")
 
-    pairs = materialise(central_pairs(members), "pairs")
-    links = verified(pairs)
+    links = verified(materialise(central_pairs(members), "pairs"))
+    links = links.select("a", "b").unionByName(remaining_links(members, components(links, "a", "b"), bodies, width, similarity))
     found = components(links, "a", "b")
-    while True:  # each round joins components by their likest members, as long as that finds links
-        rest = materialise(remaining_pairs(members, found, bodies, width, similarity).join(pairs, ["a", "b"], "left_anti"), "rest")
-        more = verified(rest)
-        if more.isEmpty():
-            break
-        links, pairs = links.unionByName(more), pairs.unionByName(rest)
-        found = components(links, "a", "b")
     class_of = classes.select("digest", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "digest", F.coalesce("component", "id").alias("class_id"))
     member = signed.select("id", "digest").join(materialise(class_of, "classes"), "digest").select("id", "class_id")

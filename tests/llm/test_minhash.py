@@ -81,6 +81,19 @@ def test_no_link_hangs_on_a_centre(spark, frame, monkeypatch):
     assert {r.doc_id: r.class_id for r in got} == brute(rows)
 
 
+def test_second_look_goes_past_likest_mates(frame):
+    """Sixty copies about as far apart as the bound: many a likest mate by registers fails, and a later one passes."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(500)}" for _ in range(300)]
+    rows = []
+    for k in range(60):
+        own = list(base)
+        for at in rng.sample(range(300), 4):
+            own[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(frame(rows)).collect()} == brute(rows)
+
+
 def test_empty_table(frame):
     assert minhash.near_duplicates(frame([])).count() == 0
 
