@@ -3,6 +3,7 @@
 A document's shingles carry their counts as weights. Each shingle is a Poisson process whose rate is its weight; an arrival falls into
 a random register, a register keeps its earliest shingle, and a shingle stops as soon as its next arrival is later than all
 registers of the document. Two signatures agree in a register with the probability Jaccard similarity of the documents.
+With all weights 1 they agree with the Jaccard similarity of the shingle sets; texts with repeated shingles have both signatures.
 """
 
 from __future__ import annotations
@@ -76,6 +77,24 @@ def signatures(text: np.ndarray, value: np.ndarray, weight: np.ndarray, texts: i
     return holder.reshape(texts, registers)
 
 
+def both_signatures(text: np.ndarray, value: np.ndarray, count: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures by counts and by weights of 1, and the texts where they may differ: those with a repeated shingle."""
+    weighted = signatures(text, value, count.astype(np.float64), texts)
+    repeated = np.unique(text[count > 1])
+    own = np.isin(text, repeated)
+    plain = weighted.copy()
+    plain[repeated] = signatures(np.searchsorted(repeated, text[own]), value[own], np.ones(int(own.sum())), len(repeated))
+    return weighted, plain, repeated
+
+
+def _bands(signature: np.ndarray) -> np.ndarray:
+    bands = np.full((len(signature), BANDS), 0x51, np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for row in range(ROWS):
+            bands = W.mix(bands * np.uint64(0x9E3779B97F4A7C15) + signature[:, row : BANDS * ROWS : ROWS])
+    return bands.astype(np.int64)
+
+
 def _signed(width: int):
     schema = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
@@ -84,15 +103,15 @@ def _signed(width: int):
             ids = batch.column(0)
             for piece in W.pieces(batch.column(1)):
                 text, value, weight = shingles(piece, width)
-                found = signatures(text, value, weight.astype(np.float64), len(piece))
-                bands = np.full((len(piece), BANDS), 0x51, np.uint64) + np.arange(BANDS, dtype=np.uint64)
-                with np.errstate(over="ignore"):
-                    for row in range(ROWS):
-                        bands = W.mix(bands * np.uint64(0x9E3779B97F4A7C15) + found[:, row : BANDS * ROWS : ROWS])
+                weighted, plain, repeated = both_signatures(text, value, weight, len(piece))
+                lists = list(_bands(weighted))
+                for k, more in zip(repeated, _bands(plain[repeated]), strict=True):
+                    lists[k] = np.union1d(lists[k], more)
                 some = np.flatnonzero(np.bincount(text, minlength=len(piece)))
                 digest = [hashlib.blake2b(b" ".join(piece.text(k).split()), digest_size=16).digest() for k in some]
-                flat = pa.array(bands[some].astype(np.int64).ravel(), pa.int64())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), flat)
+                ends = np.cumsum([0, *(len(lists[k]) for k in some)])
+                flat = np.concatenate([np.zeros(0, np.int64), *(lists[k] for k in some)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
                 yield pa.record_batch([ids.take(pa.array(some + piece.first)), pa.array(digest, pa.binary()), lists], schema=schema)
 
     return run
@@ -157,14 +176,15 @@ def central_pairs(members: DataFrame) -> DataFrame:
 
 
 def _sketches(width: int):
-    """Registers, and the sorted shingles with their counts."""
+    """Registers by counts, then by weights of 1; the sorted shingles with their counts."""
     schema = pa.schema([("id", pa.int64()), ("registers", pa.binary()), ("shingles", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in W.pieces(batch.column(1)):
                 text, value, weight = shingles(piece, width)
-                found = signatures(text, value, weight.astype(np.float64), len(piece)).astype(np.uint32)
+                weighted, plain, _ = both_signatures(text, value, weight, len(piece))
+                found = np.concatenate([weighted, plain], 1).astype(np.uint32)
                 own, times = [], []
                 for value, count in _sets(piece, text, value, weight):
                     own.append(value.tobytes())
@@ -180,12 +200,16 @@ def _pairs(block: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarr
     low, high = block.column("low")[0].as_py(), block.column("high")[0].as_py()
     part, component = (block.column(n).to_numpy() for n in ("part", "component"))
     registers = np.stack([np.frombuffer(x.as_py(), np.uint32) for x in block.column("registers")])
+    looks = [0] if (registers[:, :REGISTERS] == registers[:, REGISTERS:]).all() else [0, REGISTERS]
     left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
     for at in range(0, len(left), 256):
         rows = left[at : at + 256]
         agree = np.zeros((len(rows), len(right)), np.uint8)
-        for k in range(REGISTERS):
-            agree += registers[rows, k][:, None] == registers[right, k][None, :]
+        for first in looks:
+            same = np.zeros_like(agree)
+            for k in range(first, first + REGISTERS):
+                same += registers[rows, k][:, None] == registers[right, k][None, :]
+            np.maximum(agree, same, out=agree)
         wanted = (agree >= least * REGISTERS) & (component[rows][:, None] != component[right][None, :])
         if low == high:
             wanted &= rows[:, None] < right[None, :]

@@ -94,6 +94,20 @@ def test_second_look_goes_past_likest_mates(frame):
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(frame(rows)).collect()} == brute(rows)
 
 
+def test_set_jaccard_pairs_are_candidates():
+    """Copies with one passage ten times: few share a band by counts (set Jaccard 0.96, probability Jaccard below 0.5), all do by sets."""
+    rng = random.Random(4)
+    texts = []
+    for k in range(30):
+        own = [f"t{k}w{j}" for j in range(104)]
+        rng.shuffle(own)
+        texts += [" ".join(own), " ".join(own[:40] + own[40:64] * 10 + own[64:])]
+    batch = pa.record_batch([pa.array(range(60), pa.int64()), pa.array(texts)], ["id", "body"])
+    bands = {i: set(b) for out in minhash._signed(5)([batch]) for i, b in zip(out.column(0).to_pylist(), out.column(2).to_pylist())}
+    assert all(similar(grams(texts[2 * k]), grams(texts[2 * k + 1])) >= 0.9 for k in range(30))
+    assert sum(bool(bands[2 * k] & bands[2 * k + 1]) for k in range(30)) == 30
+
+
 def test_empty_table(frame):
     assert minhash.near_duplicates(frame([])).count() == 0
 
