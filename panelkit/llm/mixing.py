@@ -15,6 +15,8 @@ EPOCHS = 3
 SEED = 23
 #: Rows of a source are dealt to strata of about this size; each stratum meets its share of the target on its own.
 STRATUM_ROWS = 256
+#: Strata of a source that hand on what a whole document takes too much or too little; the next chain starts anew.
+CHAIN = 256
 
 ADDED = ["size", "source_size", "target", "taken"]
 
@@ -60,18 +62,8 @@ def water_fill(sources: DataFrame, total: int | None = None, epochs: float = EPO
     return sources.withColumn("target", F.when((cap < share) | F.lit(not weight), cap).otherwise(share).cast("double"))
 
 
-def mix_sources(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-    weights: Sequence[float] = WEIGHTS, epochs: float = EPOCHS, seed: int = SEED,
-) -> DataFrame:
-    """``docs`` with ``size`` (words), ``source_size``, ``target`` (of its source) and ``taken`` (words the mix takes, repeats counted).
-
-    Sources in code-point order, null last (null is a source of its own), weigh ``weights`` in turn; they share the sum of all sizes
-    by ``water_fill``. A source takes each document ``floor(target / source_size)`` times; of the rest of its target every stratum takes
-    whole documents in the order of a seeded hash of the id, and of the last one only the words that are left. No document exceeds
-    ``ceil(epochs)`` sizes. Null and wordless texts have size 0 and are not taken. Rows may repeat. Input columns called like
-    a result column are replaced.
-    """
+def _mixed(docs: DataFrame, key: str, text: str, source: str, weights: Sequence[float], epochs: float, seed: int) -> DataFrame:
+    """What ``mix_sources`` gives, with the columns it is made from."""
     docs = docs.drop(*ADDED).withColumn("size", word_count(text))
     sources = materialise(docs.groupBy(source).agg(F.sum("size").alias("source_size"), F.count("*").alias("__docs")), "source-sizes")
     placed = numbered(sources, source, "__place")
@@ -89,8 +81,52 @@ def mix_sources(
     budget = F.floor((F.col("__rate") - F.floor("__rate")) * F.sum("size").over(own) + F.lit(0.5))
     left = budget - F.coalesce(F.sum("size").over(earlier), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), left))
-    taken = dealt.withColumn("taken", (F.floor("__rate") * F.col("size") + part).cast("long"))
-    return taken.drop("__rate", "__order", "__stratum", "__docs")
+    return dealt.withColumn("__part", part).withColumn("taken", (F.floor("__rate") * F.col("size") + F.col("__part")).cast("long"))
+
+
+def mix_sources(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+    weights: Sequence[float] = WEIGHTS, epochs: float = EPOCHS, seed: int = SEED,
+) -> DataFrame:
+    """``docs`` with ``size`` (words), ``source_size``, ``target`` (of its source) and ``taken`` (words the mix takes, repeats counted).
+
+    Sources in code-point order, null last (null is a source of its own), weigh ``weights`` in turn; they share the sum of all sizes
+    by ``water_fill``. A source takes each document ``floor(target / source_size)`` times; of the rest of its target every stratum takes
+    whole documents in the order of a seeded hash of the id, and of the last one only the words that are left. No document exceeds
+    ``ceil(epochs)`` sizes. Null and wordless texts have size 0 and are not taken. Rows may repeat. Input columns called like
+    a result column are replaced.
+    """
+    return _mixed(docs, key, text, source, weights, epochs, seed).drop("__rate", "__order", "__stratum", "__docs", "__part")
+
+
+def mix_documents(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+    weights: Sequence[float] = WEIGHTS, epochs: float = EPOCHS, seed: int = SEED,
+) -> DataFrame:
+    """``mix_sources`` in whole documents: ``taken`` is a multiple of ``size``.
+
+    The document of a stratum that ``mix_sources`` takes a part of is taken once more or not, by a draw from the hash of its id whose
+    chance is that part, plus what the strata before it in the chain are short, as a share of its size.
+    """
+    mixed = _mixed(docs, key, text, source, weights, epochs, seed)
+    border = (F.col("__part") > 0) & (F.col("__part") < F.col("size"))
+    draw = F.conv(F.substring("__order", 9, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    chained = mixed.where(border).groupBy(F.col(source).alias("__source"), F.floor(F.col("__stratum") / F.lit(CHAIN)).alias("__chain")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("__stratum").alias("stratum"), "size", F.col("__part").alias("part"), draw.alias("draw")))).alias("all"))
+    start = F.struct(F.lit(0).cast("long").alias("owed"), F.array().cast("array<bigint>").alias("whole"))
+
+    def step(a: Column, x: Column) -> Column:
+        owed = a["owed"] + x["part"]
+        take = owed > x["draw"] * x["size"]
+        return F.struct(F.when(take, owed - x["size"]).otherwise(owed).cast("long").alias("owed"),
+                        F.when(take, F.concat(a["whole"], F.array(x["stratum"]))).otherwise(a["whole"]).alias("whole"))
+
+    drawn = chained.select("__source", F.explode(F.aggregate("all", start, step)["whole"]).alias("__chosen"))
+    drawn = materialise(drawn.withColumn("__once", F.lit(1)), "whole-documents")
+    found = mixed.join(drawn, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__stratum") == F.col("__chosen")), "left")
+    part = F.when(border, F.coalesce("__once", F.lit(0)) * F.col("size")).otherwise(F.col("__part"))
+    taken = found.withColumn("taken", (F.floor("__rate") * F.col("size") + part).cast("long"))
+    return taken.drop("__rate", "__order", "__stratum", "__docs", "__part", "__source", "__chosen", "__once")
 
 
 def repeated(mixed: DataFrame, text: str = "text") -> DataFrame:
