@@ -91,7 +91,13 @@ def test_second_look_goes_past_likest_mates(frame):
         for at in rng.sample(range(300), 4):
             own[at] = f"x{rng.randrange(10**6)}"
         rows.append((k, " ".join(own)))
-    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(frame(rows)).collect()} == brute(rows)
+    sets, want = [set(grams(t)) for _, t in rows], list(range(60))  # no shingle is repeated, so both similarities are the same
+    for i in range(60):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = sorted((want[i], want[j]))
+                want = [x if k == y else k for k in want]
+    assert [r.class_id for r in minhash.near_duplicates(frame(rows)).orderBy("doc_id").collect()] == want
 
 
 def test_set_jaccard_pairs_are_candidates():
