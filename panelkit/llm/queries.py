@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import bpe, classifier, infill, language, lattice, lexical, licenses, minhash, mixing, pages, quality_rules, substrings
+from panelkit.llm import bpe, classifier, infill, language, lattice, lexical, licenses, minhash, mixing, pages, private_data, quality_rules, substrings
 from panelkit.llm.catalog import ORACLES, QUERIES, query, table  # noqa: F401
 from panelkit.llm.sampling import fold
 
@@ -133,6 +133,13 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op12_personal_data")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private_data.find_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(private_data.written("base"), 256).alias("base_sha256")
+    return found.select("doc_id", *private_data.COUNTED, digest, private_data.written("spans").alias("spans"))
+
+
 OP13_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS h FROM documents),
 h AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
