@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelkit.operators import features as features_module
-from panelkit.operators import impute, importance, inference, metrics, panel, quality, segments, splits
+from panelkit.operators import impute, importance, inference, metrics, neighbours, panel, quality, segments, splits
 from panelkit.operators.neighbours import knn_impute, nearest_donors
 from panelkit.operators.permutation import permutation_drops
 from panelkit.operators.quantiles import exact_quantiles
@@ -226,13 +226,18 @@ def brute_force(pdf, columns, k):
     return out
 
 
-@pytest.mark.parametrize("case", ["random", "copies", "many_patterns"])
-def test_nearest_donors_equal_brute_force(spark, case):
+@pytest.mark.parametrize("case", ["random", "copies", "many_patterns", "large_cells", "crowded_leaf"])
+def test_nearest_donors_equal_brute_force(spark, case, monkeypatch):
     rng = np.random.default_rng(5)
     n, columns = 160, ["a", "b", "c", "d"]
     values = rng.normal(size=(n, 4)) * [1, 10, 100, 3]
     if case == "copies":
         values[: n // 2] = np.round(values[0], 1)  # half of all rows are copies of one
+    if case == "large_cells":
+        monkeypatch.setattr(neighbours, "CELLS", 3)  # every cell is cut into blocks by its task
+    if case == "crowded_leaf":
+        monkeypatch.setattr(neighbours, "SAMPLED", 0)  # a tree grown from two rows
+        monkeypatch.setattr(neighbours, "GUIDES", 2)
     share = 0.5 if case == "many_patterns" else 0.15
     values[rng.random((n, 4)) < share] = np.nan
     pdf = pd.DataFrame(values, columns=columns)
@@ -240,13 +245,28 @@ def test_nearest_donors_equal_brute_force(spark, case):
     df = frame(spark, [(int(r[0]), *[None if np.isnan(v) else float(v) for v in r[1:]]) for r in pdf.itertuples(index=False)],
                "id long, a double, b double, c double, d double")
     expected = {k: v for k, v in brute_force(pdf, columns, 3).items() if v}
-    found = nearest_donors(df, "id", columns, 3, cell_rows=12, chunk_rows=15).toPandas()
+    found = nearest_donors(df, "id", columns, 3, cell_rows=2 if case == "crowded_leaf" else 12, chunk_rows=15).toPandas()
     got = {}
     for (i, f), part in found.groupby(["id", "feature"]):
         got[(i, f)] = list(part.sort_values("rank")["donor"])
     assert got == expected
 
 
+def test_visits_follow_the_data_not_the_number_of_donors(spark):
+    """Columns driven by two factors: visits a receiver, and their growth when the rows double."""
+    rates = []
+    for n in (2_000, 4_000):
+        rng = np.random.default_rng(1)
+        values = rng.normal(size=(n, 2)) @ rng.normal(size=(2, 6))
+        values[rng.random(values.shape) < 0.03] = np.nan
+        pdf = pd.DataFrame(values, columns=[f"c{j}" for j in range(6)])
+        pdf.insert(0, "id", np.arange(n))
+        visited = []
+        nearest_donors(spark.createDataFrame(pdf), "id", list(pdf.columns[1:]), 5, cell_rows=64, visited=visited)
+        rates.append(sum(visited) / np.isnan(values).any(axis=1).sum())
+    assert rates[1] < 12 and rates[1] < 1.3 * rates[0]
+
+
 def test_knn_impute_falls_back_to_the_column_mean(spark):
     df = frame(spark, [(1, None, 2.0), (2, 4.0, None), (3, 8.0, None)], "id long, a double, b double")
     rows = {r.id: (r.a, r.b) for r in knn_impute(df, "id", ["a", "b"], 2).collect()}
