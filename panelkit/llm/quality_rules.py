@@ -132,7 +132,7 @@ def judge(docs: DataFrame, text: str = "text", language: str = "lang") -> DataFr
     ``base_failed``: fewer than ``MIN_WORDS`` words, or more than half of them in repeated three-word windows. A text is not
     kept if it fails that, or if its common words are further than ``WORDS_ALONE`` from its language's, or
     if both its characters and its words are further than ``CHARS_BOTH`` and ``WORDS_BOTH``. These bounds hold for a language of many documents; with n documents
-    that pass the base rules they lie ``PRIOR_DOCS / (n + PRIOR_DOCS)`` of the way towards 1. Null and empty texts have counts of 0 and fail.
+    that pass the base rules they lie the square of ``PRIOR_DOCS / (n + PRIOR_DOCS)`` of the way towards 1. Null and empty texts have counts of 0 and fail.
     A document without a language is measured for each language of the corpus and takes the nearest (ties: the first by name). With no document
     that passes the base rules there is nothing to compare with: distances are null and the base rules decide. Rows may repeat. Input columns called
     like a result column are replaced.
@@ -159,7 +159,7 @@ def judge(docs: DataFrame, text: str = "text", language: str = "lang") -> DataFr
     # Counts do not depend on the guess: any one row of a document has them.
     settled_guess = first.join(nearest, "__row").withColumnRenamed("__least", "__best").drop("__row", "__guess")
     judged = _compared(told, known, language).unionByName(settled_guess)
-    wide = lambda bound: 1 - F.col("__best.weight") * (1 - bound)
+    wide = lambda bound: bound + (1 - bound) * (1 - F.col("__best.weight")) ** 2
     far = ((F.col("n_words") >= GUARD_WORDS) & (F.col("__best.words") > wide(WORDS_ALONE))) | (
         (F.col("n_words") >= MIN_WORDS) & (F.col("word_chars") >= GUARD_CHARS) & (F.col("__best.chars") > wide(CHARS_BOTH)) & (F.col("__best.words") > wide(WORDS_BOTH)))
     return judged.select(

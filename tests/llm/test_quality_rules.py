@@ -91,7 +91,7 @@ def plain_judge(rows):
                 a, b = apart(p, chars), apart(q, words)
                 options.append((a + b, a, b, guess if w else None, w))
             best = min(options, key=lambda o: (round(o[0], 9), str(o[3])))
-        wide = lambda bound: 1 - best[4] * (1 - bound)
+        wide = lambda bound: bound + (1 - bound) * (1 - best[4]) ** 2
         far = (c[0] >= 100 and best[2] > wide(0.29)) or (c[0] >= 50 and c[1] >= 200 and best[1] > wide(0.17) and best[2] > wide(0.25))
         out.append((i, not c[-1] and not far, best[3]))
     return out
