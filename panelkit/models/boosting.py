@@ -6,6 +6,12 @@ costs one job for one model or for a hundred. A job sums the gradient histograms
 and returns one best split each; the trees, not the rows, reach the driver. Published formulas: gain
 1/2 [T(GL)^2/(HL+l) + T(GR)^2/(HR+l) - T(G)^2/(H+l)] with the L1 soft threshold T, leaf value -T(G)/(H+l).
 
+Missing values have a bin of their own; each cut tries them on both sides and keeps the better one. Of two siblings only the lighter is
+counted, the other is what remains of the parent.
+
+Rows that fit one bounded block are sent out once and every model is trained whole by one task; beyond that, models grow level by level in
+shared jobs. Both ways count the same numbers and give the same trees.
+
 Gradients are summed as scaled integers, so a result does not depend on partitioning or merge order. A finished
 tree is folded into the margins by the next tree's first job, which caches the new blocks as it goes. The first
 blocks lie in the shared folder and the lineage is checkpointed, so lost executors cost a recomputation and nothing
@@ -30,6 +36,10 @@ from panelkit.functions.scalar import quoted
 from panelkit.session import materialise, settled, work_folder
 
 BLOCK_ROWS = 65_536
+#: Packed rows up to so many bytes are one block, which every task may hold.
+ALONE_BYTES = 32 << 20
+#: Rows of a block, as a power of two, whose gradients add up exactly.
+EXACT_BITS = 21
 CHECKPOINT_EVERY = 25
 
 
@@ -43,6 +53,7 @@ class BoostParams:
     num_leaves: int | None = None
     min_child_weight: float = 1.0
     min_child_samples: int = 1
+    min_samples_split: int = 2
     gamma: float = 0.0
     reg_alpha: float = 0.0
     reg_lambda: float = 1.0
@@ -63,36 +74,49 @@ class BoostParams:
 
 
 class _Tree:
-    """A growing tree as parallel lists; node 0 is the root, feature -1 marks a leaf."""
+    """A growing tree as parallel lists; node 0 is the root, feature -1 marks a leaf, ``low`` says where missing values go."""
+
+    FIELDS = ("feature", "bin", "left", "right", "value", "gain", "depth", "parent", "low")
 
     def __init__(self):
         self.feature, self.bin, self.left, self.right = [-1], [0], [-1], [-1]
-        self.value, self.gain, self.depth, self.parent = [0.0], [0.0], [0], [-1]
+        self.value, self.gain, self.depth, self.parent, self.low = [0.0], [0.0], [0], [-1], [True]
         self.best: dict[int, tuple] = {}
 
     def split(self, node: int, found: tuple) -> tuple[int, int]:
-        gain, feature, cut, low_value, high_value = found
+        gain, feature, cut, low_value, high_value, low, *_ = found
         children = []
         for value in (low_value, high_value):
             self.feature.append(-1), self.bin.append(0), self.left.append(-1), self.right.append(-1)
-            self.value.append(value), self.gain.append(0.0)
+            self.value.append(value), self.gain.append(0.0), self.low.append(True)
             self.depth.append(self.depth[node] + 1), self.parent.append(node)
             children.append(len(self.feature) - 1)
-        self.feature[node], self.bin[node], self.gain[node] = feature, cut, gain
+        self.feature[node], self.bin[node], self.gain[node], self.low[node] = feature, cut, gain, low
         self.left[node], self.right[node] = children
         return children[0], children[1]
 
+    def lighter(self, node: int) -> tuple[int, int]:
+        """The children of a split node, the one of less weight first."""
+        *_, low_weight, high_weight = self.best[node]
+        pair = (self.left[node], self.right[node])
+        return pair if low_weight <= high_weight else pair[::-1]
+
     def close(self, node: int) -> None:
         self.feature[node], self.left[node], self.right[node], self.gain[node] = -1, -1, -1, 0.0
 
     def packed(self) -> tuple[np.ndarray, ...]:
         return (np.array(self.feature, np.int32), np.array(self.bin, np.int32), np.array(self.left, np.int32),
-                np.array(self.right, np.int32), np.array(self.value), max(self.depth))
+                np.array(self.right, np.int32), np.array(self.value), max(self.depth), np.array(self.low, bool))
+
+
+def _goes_low(x: np.ndarray, cut: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Whether rows with bins ``x`` (0: missing, else the value's bin and one) go to the low side."""
+    return (x <= cut + 1) & ((x > 0) | low)
 
 
 def _descend(bins: np.ndarray, tree: tuple) -> np.ndarray:
     """Node of every row."""
-    feature, cut, left, right, _, depth = tree
+    feature, cut, left, right, _, depth, low = tree
     node = np.zeros(len(bins), np.int32)
     rows = np.arange(len(bins))
     for _ in range(depth):
@@ -100,8 +124,8 @@ def _descend(bins: np.ndarray, tree: tuple) -> np.ndarray:
         inner = f >= 0
         if not inner.any():
             break
-        low = bins[rows, np.maximum(f, 0)] <= cut[node]
-        node = np.where(inner, np.where(low, left[node], right[node]), node)
+        below = _goes_low(bins[rows, np.maximum(f, 0)], cut[node], low[node])
+        node = np.where(inner, np.where(below, left[node], right[node]), node)
     return node
 
 
@@ -130,70 +154,130 @@ def _soft(g: np.ndarray | float, alpha: float):
     return np.sign(g) * np.maximum(np.abs(g) - alpha, 0.0)
 
 
-def best_split(histogram: np.ndarray, scale: float, params: BoostParams, mask: np.ndarray) -> tuple | None:
-    """``(gain, feature, bin, low value, high value)`` of the best cut of one node, or None.
+def best_splits(histograms: np.ndarray, scale: float, params: BoostParams, mask: np.ndarray) -> list[tuple | None]:
+    """For each node the best cut ``(gain, feature, bin, low value, high value, missing low, low weight, high weight)``, or None.
 
-    ``histogram``: features x bins x (scaled gradient, weight) as integers.
+    ``histograms``: nodes x features x bins x (scaled gradient, weight) as integers; the first bin has the missing values. Equal gains: the
+    first feature, then the lowest bin, then missing values low.
     """
-    g = np.cumsum(histogram[:, :, 0], axis=1)
-    h = np.cumsum(histogram[:, :, 1], axis=1).astype(float)
-    total_g, total_h = g[0, -1] / scale, h[0, -1]
-    low_g, low_h = g[:, :-1] / scale, h[:, :-1]
-    high_g, high_h = (g[0, -1] - g[:, :-1]) / scale, total_h - low_h
+    g = np.cumsum(histograms[..., 0], axis=2)
+    h = np.cumsum(histograms[..., 1], axis=2)
+    first = int(np.flatnonzero(mask)[0])  # any counted feature has the sums of all rows
+    total_g, total_h = g[:, first : first + 1, -1:], h[:, first : first + 1, -1:]
     lam, alpha = params.reg_lambda, params.reg_alpha
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = 0.5 * (
-            _soft(low_g, alpha) ** 2 / (low_h + lam) + _soft(high_g, alpha) ** 2 / (high_h + lam)
-            - _soft(total_g, alpha) ** 2 / (total_h + lam)
-        )
-    allowed = (low_h >= params.smallest) & (high_h >= params.smallest) & (low_h > 0) & (high_h > 0) & mask[:, None]
-    gain = np.where(allowed & np.isfinite(gain), gain, -np.inf)
-    place = int(np.argmax(gain))
-    feature, cut = divmod(place, gain.shape[1])
-    best = gain[feature, cut]
-    if not best > 1e-12:
-        return None
-    low = -_soft(low_g[feature, cut], alpha) / (low_h[feature, cut] + lam)
-    high = -_soft(high_g[feature, cut], alpha) / (high_h[feature, cut] + lam)
-    rate = params.learning_rate
-    return float(best), int(feature), int(cut), float(low * rate), float(high * rate)
+    sides = []
+    lost = histograms[:, :, :1, 1].any()
+    for missing_low in (True, False) if lost else (True,):
+        low_g = g[..., :-1] if missing_low else g[..., :-1] - histograms[:, :, :1, 0]
+        low_h = h[..., :-1] if missing_low else h[..., :-1] - histograms[:, :, :1, 1]
+        high_g, high_h = (total_g - low_g) / scale, (total_h - low_h).astype(float)
+        low_g, low_h = low_g / scale, low_h.astype(float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = 0.5 * (
+                _soft(low_g, alpha) ** 2 / (low_h + lam) + _soft(high_g, alpha) ** 2 / (high_h + lam)
+                - _soft(total_g / scale, alpha) ** 2 / (total_h + lam)
+            )
+        allowed = (low_h >= params.smallest) & (high_h >= params.smallest) & (low_h > 0) & (high_h > 0) & mask[None, :, None]
+        allowed &= total_h >= params.min_samples_split
+        sides.append((np.where(allowed & np.isfinite(gain), gain, -np.inf), low_g, low_h, high_g, high_h))
+    every = np.stack([s[0] for s in sides], axis=-1).reshape(len(histograms), -1)
+    places, rate, found = every.argmax(axis=1), params.learning_rate, []
+    for n, place in enumerate(places.tolist()):
+        best = every[n, place]
+        if not best > 1e-12:
+            found.append(None)
+            continue
+        place, side = divmod(place, len(sides))
+        feature, cut = divmod(place, histograms.shape[2] - 1)
+        low_g, low_h, high_g, high_h = (a[n, feature, cut] for a in sides[side][1:])
+        found.append((
+            float(best), int(feature), int(cut) - 1, float(-_soft(low_g, alpha) / (low_h + lam) * rate),
+            float(-_soft(high_g, alpha) / (high_h + lam) * rate), side == 0, float(low_h), float(high_h)))
+    return found
+
+
+def _count(x: np.ndarray, slot: np.ndarray, gradient: np.ndarray, weight: np.ndarray, count: int, bins: int, mask: np.ndarray) -> np.ndarray:
+    """Histograms (slots x features x bins x 2) of rows that lie in slots."""
+    part = np.zeros((count, x.shape[1], bins, 2), np.int64)
+    start = slot.astype(np.int64) * bins
+    for f in np.flatnonzero(mask):
+        cell = start + x[:, f]
+        part[:, f, :, 0] = np.bincount(cell, weights=gradient, minlength=count * bins).reshape(count, bins)
+        part[:, f, :, 1] = np.bincount(cell, weights=weight, minlength=count * bins).reshape(count, bins)
+    return part
+
+
+def _sampled(keys: np.ndarray, rows: np.ndarray, setting: BoostParams, model: int, tree_no: int) -> np.ndarray:
+    """The rows that a tree sees."""
+    if setting.subsample >= 1.0 or not len(rows):
+        return rows
+    return rows[_mix(keys[rows], (setting.seed * 100_003 + model) * 10_007 + tree_no) < setting.subsample]
 
 
 def _level(blocks, open_slots, current, params, tree_no, scale, bins):
-    """Histograms of all open nodes of one partition: ``((model, node), features x bins x 2)``."""
+    """Histograms of the counted nodes of one partition: ``((model, slot), features x bins x 2)``."""
     found: dict[tuple[int, int], np.ndarray] = {}
     for block in blocks:
-        width = block["x"].shape[1]
         for model, slots in open_slots.items():
             weight = block["w"][:, model]
-            rows = np.flatnonzero(weight)
-            setting = params[model]
-            if setting.subsample < 1.0 and len(rows):
-                draws = _mix(block["k"][rows], (setting.seed * 100_003 + model) * 10_007 + tree_no)
-                rows = rows[draws < setting.subsample]
+            rows = _sampled(block["k"], np.flatnonzero(weight), params[model], model, tree_no)
             if not len(rows):
                 continue
-            node = _descend(block["x"][rows], current[model])
-            slot = slots[node]
+            slot = slots[_descend(block["x"][rows], current[model])]
             inside = slot >= 0
-            rows, slot = rows[inside], slot[inside].astype(np.int64)
+            rows, slot = rows[inside], slot[inside]
             if not len(rows):
                 continue
             weight = weight[rows].astype(float)
             gradient = np.rint((block["f"][rows, model] - block["y"][rows]) * scale) * weight
-            count = int(slots.max()) + 1
-            part = np.empty((count, width, bins, 2), np.int64)
-            for f in range(width):
-                cell = slot * bins + block["x"][rows, f]
-                part[:, f, :, 0] = np.bincount(cell, weights=gradient, minlength=count * bins).reshape(count, bins)
-                part[:, f, :, 1] = np.bincount(cell, weights=weight, minlength=count * bins).reshape(count, bins)
-            for node_id in np.flatnonzero(slots >= 0):
-                key = (model, int(node_id))
-                piece = part[slots[node_id]]
+            x = block["x"][rows]
+            part = _count(x, slot, gradient, weight, int(slots.max()) + 1, bins, _column_mask(x.shape[1], params[model], tree_no))
+            for n, piece in enumerate(part):
+                key = (model, n)
                 found[key] = found[key] + piece if key in found else piece
     return iter(found.items())
 
 
+def _train_alone(block: dict, model: int, setting: BoostParams, scale: float, base: float, bins: int) -> list[_Tree]:
+    """All trees of one model over one block; every row keeps its node while a tree grows."""
+    held = np.flatnonzero(block["w"][:, model])
+    x, y, keys, weights = block["x"][held], block["y"][held], block["k"][held], block["w"][held, model].astype(float)
+    margins, every, done = np.full(len(held), base), np.arange(len(held)), []
+    for number in range(setting.n_estimators):
+        mask, tree = _column_mask(x.shape[1], setting, number), _Tree()
+        rows = _sampled(keys, every, setting, model, number)
+        own, weight = x[rows], weights[rows]
+        gradient = np.rint((margins[rows] - y[rows]) * scale) * weight
+        node, held_counts, pairs, frontier = np.zeros(len(rows), np.int32), {}, [(0, None, None)], [0]
+        while frontier and len(rows):
+            slots = np.full(len(tree.feature), -1, np.int32)
+            slots[[p[0] for p in pairs]] = np.arange(len(pairs), dtype=np.int32)
+            slot = slots[node]
+            inside = np.flatnonzero(slot >= 0)
+            part = _count(own[inside], slot[inside], gradient[inside], weight[inside], len(pairs), bins, mask)
+            for (light, heavy, parent), piece in zip(pairs, part):
+                held_counts[light] = piece
+                if heavy is not None:
+                    held_counts[heavy] = held_counts[parent] - piece
+            for n, found in zip(frontier, best_splits(np.stack([held_counts[n] for n in frontier]), scale, setting, mask)):
+                if found is not None:
+                    tree.best[n] = found
+            ready = _ready(tree, setting, frontier)
+            frontier, pairs = _split_all(tree, setting, ready)
+            held_counts = {n: c for n, c in held_counts.items() if n in tree.best}
+            if ready:
+                feature, cut, left, right, _, _, low = tree.packed()
+                moved = np.flatnonzero(np.isin(node, ready))
+                at = node[moved]
+                node[moved] = np.where(_goes_low(own[moved, feature[at]], cut[at], low[at]), left[at], right[at])
+        _finish(tree, setting)
+        done.append(tree)
+        if number + 1 < setting.n_estimators:
+            packed = tree.packed()
+            margins += packed[4][_descend(x, packed)]
+    return done
+
+
 def _fold(block: dict, trees: dict[int, tuple]) -> dict:
     """Add one finished tree per model to the margins."""
     margins = block["f"].copy()
@@ -210,22 +294,26 @@ def quantile_edges(df: DataFrame, features: Sequence[str], max_bins: int = 255)
 
 
 def bin_rows(values: np.ndarray, edges: Sequence[Sequence[float]]) -> np.ndarray:
-    """Bin numbers of raw feature rows; a missing value falls into the lowest bin."""
-    out = np.zeros(values.shape, np.uint8 if all(len(e) < 256 for e in edges) else np.uint16)
+    """Bin numbers of raw feature rows, from 1; a missing value has 0."""
+    out = np.zeros(values.shape, _kind(edges))
     for j, cuts in enumerate(edges):
         column = values[:, j]
-        out[:, j] = np.where(np.isnan(column), 0, np.searchsorted(np.asarray(cuts, float), column, side="left"))
+        out[:, j] = np.where(np.isnan(column), 0, np.searchsorted(np.asarray(cuts, float), column, side="left") + 1)
     return out
 
 
+def _kind(edges: Sequence[Sequence[float]]) -> type:
+    return np.uint8 if all(len(e) < 255 for e in edges) else np.uint16
+
+
 def _pack(features: int, models: int, edges: Sequence[Sequence[float]], block_rows: int):
     """mapInPandas function: rows to binary blocks of at most ``block_rows``."""
     names = [f"x{i}" for i in range(features)]
 
     def emit(frame: pd.DataFrame) -> pd.DataFrame:
         x = bin_rows(frame[names].to_numpy(dtype=float), edges)
-        weights = np.stack([np.asarray(w, dtype=np.uint8) for w in frame["w"]]) if models > 1 else \
-            np.array([w[0] for w in frame["w"]], dtype=np.uint8)[:, None]
+        weights = np.stack([np.asarray(w, dtype=np.uint16) for w in frame["w"]]) if models > 1 else \
+            np.array([w[0] for w in frame["w"]], dtype=np.uint16)[:, None]
         return pd.DataFrame({
             "n": [len(frame)], "x": [x.tobytes()], "y": [frame["y"].to_numpy(dtype=float).tobytes()],
             "w": [np.ascontiguousarray(weights).tobytes()],
@@ -314,12 +402,12 @@ class BoostedModels:
 
     def node_rows(self) -> list[tuple]:
         return [
-            (m, t, i, tree.feature[i], tree.bin[i], tree.left[i], tree.right[i], tree.value[i], tree.gain[i], tree.depth[i], tree.parent[i])
+            (m, t, i, *[getattr(tree, k)[i] for k in _Tree.FIELDS])
             for m, trees in enumerate(self.trees) for t, tree in enumerate(trees) for i in range(len(tree.feature))
         ]
 
     NODE_SCHEMA = ("model int, tree int, node int, feature int, bin int, left int, right int, value double, "
-                   "gain double, depth int, parent int")
+                   "gain double, depth int, parent int, low boolean")
 
     def save(self, spark, path: str) -> None:
         spark.createDataFrame(self.node_rows(), self.NODE_SCHEMA).write.mode("overwrite").parquet(f"{path}/nodes")
@@ -341,11 +429,11 @@ class BoostedModels:
         for row in spark.read.parquet(f"{path}/nodes").orderBy("model", "tree", "node").collect():
             if row["node"] == 0:
                 tree = _Tree()
-                tree.feature, tree.bin, tree.left, tree.right = [], [], [], []
-                tree.value, tree.gain, tree.depth, tree.parent = [], [], [], []
+                for k in _Tree.FIELDS:
+                    setattr(tree, k, [])
                 trees[row["model"]].append(tree)
             tree = trees[row["model"]][-1]
-            for k in ("feature", "bin", "left", "right", "value", "gain", "depth", "parent"):
+            for k in _Tree.FIELDS:
                 getattr(tree, k).append(row[k])
         return cls([n["feature"] for n in names], [list(n["edges"]) for n in names], [h["base"] for h in heads], trees, params)
 
@@ -361,6 +449,25 @@ def _grow_order(tree: _Tree, leaves: int) -> set[int]:
     return chosen
 
 
+def _ready(tree: _Tree, setting: BoostParams, frontier: Sequence[int]) -> list[int]:
+    """Nodes to split now, given the best cuts known."""
+    if setting.num_leaves:
+        # children of a node matter only if the node itself survives the leaf budget
+        return sorted(n for n in _grow_order(tree, setting.num_leaves) if tree.feature[n] < 0)
+    return [n for n in frontier if n in tree.best]
+
+
+def _split_all(tree: _Tree, setting: BoostParams, ready: Sequence[int]) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Split nodes; the new nodes that may be split in turn, and (lighter child, other child, parent) of each split that has such."""
+    frontier, pairs = [], []
+    for n in ready:
+        children = tree.split(n, tree.best[n])
+        if tree.depth[children[0]] < setting.depth_limit:
+            frontier += children
+            pairs.append((*tree.lighter(n), n))
+    return frontier, pairs
+
+
 def _finish(tree: _Tree, params: BoostParams) -> None:
     """Apply the leaf budget or the minimum gain, closing nodes that do not survive."""
     if params.num_leaves:
@@ -383,7 +490,7 @@ def _finish(tree: _Tree, params: BoostParams) -> None:
     number = {old: new for new, old in enumerate(reached)}
     pick = lambda values: [values[n] for n in reached]
     tree.feature, tree.bin, tree.value = pick(tree.feature), pick(tree.bin), pick(tree.value)
-    tree.gain, tree.depth = pick(tree.gain), pick(tree.depth)
+    tree.gain, tree.depth, tree.low = pick(tree.gain), pick(tree.depth), pick(tree.low)
     tree.left = [number.get(n, -1) for n in pick(tree.left)]
     tree.right = [number.get(n, -1) for n in pick(tree.right)]
     tree.parent = [number.get(n, -1) for n in pick(tree.parent)]
@@ -393,7 +500,7 @@ def _finish(tree: _Tree, params: BoostParams) -> None:
 class _Trainer:
     """Blocks in the cluster and the jobs over them."""
 
-    def __init__(self, df, key, features, label, weights, params, edges, max_bins, block_rows):
+    def __init__(self, df, key, features, label, weights, params, edges, max_bins, block_rows, whole=True):
         spark = df.sparkSession
         self.context = spark.sparkContext
         self.params, self.features = params, list(features)
@@ -401,9 +508,13 @@ class _Trainer:
         weight = weights if weights is not None else F.array(F.lit(1))
         rows = df.select(
             F.xxhash64(F.col(key).cast("string")).alias("k"), quoted(label).cast("double").alias("y"),
-            weight.cast("array<smallint>").alias("w"), *[quoted(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)],
+            weight.cast("array<int>").alias("w"), *[quoted(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)],
         )
         rows = settled(rows.where(F.col("y").isNotNull()), "boosting-rows")
+        if weights is not None:
+            ends = rows.agg(F.min(F.array_min("w")), F.max(F.array_max("w"))).first()
+            if ends[0] is not None and (ends[0] < 0 or ends[1] > 65_535):
+                raise ValueError(f"weights must be whole numbers from 0 to 65535, not {ends[0]} to {ends[1]}")
         sums = [F.sum(F.col("w")[m] * F.col("y")).alias(f"s{m}") for m in range(models)]
         sizes = [F.sum(F.col("w")[m]).alias(f"n{m}") for m in range(models)]
         facts = rows.agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"), *sums, *sizes).first()
@@ -416,29 +527,40 @@ class _Trainer:
         heaviest = max(1, max(facts[f"n{m}"] or 0 for m in range(models)))
         self.edges = edges if edges is not None else quantile_edges(
             rows.select(*[F.col(f"x{i}").alias(c) for i, c in enumerate(features)]), features, max_bins)
-        self.bins = max(len(e) for e in self.edges) + 1
-        # the widest gradient takes 2^bits; block sums stay exact in a double, total sums in 63 bits
+        self.bins = max(len(e) for e in self.edges) + 2
+        # the widest gradient takes 2^bits; sums of a block stay exact in a double, total sums in 63 bits, and bits are the same both ways
+        heaviest_row = 1 if weights is None else max(1, ends[1] or 1)
         block_rows = min(block_rows, BLOCK_ROWS)
         size = min(block_rows, max(4096, 8 * block_rows // max(8, models)))
-        bits = min(52 - math.ceil(math.log2(BLOCK_ROWS)) - 4, 60 - math.ceil(math.log2(heaviest)) - 1)
+        bits = min(52 - EXACT_BITS - math.ceil(math.log2(heaviest_row)), 60 - math.ceil(math.log2(heaviest)) - 1)
         self.scale = 2.0 ** (bits - math.ceil(math.log2(max(facts["hi"] - facts["lo"], 1e-300))))
+        cell = np.dtype(_kind(self.edges)).itemsize
+        self.alone = self.rows * (len(features) * cell + 16 + 2 * models) <= ALONE_BYTES and self.rows <= 1 << EXACT_BITS and whole
+        if self.alone:
+            size = self.rows
         count = max(1, math.ceil(self.rows / size))
         packed = rows.repartition(count, "k").mapInPandas(
             _pack(len(self.features), models, self.edges, size), "n int, x binary, y binary, w binary, k binary")
         blocks = materialise(packed, "boosting-blocks")
         width, base = len(self.features), np.array(self.base)
-        kind = np.uint8 if all(len(e) < 256 for e in self.edges) else np.uint16
+        kind = _kind(self.edges)
 
         def load(row):
             return {
                 "x": np.frombuffer(row["x"], kind).reshape(-1, width), "y": np.frombuffer(row["y"]),
-                "w": np.frombuffer(row["w"], np.uint8).reshape(-1, models), "k": np.frombuffer(row["k"], np.uint64),
+                "w": np.frombuffer(row["w"], np.uint16).reshape(-1, models), "k": np.frombuffer(row["k"], np.uint64),
                 "f": np.tile(base, (row["n"], 1)),
             }
 
+        self.before, self.kept, self.block, self.level, self.blocks = None, None, None, None, None
+        if self.alone:
+            # at most ALONE_BYTES in one row
+            parts = [{k: np.array(v) for k, v in load(row).items() if k != "f"} for row in blocks.collect()]
+            self.block = self.context.broadcast({k: np.concatenate([p[k] for p in parts]) for k in parts[0]})
+            return
         # the code and the settings go out once; a level's closure holds only its open nodes and trees
         self.level = self.context.broadcast(cloudpickle.dumps((_level, params, _fold)))
-        self.before, self.folder = None, work_folder(spark)
+        self.folder = work_folder(spark)
         self.blocks = blocks.rdd.map(load).persist(StorageLevel.MEMORY_AND_DISK)
         self.parts = self.blocks.getNumPartitions()
 
@@ -451,16 +573,50 @@ class _Trainer:
 
         return self.blocks.mapPartitions(run)
 
-    def best(self, open_slots, current, tree_no) -> dict[tuple[int, int], tuple]:
+    def best(self, open_slots, current, pairs, open_nodes, tree_no) -> dict[tuple[int, int], tuple]:
+        """Best cuts of the new nodes: the lighter child of each of ``pairs`` is counted, its sibling is the rest of the parent.
+
+        ``open_nodes``: those of earlier levels that may be split later; their histograms stay.
+        """
         params, scale, width = self.params, self.scale, len(self.features)
         masks = {m: _column_mask(width, params[m], tree_no) for m in open_slots}
-        parts = self.histograms(open_slots, current, tree_no)
-        keys = sum(int((s >= 0).sum()) for s in open_slots.values())
-        reducers = max(1, min(keys, self.context.defaultParallelism))
-        found = dict(parts.reduceByKey(lambda a, b: a + b, reducers).map(
-            lambda kv: (kv[0], best_split(kv[1], scale, params[kv[0][0]], masks[kv[0][0]]))).collect())
+        # Counts of a pair travel under the key of the parent, where the parent's own histogram waits.
+        names = {(m, slot): (m, n[2] if n[2] is not None else n[0]) for m, own in pairs.items() for slot, n in enumerate(own)}
+        children = {(m, n[2]): n[:2] for m, own in pairs.items() for n in own if n[2] is not None}
+        reducers = max(1, min(len(names), self.context.defaultParallelism))
+        counted = self.histograms(open_slots, current, tree_no).map(lambda kv: (names[kv[0]], kv[1])).reduceByKey(lambda a, b: a + b, reducers)
+        if children:
+            def both(kv):
+                (m, parent), (whole, light) = kv
+                whole, light = next(iter(whole), None), next(iter(light), None)
+                if (m, parent) not in children:
+                    return [((m, parent), whole)] if (m, parent) in open_nodes else []
+                light = np.zeros_like(whole) if light is None else light
+                first, second = children[m, parent]
+                return [((m, first), light), ((m, second), whole - light)]
+
+            counted = self.kept.cogroup(counted, reducers).flatMap(both)
+        counted = counted.persist(StorageLevel.MEMORY_AND_DISK)
+        fresh = {(m, n) for m, own in pairs.items() for p in own for n in p[:2] if n is not None}
+        found = dict(counted.filter(lambda kv: kv[0] in fresh).map(
+            lambda kv: (kv[0], best_splits(kv[1][None], scale, params[kv[0][0]], masks[kv[0][0]])[0])).collect())
+        if self.kept is not None:
+            self.kept.unpersist()
+        self.kept = counted
         return {k: v for k, v in found.items() if v is not None}
 
+    def train_alone(self) -> list[list[_Tree]]:
+        """Every model by one task."""
+        block, params, scale, base, bins = self.block, self.params, self.scale, self.base, self.bins
+        code = self.context.broadcast(cloudpickle.dumps(_train_alone))
+
+        def run(model):
+            return model, pickle.loads(code.value)(block.value, model, params[model], scale, base[model], bins)
+
+        found = dict(self.context.parallelize(range(len(params)), len(params)).map(run).collect())
+        code.unpersist()
+        return [found[m] for m in range(len(params))]
+
     def fold(self, trees: dict[int, tuple], checkpoint: bool) -> None:
         """Queue the margin update; the next job computes and caches it."""
         self.release()
@@ -484,8 +640,9 @@ class _Trainer:
 
     def close(self) -> None:
         self.release()
-        self.blocks.unpersist()
-        self.level.unpersist()
+        for held in (self.blocks, self.level, self.kept, self.block):
+            if held is not None:
+                held.unpersist()
 
 
 def fit_boosted(
@@ -501,7 +658,7 @@ def fit_boosted(
 ) -> BoostedModels:
     """Train one ensemble per entry of ``params``.
 
-    ``weights`` is an array column with one whole-number weight (0..255) per ensemble: bootstrap counts, fold or
+    ``weights`` is an array column with one whole-number weight (0 to 65535, else an error) per ensemble: bootstrap counts, fold or
     segment membership. Without it every row has weight one in the only ensemble.
     """
     settings = [params or BoostParams()] if params is None or isinstance(params, BoostParams) else list(params)
@@ -509,6 +666,8 @@ def fit_boosted(
     done: list[list[_Tree]] = [[] for _ in settings]
     rounds = max(p.n_estimators for p in settings)
     try:
+        if trainer.alone:
+            return BoostedModels(features, trainer.edges, trainer.base, trainer.train_alone(), settings)
         for number in range(rounds):
             growing = {m: _Tree() for m, p in enumerate(settings) if number < p.n_estimators}
             _grow(trainer, growing, settings, number)
@@ -524,27 +683,23 @@ def fit_boosted(
 def _grow(trainer: _Trainer, growing: dict[int, _Tree], settings, number: int) -> None:
     """Grow one tree per model, all models level by level in the same jobs."""
     frontier = {m: [0] for m in growing}
+    pairs: dict[int, list[tuple]] = {m: [(0, None, None)] for m in growing}
     while True:
         open_slots, current = {}, {}
-        for m, nodes in frontier.items():
-            if nodes:
+        for m, own in pairs.items():
+            if own:
                 slots = np.full(len(growing[m].feature), -1, np.int32)
-                slots[nodes] = np.arange(len(nodes), dtype=np.int32)
+                slots[[p[0] for p in own]] = np.arange(len(own), dtype=np.int32)
                 open_slots[m], current[m] = slots, growing[m].packed()
         if not open_slots:
             break
-        found = trainer.best(open_slots, current, number)
+        waiting = {(m, n) for m, tree in growing.items() if settings[m].num_leaves for n in tree.best if tree.feature[n] < 0}
+        found = trainer.best(open_slots, current, {m: pairs[m] for m in open_slots}, waiting, number)
         for m in open_slots:
-            tree, setting = growing[m], settings[m]
             for node in frontier[m]:
                 if (m, node) in found:
-                    tree.best[node] = found[m, node]
-            if setting.num_leaves:
-                # children of a node matter only if the node itself survives the leaf budget
-                ready = sorted(n for n in _grow_order(tree, setting.num_leaves) if tree.feature[n] < 0)
-            else:
-                ready = [n for n in frontier[m] if n in tree.best]
-            frontier[m] = [c for n in ready for c in tree.split(n, tree.best[n]) if tree.depth[c] < setting.depth_limit]
+                    growing[m].best[node] = found[m, node]
+            frontier[m], pairs[m] = _split_all(growing[m], settings[m], _ready(growing[m], settings[m], frontier[m]))
     for m, tree in growing.items():
         _finish(tree, settings[m])
 
@@ -552,12 +707,12 @@ def _grow(trainer: _Trainer, growing: dict[int, _Tree], settings, number: int) -
 def level_histogram(
     df: DataFrame, key: str, features: Sequence[str], label: str, edges: Sequence[Sequence[float]]
 ) -> DataFrame:
-    """Root histogram of the first tree: ``feature, bin, gradient, weight``."""
-    trainer = _Trainer(df, key, features, label, None, [BoostParams()], edges, 64, BLOCK_ROWS)
+    """Root histogram of the first tree: ``feature, bin, gradient, weight``; missing values have bin -1."""
+    trainer = _Trainer(df, key, features, label, None, [BoostParams()], edges, 64, BLOCK_ROWS, whole=False)
     names, scale = list(features), trainer.scale
     parts = trainer.histograms({0: np.zeros(1, np.int32)}, {0: _Tree().packed()}, 0).reduceByKey(lambda a, b: a + b)
     cells = parts.flatMap(lambda kv: [
-        (names[f], int(b), float(kv[1][f, b, 0] / scale), int(kv[1][f, b, 1]))
+        (names[f], int(b) - 1, float(kv[1][f, b, 0] / scale), int(kv[1][f, b, 1]))
         for f in range(kv[1].shape[0]) for b in range(kv[1].shape[1]) if kv[1][f, b, 1]
     ])
     return df.sparkSession.createDataFrame(cells, "feature string, bin int, gradient double, weight long")

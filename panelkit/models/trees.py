@@ -30,9 +30,11 @@ MLLIB = {
     "random_forest": RandomForestRegressor,
     "gradient_boosting": GBTRegressor,
 }
-BOOSTED = ("xgboost", "lightgbm")
-# fixed values: settings that the two boosting flavours imply when they are not given
+BOOSTED = ("gradient_boosting", "xgboost", "lightgbm")
+KEYS = ("decision_tree", "random_forest", *BOOSTED)
+# fixed values: settings that the boosting flavours imply when they are not given
 FLAVOURS = {
+    "gradient_boosting": {"reg_lambda": 0.0, "importance": "total_gain"},
     "xgboost": {"reg_lambda": 1.0, "min_child_weight": 1.0, "importance": "gain"},
     "lightgbm": {"reg_lambda": 0.0, "num_leaves": 31, "min_child_samples": 20, "min_child_weight": 1e-3, "importance": "split"},
 }
@@ -64,7 +66,8 @@ def mllib_params(key: str, params: dict[str, Any]) -> dict[str, Any]:
 
 
 def boost_params(key: str, params: dict[str, Any]) -> BoostParams:
-    known = {k: v for k, v in {**FLAVOURS[key], **params}.items() if k in BoostParams.__dataclass_fields__}
+    names = {"min_samples_leaf": "min_child_samples"} if key == "gradient_boosting" else {}
+    known = {names.get(k, k): v for k, v in {**FLAVOURS[key], **params}.items() if names.get(k, k) in BoostParams.__dataclass_fields__}
     if known.get("max_depth") is None and "max_depth" in known:
         known["max_depth"] = -1
     for name in ("min_child_weight", "gamma", "reg_alpha", "reg_lambda", "learning_rate", "subsample", "colsample_bytree"):
@@ -137,7 +140,7 @@ def train(
 
 
 def train_all(
-    df: DataFrame, features: Sequence[str], label: str, row_id: str, keys: Sequence[str] = (*MLLIB, *BOOSTED),
+    df: DataFrame, features: Sequence[str], label: str, row_id: str, keys: Sequence[str] = KEYS,
     params: dict[str, dict[str, Any]] | None = None,
 ) -> dict[str, TreeModel]:
     """All listed models on one train split, which is settled once."""

@@ -32,7 +32,7 @@ class RunOptions:
     n_neighbors: int = 5
     outliers: str | None = None
     specs: Sequence[dict[str, Any]] = tuple(fixed.FEATURE_SPECS)
-    models: Sequence[str] = (*T.MLLIB, *T.BOOSTED)
+    models: Sequence[str] = T.KEYS
     params: dict[str, dict[str, Any]] = field(default_factory=dict)
     grids: dict[str, dict[str, Sequence[Any]]] = field(default_factory=dict)
     bands: Sequence[tuple] = tuple(fixed.TARGET_BANDS)

@@ -48,15 +48,73 @@ def test_boosting_does_not_depend_on_partitioning(data):
     assert one.node_rows() == many.node_rows()
 
 
-def test_boosting_merge_paths_agree(data, monkeypatch):
-    params = H.BoostParams(n_estimators=3, max_depth=4, num_leaves=6)
-    near = H.fit_boosted(data, "id", FEATURES, "y", params)
-    far = H.fit_boosted(data, "id", FEATURES, "y", params)
-    assert near.node_rows() == far.node_rows()
+@pytest.mark.parametrize("params", [
+    {"max_depth": 4, "subsample": 0.8, "colsample_bytree": 0.7}, {"max_depth": 5, "num_leaves": 6}, {"max_depth": -1, "num_leaves": 9, "reg_alpha": 0.5}])
+def test_whole_models_and_shared_levels_grow_the_same_trees(data, monkeypatch, params):
+    """One task a model, and jobs a level for all models with siblings from what is left of the parent."""
+    holes = data.withColumn("a", F.when(F.col("id") % 7 != 0, F.col("a")))
+    settings = [H.BoostParams(n_estimators=3, **params), H.BoostParams(n_estimators=2, learning_rate=0.3, **params)]
+    edges = H.quantile_edges(data, FEATURES, 32)
+    run = lambda: H.fit_boosted(holes.repartition(6), "id", FEATURES, "y", settings, bootstrap_weights("id", 2), edges, block_rows=300)
+    alone = run()
+    monkeypatch.setattr(H, "ALONE_BYTES", 0)
+    assert alone.node_rows() == run().node_rows()
+
+
+def test_missing_values_go_where_they_fit(spark):
+    """Missing values with high labels go to the high side, those with low labels to the low side."""
+    for height in (0.0, 10.0):
+        rows = [(k, float(k % 10), 10.0 if k % 10 > 4 else 0.0) for k in range(300)] + [(300 + k, None, height) for k in range(100)]
+        df = spark.createDataFrame(rows, "id long, x double, y double")
+        model = H.fit_boosted(df, "id", ["x"], "y", H.BoostParams(n_estimators=1, max_depth=1, learning_rate=1.0, reg_lambda=0.0))
+        assert model.trees[0][0].low[0] == (height == 0.0)
+        assert rmse(model.transform(df)) == pytest.approx(0.0, abs=1e-6)
+
+
+def test_weights_of_any_size_count_and_others_raise(spark):
+    df = spark.createDataFrame([(k, float(k % 2), float(k % 2)) for k in range(200)], "id long, x double, y double")
+    heavy = H.fit_boosted(df, "id", ["x"], "y", H.BoostParams(n_estimators=1, max_depth=1, learning_rate=1.0, reg_lambda=0.0),
+                          F.array(F.when(F.col("x") > 0, 256).otherwise(1)))
+    assert rmse(heavy.transform(df)) == pytest.approx(0.0, abs=1e-6) and heavy.base[0] == pytest.approx(256 / 257)
+    for wrong in (-1, 70_000):
+        with pytest.raises(ValueError):
+            H.fit_boosted(df, "id", ["x"], "y", weights=F.array(F.lit(wrong)))
+
+
+def test_trees_equal_a_plain_grower(data):
+    """Depth-wise trees against a grower that looks at every cut of every node in Python."""
+    pdf = data.toPandas()
+    edges = [[-1.0, 0.0, 1.0], [-0.5, 0.5], [0.0]]
+    model = H.fit_boosted(data, "id", FEATURES, "y", H.BoostParams(n_estimators=2, max_depth=3, learning_rate=0.5, min_child_samples=5), edges=edges)
+    margin = np.full(len(pdf), pdf["y"].mean())
+
+    def grow(rows, depth):
+        g, best = (margin - pdf["y"].to_numpy())[rows], None
+        for f, cuts in zip(FEATURES, edges):
+            for e in cuts:
+                low = pdf[f].to_numpy()[rows] <= e
+                n, m = low.sum(), (~low).sum()
+                if min(n, m) >= 5:
+                    gain = 0.5 * (g[low].sum() ** 2 / (n + 1) + g[~low].sum() ** 2 / (m + 1) - g.sum() ** 2 / (n + m + 1))
+                    if best is None or gain > best[0] + 1e-9:
+                        best = (gain, low)
+        if depth == 3 or best is None or best[0] <= 1e-9:
+            step[rows] = -0.5 * g.sum() / (len(rows) + 1) if depth else 0.0
+            return
+        grow(rows[best[1]], depth + 1)
+        grow(rows[~best[1]], depth + 1)
+
+    for _ in range(2):
+        step = np.zeros(len(pdf))
+        grow(np.arange(len(pdf)), 0)
+        margin = margin + step
+    got = model.transform(data).select("id", "prediction").toPandas().set_index("id")["prediction"]
+    assert np.allclose(got.loc[pdf["id"]].to_numpy(), margin, atol=1e-5)
 
 
 def test_boosting_loss_falls_and_survives_checkpoints(data, monkeypatch):
     monkeypatch.setattr(H, "CHECKPOINT_EVERY", 2)
+    monkeypatch.setattr(H, "ALONE_BYTES", 0)
     losses = []
     for rounds in (1, 3, 7):
         model = H.fit_boosted(data, "id", FEATURES, "y", H.BoostParams(n_estimators=rounds, max_depth=3, learning_rate=0.3))
