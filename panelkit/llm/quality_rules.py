@@ -17,7 +17,7 @@ from panelkit.session import materialise, settled, sized
 CLASSES = {"lower": "a-z", "space": SPACE, "other": r"^\x00-\x7F", "upper": "A-Z", "points": r".,;:!?'\"()\-", "digits": "0-9", "symbols": "#*$%&|<>"}
 
 MIN_WORDS = 50
-#: Common words of a language: the most frequent ones of at most so many letters, held by at least this share of its documents.
+#: Common words of a language: the most frequent ones of at most so many letters, held by at least this share of its documents (those without text count).
 COMMON, COMMON_LETTERS, COMMON_SHARE = 24, 6, 0.05
 #: A language's medians weigh as its documents, the corpus' as so many; bounds widen with the latter's weight.
 PRIOR_DOCS = 2
@@ -38,9 +38,9 @@ def _words(body: Column) -> Column:
 def common_words(docs: DataFrame, text: str, language: str) -> DataFrame:
     """``language, common``: the words that most documents of a language hold, from the most frequent on (ties in code-point order)."""
     own = docs.where(F.col(language).isNotNull() & F.col(text).isNotNull())
-    short = F.filter(F.transform(_words(F.col(text)), F.lower), lambda w: F.length(w) <= COMMON_LETTERS)
+    short = F.transform(F.filter(_words(F.col(text)), lambda w: F.length(w) <= COMMON_LETTERS), F.lower)
     held = own.select(F.col(language).alias("language"), F.explode(F.array_distinct(short)).alias("word")).groupBy("language", "word").agg(F.count("*").alias("n"))
-    sizes = own.groupBy(F.col(language).alias("language")).agg(F.count("*").alias("docs"))
+    sizes = docs.where(F.col(language).isNotNull()).groupBy(F.col(language).alias("language")).agg(F.count("*").alias("docs"))
     rank = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "word"))
     best = held.join(sizes, "language").where(F.col("n") >= COMMON_SHARE * F.col("docs")).withColumn("rank", rank).where(F.col("rank") <= COMMON)
     return best.groupBy("language").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("common"))
@@ -58,9 +58,12 @@ def measured(docs: DataFrame, text: str = "text", common: str = "common") -> Dat
     words = F.col("__words")
     # Steps are columns of their own where an array is looked at by place: inside a lambda it would be made again for each element.
     windows = F.transform(words, lambda x, k: F.xxhash64(x, F.get("__words", k + 1), F.get("__words", k + 2)))
-    bins = F.filter(F.transform(words, lambda w: F.array_position(F.col(common), F.lower(w))), lambda k: k > 0)
-    two = one.withColumn("__windows", F.sort_array(F.transform(
-        F.slice(windows, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda x, k: F.struct(x.alias("h"), k.alias("k"))))).withColumn(
+    short = F.filter(words, lambda w: F.length(w) <= COMMON_LETTERS)
+    bins = F.filter(F.transform(short, lambda w: F.array_position(F.col(common), F.lower(w))), lambda k: k > 0)
+    placed = F.sort_array(F.transform("__hashes", lambda x, k: F.struct(x.alias("h"), k.alias("k"))))
+    two = one.withColumn("__hashes", F.slice(windows, 1, F.greatest(F.size(words) - 2, F.lit(0)))).withColumn(
+        # Places matter only where some window is found twice.
+        "__windows", F.when(F.size(F.array_distinct("__hashes")) < F.size("__hashes"), placed).otherwise(F.array().cast("array<struct<h:bigint,k:int>>"))).withColumn(
         "__hits", F.coalesce(F.sort_array(bins), F.array().cast("array<bigint>")))
     same = lambda x, k: (x["h"] == F.get("__windows", k - 1)["h"]) | (x["h"] == F.get("__windows", k + 1)["h"])
     again = F.filter("__windows", lambda x, k: F.coalesce(same(x, k), F.lit(False)))
