@@ -1,4 +1,4 @@
-"""Batched histogram boosting: many second-order tree ensembles trained in the same Spark jobs.
+"""Batched histogram trees: many ensembles, boosted or of independent trees, trained in the same Spark jobs.
 
 Rows are binned once and packed into blocks of NumPy arrays. A *model* is one ensemble: a bootstrap replicate, a
 fold, a segment or a grid point. Every block carries one weight per model, so all models share each pass: a level
@@ -40,6 +40,8 @@ BLOCK_ROWS = 65_536
 ALONE_BYTES = 32 << 20
 #: Rows of a block, as a power of two, whose gradients add up exactly.
 EXACT_BITS = 21
+#: Trees of a forest that one task grows.
+FOREST_UNIT = 5
 CHECKPOINT_EVERY = 25
 
 
@@ -61,6 +63,16 @@ class BoostParams:
     colsample_bytree: float = 1.0
     seed: int = 42
     importance: str = "total_gain"
+    #: Independent trees over bootstrap draws (or one tree over all rows) instead of boosted ones; each looks at ``max_features`` a node.
+    forest: bool = False
+    bootstrap: bool = False
+    max_features: str = "all"
+
+    def drawn(self, width: int) -> int:
+        """Features a node looks at: all, the square root or binary logarithm of their number, a share or a number."""
+        named = {"all": width, "sqrt": math.sqrt(width), "log2": math.log2(max(2, width))}
+        value = named[self.max_features] if self.max_features in named else float(self.max_features)
+        return max(1, min(width, int(value * width if "." in self.max_features else value)))
 
     @property
     def smallest(self) -> float:
@@ -106,7 +118,7 @@ class _Tree:
 
     def packed(self) -> tuple[np.ndarray, ...]:
         return (np.array(self.feature, np.int32), np.array(self.bin, np.int32), np.array(self.left, np.int32),
-                np.array(self.right, np.int32), np.array(self.value), max(self.depth), np.array(self.low, bool))
+                np.array(self.right, np.int32), np.array(self.value), int(np.max(self.depth)), np.array(self.low, bool))
 
 
 def _goes_low(x: np.ndarray, cut: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -214,6 +226,112 @@ def _sampled(keys: np.ndarray, rows: np.ndarray, setting: BoostParams, model: in
     return rows[_mix(keys[rows], (setting.seed * 100_003 + model) * 10_007 + tree_no) < setting.subsample]
 
 
+def _poisson(uniform: np.ndarray) -> np.ndarray:
+    """Bootstrap counts (mean 1) of uniform draws."""
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(13)])
+    return np.searchsorted(steps, uniform, side="right")
+
+
+def _cell_cuts(x: np.ndarray, slot: np.ndarray, g: np.ndarray, w: np.ndarray, totals: tuple[np.ndarray, np.ndarray], bins: int, smallest: float):
+    """For one feature: (slot, gain, bin, missing low, low sums, low weights), the best cut of each slot that has one.
+
+    Only bins that hold rows take part, so that the work follows the rows and not the number of slots.
+    """
+    key = slot.astype(np.int64) * bins + x
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    cell_g, cell_w, cell = np.add.reduceat(g[order], starts), np.add.reduceat(w[order], starts), key[starts]
+    at, bin_ = cell // bins, cell % bins
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    sizes = np.diff(np.append(first, len(at)))
+    inside = lambda c: np.cumsum(c) - np.repeat(np.cumsum(c)[first] - c[first], sizes)
+    low_g, low_w, (all_g, all_w) = inside(cell_g), inside(cell_w), (t[at] for t in totals)
+    best = None
+    lost_g, lost_w = (np.repeat(np.where(bin_[first] == 0, c[first], 0.0), sizes) for c in (cell_g, cell_w))
+    for low, (sum_g, sum_w) in ((True, (low_g, low_w)), (False, (low_g - lost_g, low_w - lost_w))):
+        if not low and not lost_w.any():
+            break
+        high_w = all_w - sum_w
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = 0.5 * (sum_g**2 / sum_w + (all_g - sum_g) ** 2 / high_w - all_g**2 / all_w)
+        gain = np.where((sum_w >= smallest) & (high_w >= smallest) & (sum_w > 0) & (high_w > 0), gain, -np.inf)
+        top = np.maximum.reduceat(gain, first)
+        hit = np.flatnonzero(gain == np.repeat(top, sizes))
+        own, place = np.unique(at[hit], return_index=True)  # the lowest bin of equal gains
+        found = [at[first], top, bin_[hit[place]] - 1, np.full(len(own), low), sum_g[hit[place]], sum_w[hit[place]]]
+        if best is None:
+            best = found
+        else:
+            better = found[1] > best[1]
+            best = [np.where(better, new, old) for new, old in zip(found, best)]
+    return best
+
+
+def _grow_whole(x: np.ndarray, y: np.ndarray, w: np.ndarray, setting: BoostParams, salt: int, bins: int, scale: float, part: float) -> _Tree:
+    """One tree over the rows, level by level; ``y`` in whole units of ``scale``, leaf values are means times ``part``."""
+    width, tree, node = x.shape[1], _Tree(), np.zeros(len(x), np.int64)
+    columns = {k: [np.array(getattr(tree, k))] for k in _Tree.FIELDS}
+    rows, open_, made, depth = np.flatnonzero(w > 0), np.array([0]), 1, 0
+    columns["value"][0] = np.array([(y[rows] @ w[rows]) / w[rows].sum() * (part / scale)]) if len(rows) else np.zeros(1)
+    limit = setting.max_depth if setting.max_depth > 0 else math.inf
+    while len(rows) and depth < limit:
+        slots = np.full(made, -1, np.int64)
+        slots[open_] = np.arange(len(open_))
+        slot, own_w = slots[node[rows]], w[rows]
+        own_g = y[rows] * own_w
+        totals = np.bincount(slot, own_g, len(open_)), np.bincount(slot, own_w, len(open_))
+        draws = _mix(np.arange(len(open_) * width, dtype=np.uint64) + np.uint64(made * width), salt).reshape(len(open_), width)
+        drawn = np.argsort(np.argsort(draws, axis=1, kind="stable"), axis=1, kind="stable") < setting.drawn(width)
+        gain, feature, cut = np.full(len(open_), 1e-12 * scale * scale), np.full(len(open_), -1), np.zeros(len(open_), np.int64)
+        low, low_g, low_w = np.ones(len(open_), bool), np.zeros(len(open_)), np.zeros(len(open_))
+        large = totals[1] >= setting.min_samples_split
+        for f in range(width):
+            looked = np.flatnonzero(drawn[slot, f] & large[slot])
+            if not len(looked):
+                continue
+            at, found, *rest = _cell_cuts(x[rows[looked], f], slot[looked], own_g[looked], own_w[looked], totals, bins, setting.smallest)
+            better = found > gain[at]
+            at = at[better]
+            gain[at], feature[at] = found[better], f
+            cut[at], low[at], low_g[at], low_w[at] = (r[better] for r in rest)
+        split = np.flatnonzero(feature >= 0)
+        if not len(split):
+            break
+        n = len(split)
+        nodes, left = open_[split], made + 2 * np.arange(n)
+        flat = {k: np.concatenate(v) for k, v in columns.items()}
+        flat["feature"][nodes], flat["bin"][nodes], flat["gain"][nodes], flat["low"][nodes] = feature[split], cut[split], gain[split] / scale**2, low[split]
+        flat["left"][nodes], flat["right"][nodes] = left, left + 1
+        value = np.stack([low_g[split] / low_w[split], (totals[0][split] - low_g[split]) / (totals[1][split] - low_w[split])], axis=1).ravel() * (part / scale)
+        child = {"feature": np.full(2 * n, -1), "bin": np.zeros(2 * n, np.int64), "left": np.full(2 * n, -1), "right": np.full(2 * n, -1), "value": value,
+                 "gain": np.zeros(2 * n), "depth": np.full(2 * n, depth + 1), "parent": np.repeat(nodes, 2), "low": np.ones(2 * n, bool)}
+        columns = {k: [flat[k], child[k]] for k in _Tree.FIELDS}
+        goes = np.full(len(open_), -1)
+        goes[split] = np.arange(n)
+        rows, slot = rows[goes[slot] >= 0], slot[goes[slot] >= 0]
+        below = _goes_low(x[rows, feature[slot]], cut[slot], low[slot])
+        node[rows] = left[goes[slot]] + ~below
+        open_, made, depth = np.arange(made, made + 2 * n), made + 2 * n, depth + 1
+    for k, v in columns.items():
+        setattr(tree, k, np.concatenate(v))
+    return tree
+
+
+def _train_forest(block: dict, model: int, setting: BoostParams, scale: float, base: float, bins: int, numbers: Sequence[int]) -> list[_Tree]:
+    """Some trees of a forest."""
+    scale = scale / 16  # room for bootstrap counts, so that sums stay exact
+    held = np.flatnonzero(block["w"][:, model])
+    x, weight, keys = block["x"][held], block["w"][held, model].astype(float), block["k"][held]
+    y = np.rint((block["y"][held] - base) * scale)
+    out = []
+    for number in numbers:
+        salt = (setting.seed * 100_003 + 17) * 10_007 + number
+        drawn = weight * _poisson(_mix(keys, salt)) if setting.bootstrap else weight
+        out.append(_grow_whole(x, y, drawn, setting, salt + 1, bins, scale, 1.0 / setting.n_estimators))
+    return out
+
+
 def _level(blocks, open_slots, current, params, tree_no, scale, bins):
     """Histograms of the counted nodes of one partition: ``((model, slot), features x bins x 2)``."""
     found: dict[tuple[int, int], np.ndarray] = {}
@@ -386,10 +504,10 @@ class BoostedModels:
         for m, trees in enumerate(self.trees):
             gains, counts = np.zeros(len(self.features)), np.zeros(len(self.features))
             for tree in trees:
-                for f, gain in zip(tree.feature, tree.gain):
-                    if f >= 0:
-                        gains[f] += gain
-                        counts[f] += 1
+                feature = np.asarray(tree.feature)
+                inner = feature >= 0
+                gains += np.bincount(feature[inner], np.asarray(tree.gain)[inner], len(self.features))
+                counts += np.bincount(feature[inner], minlength=len(self.features))
             kind = self.params[m].importance
             score = {"total_gain": gains, "gain": gains / np.maximum(counts, 1), "split": counts}[kind]
             whole = score.sum() or 1.0
@@ -402,8 +520,9 @@ class BoostedModels:
 
     def node_rows(self) -> list[tuple]:
         return [
-            (m, t, i, *[getattr(tree, k)[i] for k in _Tree.FIELDS])
-            for m, trees in enumerate(self.trees) for t, tree in enumerate(trees) for i in range(len(tree.feature))
+            (m, t, i, *row)
+            for m, trees in enumerate(self.trees) for t, tree in enumerate(trees)
+            for i, row in enumerate(zip(*[np.asarray(getattr(tree, k)).tolist() for k in _Tree.FIELDS]))
         ]
 
     NODE_SCHEMA = ("model int, tree int, node int, feature int, bin int, left int, right int, value double, "
@@ -412,7 +531,7 @@ class BoostedModels:
     def save(self, spark, path: str) -> None:
         spark.createDataFrame(self.node_rows(), self.NODE_SCHEMA).write.mode("overwrite").parquet(f"{path}/nodes")
         heads = [(m, b, *[getattr(p, k) for k in p.__dataclass_fields__]) for m, (b, p) in enumerate(zip(self.base, self.params))]
-        types = {int: "int", float: "double", str: "string"}
+        types = {int: "int", float: "double", str: "string", bool: "boolean"}
         kinds = {"num_leaves": "int", **{k: types[type(v.default)] for k, v in BoostParams.__dataclass_fields__.items() if v.default is not None}}
         schema = "model int, base double, " + ", ".join(f"{k} {kinds[k]}" for k in BoostParams.__dataclass_fields__)
         heads = [tuple(float(v) if kinds.get(k) == "double" else v for k, v in zip(["model", "base", *BoostParams.__dataclass_fields__], h)) for h in heads]
@@ -534,8 +653,7 @@ class _Trainer:
         size = min(block_rows, max(4096, 8 * block_rows // max(8, models)))
         bits = min(52 - EXACT_BITS - math.ceil(math.log2(heaviest_row)), 60 - math.ceil(math.log2(heaviest)) - 1)
         self.scale = 2.0 ** (bits - math.ceil(math.log2(max(facts["hi"] - facts["lo"], 1e-300))))
-        cell = np.dtype(_kind(self.edges)).itemsize
-        self.alone = self.rows * (len(features) * cell + 16 + 2 * models) <= ALONE_BYTES and self.rows <= 1 << EXACT_BITS and whole
+        self.alone = whole and fits_one_block(self.rows, len(features), models)
         if self.alone:
             size = self.rows
         count = max(1, math.ceil(self.rows / size))
@@ -606,16 +724,22 @@ class _Trainer:
         return {k: v for k, v in found.items() if v is not None}
 
     def train_alone(self) -> list[list[_Tree]]:
-        """Every model by one task."""
+        """Every boosted model by one task, forests by a few trees a task."""
         block, params, scale, base, bins = self.block, self.params, self.scale, self.base, self.bins
-        code = self.context.broadcast(cloudpickle.dumps(_train_alone))
-
-        def run(model):
-            return model, pickle.loads(code.value)(block.value, model, params[model], scale, base[model], bins)
-
-        found = dict(self.context.parallelize(range(len(params)), len(params)).map(run).collect())
+        code = self.context.broadcast(cloudpickle.dumps((_train_alone, _train_forest)))
+        units = [(m, n) for m, p in enumerate(params) for n in (range(0, p.n_estimators, FOREST_UNIT) if p.forest else [0])]
+
+        def run(unit):
+            model, first = unit
+            setting, (boosted, forest) = params[model], pickle.loads(code.value)
+            if not setting.forest:
+                return unit, boosted(block.value, model, setting, scale, base[model], bins)
+            numbers = range(first, min(first + FOREST_UNIT, setting.n_estimators))
+            return unit, forest(block.value, model, setting, scale, base[model], bins, numbers)
+
+        found = dict(self.context.parallelize(units, len(units)).map(run).collect())
         code.unpersist()
-        return [found[m] for m in range(len(params))]
+        return [[t for m, n in units if m == model for t in found[m, n]] for model in range(len(params))]
 
     def fold(self, trees: dict[int, tuple], checkpoint: bool) -> None:
         """Queue the margin update; the next job computes and caches it."""
@@ -645,6 +769,11 @@ class _Trainer:
                 held.unpersist()
 
 
+def fits_one_block(rows: int, features: int, models: int) -> bool:
+    """Whether so many rows are trained on whole by single tasks."""
+    return rows * (features + 16 + 2 * models) <= ALONE_BYTES and rows <= 1 << EXACT_BITS
+
+
 def fit_boosted(
     df: DataFrame,
     key: str,
@@ -668,6 +797,8 @@ def fit_boosted(
     try:
         if trainer.alone:
             return BoostedModels(features, trainer.edges, trainer.base, trainer.train_alone(), settings)
+        if any(p.forest for p in settings):
+            raise ValueError("forests need rows that fit one block; see fits_one_block")
         for number in range(rounds):
             growing = {m: _Tree() for m, p in enumerate(settings) if number < p.n_estimators}
             _grow(trainer, growing, settings, number)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -18,7 +19,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.models.boosting import BoostedModels, BoostParams, fit_boosted
+from panelkit.models.boosting import BoostedModels, BoostParams, fit_boosted, fits_one_block
 from panelkit.operators.importance import name_vector
 from panelkit.operators.splits import SEED, bootstrap_weight, bootstrap_weights, fold_column, with_segment_split
 from panelkit.session import materialise, settled
@@ -34,6 +35,8 @@ BOOSTED = ("gradient_boosting", "xgboost", "lightgbm")
 KEYS = ("decision_tree", "random_forest", *BOOSTED)
 # fixed values: settings that the boosting flavours imply when they are not given
 FLAVOURS = {
+    "decision_tree": {"n_estimators": 1, "forest": True},
+    "random_forest": {"forest": True, "bootstrap": True},
     "gradient_boosting": {"reg_lambda": 0.0, "importance": "total_gain"},
     "xgboost": {"reg_lambda": 1.0, "min_child_weight": 1.0, "importance": "gain"},
     "lightgbm": {"reg_lambda": 0.0, "num_leaves": 31, "min_child_samples": 20, "min_child_weight": 1e-3, "importance": "split"},
@@ -66,16 +69,23 @@ def mllib_params(key: str, params: dict[str, Any]) -> dict[str, Any]:
 
 
 def boost_params(key: str, params: dict[str, Any]) -> BoostParams:
-    names = {"min_samples_leaf": "min_child_samples"} if key == "gradient_boosting" else {}
+    names = {} if key in ("xgboost", "lightgbm") else {"min_samples_leaf": "min_child_samples"}
     known = {names.get(k, k): v for k, v in {**FLAVOURS[key], **params}.items() if names.get(k, k) in BoostParams.__dataclass_fields__}
     if known.get("max_depth") is None and "max_depth" in known:
         known["max_depth"] = -1
+    if "max_features" in known:
+        known["max_features"] = "all" if known["max_features"] is None else str(known["max_features"])
     for name in ("min_child_weight", "gamma", "reg_alpha", "reg_lambda", "learning_rate", "subsample", "colsample_bytree"):
         if name in known:
             known[name] = float(known[name])
     return BoostParams(**known)
 
 
+def in_engine(key: str, df: DataFrame, features: Sequence[str], models: int = 1) -> bool:
+    """Whether the engine trains this model: the boosted ones always, trees and forests where the rows fit one block (else MLlib does)."""
+    return key in BOOSTED or fits_one_block(df.count(), len(features), models)
+
+
 def estimator(key: str, params: dict[str, Any] | None = None, label: str = "label", weight: str | None = None, seed: int = SEED):
     """An MLlib estimator on the ``features`` vector."""
     made = MLLIB[key](featuresCol="features", labelCol=label, predictionCol="prediction", seed=seed,
@@ -85,8 +95,21 @@ def estimator(key: str, params: dict[str, Any] | None = None, label: str = "labe
     return made
 
 
+@dataclass(frozen=True)
+class Template:
+    """The kind and settings of a model, to be fitted again."""
+
+    key: str
+    params: dict[str, Any]
+
+    def fit(self, df: DataFrame, features: Sequence[str], label: str, row_id: str, weight: Column | None = None, seed: int = SEED) -> TreeModel:
+        return train(self.key, df, features, label, row_id, self.params, weight, seed)
+
+
 def from_template(fitted, extra: dict[str, Any] | None = None):
-    """A new estimator with the class and settings of a fitted MLlib model, changed by ``extra``."""
+    """The settings of a fitted model, changed by ``extra``: a ``Template`` of a ``TreeModel``, an estimator of an MLlib model."""
+    if isinstance(fitted, TreeModel):
+        return Template(fitted.key, {**fitted.params, **(extra or {})})
     by_model = {c.__name__.replace("Regressor", "RegressionModel"): c for c in MLLIB.values()}
     made = by_model[type(fitted).__name__]()
     for param in fitted.extractParamMap():
@@ -129,7 +152,7 @@ def train(
 ) -> TreeModel:
     """Fit one model; ``weight`` is a whole-number row weight."""
     params = DEFAULTS[key] if params is None else params
-    if key in BOOSTED:
+    if in_engine(key, df, features):
         weights = None if weight is None else F.array(weight)
         return TreeModel(key, features, params, boosted=fit_boosted(
             df, row_id, features, label, boost_params(key, {**params, "seed": seed}), weights))
@@ -173,7 +196,7 @@ def cross_validate(
     params = DEFAULTS[key] if params is None else params
     rows = settled(df.select(F.col(row_id).alias("row_id"), F.col(label).alias("label"), *features,
                              fold_column(row_id, folds, seed).alias("fold")), "cv-rows")
-    if key in BOOSTED:
+    if in_engine(key, rows, features, folds):
         weights = F.array(*[F.when(F.col("fold") != k, 1).otherwise(0) for k in range(folds)])
         fitted = fit_boosted(rows, "row_id", features, "label", [boost_params(key, params)] * folds, weights)
         scored = fitted.transform(rows, F.col("fold"))
@@ -200,7 +223,7 @@ def grid_search(
     points = grid_points(grid)
     rows = settled(df.select(F.col(row_id).alias("row_id"), F.col(label).alias("label"), *features,
                              fold_column(row_id, folds).alias("fold")), "grid-rows")
-    if key in BOOSTED:
+    if in_engine(key, rows, features, batch):
         scores: list[float] = []
         per_job = max(1, batch // folds)
         for start in range(0, len(points), per_job):
@@ -256,7 +279,7 @@ def train_segments(
     settings = {k: {**SEGMENT_DEFAULTS[k], **(params or {}).get(k, {})} for k in keys}
     scored, found = [], []
     for key in keys:
-        if key in BOOSTED:
+        if in_engine(key, train_rows, features, len(names)):
             weights = F.array(*[F.when(F.col("segment") == n, 1).otherwise(0) for n in names])
             fitted = fit_boosted(train_rows, "row_id", features, "label", [boost_params(key, settings[key])] * len(names), weights)
             place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("segment")) - 1
@@ -291,7 +314,7 @@ def bootstrap_importances(
     params = DEFAULTS[key] if params is None else params
     schema = "model string, replicate int, feature string, importance double"
     rows = settled(df.select(row_id, label, *features), "bootstrap-rows")
-    if key in BOOSTED:
+    if in_engine(key, rows, features, replicates):
         settings = [boost_params(key, {**params, "seed": seed + i}) for i in range(replicates)]
         fitted = fit_boosted(rows, row_id, features, label, settings, bootstrap_weights(row_id, replicates, seed))
         return spark.createDataFrame([(key, m, f, v) for m, f, v in fitted.importance_rows()], schema)

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -223,12 +225,72 @@ def test_bundle_round_trip_and_changed_rows(spark, data):
 
 
 def test_template_keeps_class_and_settings(data):
-    model = T.train("random_forest", data, FEATURES, "y", "id", {"n_estimators": 3, "max_depth": 4, "max_features": "sqrt"})
-    made = T.from_template(model.pipeline.stages[-1], {"numTrees": 5})
+    made = T.estimator("random_forest", {"n_estimators": 3, "max_depth": 4, "max_features": "sqrt"}, "y")
+    model = T.Pipeline(stages=[T.assembler(FEATURES), made]).fit(data)
+    made = T.from_template(model.stages[-1], {"numTrees": 5})
     assert type(made).__name__ == "RandomForestRegressor"
     assert (made.getNumTrees(), made.getMaxDepth(), made.getFeatureSubsetStrategy()) == (5, 4, "sqrt")
 
 
+@pytest.mark.parametrize("key", T.KEYS)
+def test_template_of_every_model(data, key):
+    params = {"max_depth": 3} if key == "decision_tree" else {"n_estimators": 2, "max_depth": 3}
+    model = T.train(key, data, FEATURES, "y", "id", params)
+    made = T.from_template(model, {"max_depth": 2})
+    assert made == T.Template(key, {**params, "max_depth": 2})
+    again = made.fit(data, FEATURES, "y", "id")
+    assert max(d for t in again.boosted.trees[0] for d in t.depth) == 2
+
+
+def test_single_tree_equals_a_plain_grower(data):
+    """A tree with smallest leaf and smallest split against every cut of every node in Python."""
+    pdf = data.toPandas()
+    edges = [[-1.0, 0.0, 1.0], [-0.5, 0.5], [0.0]]
+    setting = T.boost_params("decision_tree", {"max_depth": 4, "min_samples_leaf": 7, "min_samples_split": 60})
+    model = H.fit_boosted(data, "id", FEATURES, "y", setting, edges=edges)
+    y, want = pdf["y"].to_numpy(), np.zeros(len(pdf))
+
+    def grow(rows, depth):
+        best = None
+        if depth < 4 and len(rows) >= 60:
+            for f, cuts in zip(FEATURES, edges):
+                for e in cuts:
+                    low = pdf[f].to_numpy()[rows] <= e
+                    if min(low.sum(), (~low).sum()) >= 7:
+                        spread = sum(((y[part] - y[part].mean()) ** 2).sum() for part in (rows[low], rows[~low]))
+                        if best is None or spread < best[0] - 1e-9:
+                            best = (spread, low)
+        if best is None or best[0] > ((y[rows] - y[rows].mean()) ** 2).sum() - 1e-9:
+            want[rows] = y[rows].mean()
+            return
+        grow(rows[best[1]], depth + 1)
+        grow(rows[~best[1]], depth + 1)
+
+    grow(np.arange(len(pdf)), 0)
+    got = model.transform(data).select("id", "prediction").toPandas().set_index("id")["prediction"]
+    assert np.allclose(got.loc[pdf["id"]].to_numpy(), want, atol=1e-5)
+
+
+def test_forests_draw_rows_and_features_and_do_not_depend_on_partitioning(data):
+    setting = T.boost_params("random_forest", {"n_estimators": 12, "max_depth": 20, "max_features": "sqrt", "min_samples_leaf": 2, "min_samples_split": 5})
+    edges = H.quantile_edges(data, FEATURES, 64)
+    one = H.fit_boosted(data.repartition(1), "id", FEATURES, "y", setting, edges=edges)
+    other = H.fit_boosted(data.repartition(7), "id", FEATURES, "y", setting, edges=edges)
+    assert one.node_rows() == other.node_rows()
+    assert len(one.trees[0]) == 12 and len({tuple(t.feature[:7]) for t in one.trees[0]}) > 6
+    assert {t.feature[0] for t in one.trees[0]} == {0, 1, 2}  # one feature a node: even the noise stands at a root
+    few = H.fit_boosted(data, "id", FEATURES, "y", replace(setting, n_estimators=1), edges=edges)
+    assert rmse(one.transform(data)) < rmse(few.transform(data))
+
+
+def test_missing_values_in_a_single_tree(spark):
+    for height in (0.0, 10.0):
+        rows = [(k, float(k % 10), 10.0 if k % 10 > 4 else 0.0) for k in range(300)] + [(300 + k, None, height) for k in range(100)]
+        df = spark.createDataFrame(rows, "id long, x double, y double")
+        model = H.fit_boosted(df, "id", ["x"], "y", T.boost_params("decision_tree", {"max_depth": 1}))
+        assert rmse(model.transform(df)) == pytest.approx(0.0, abs=1e-6)
+
+
 def test_parameter_mapping():
     assert T.mllib_params("random_forest", {"max_depth": None, "n_estimators": 7, "min_samples_split": 5}) == {"maxDepth": 30, "numTrees": 7}
     assert T.mllib_params("gradient_boosting", {"n_estimators": 7, "learning_rate": 0.1, "subsample": 0.9}) == {
