@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from panelkit.models import trees as T  # noqa: E402
-from panelkit.operators import importance as I  # noqa: E402
 from panelkit.operators import metrics as M  # noqa: E402
 from panelkit.plans import frames as B  # noqa: E402
 from panelkit.plans import model_queries, registry  # noqa: E402
@@ -32,30 +31,19 @@ RELATIONAL = [
     "q2_comprehensive_metrics", "q3b_pairwise_tests_full", "w7_normal_plot", "a17_bootstrap_summary", "x4_spearman",
     "x6_permutation_drops", "q18_comparison_report",
 ]
-TREES = int(os.environ.get("BENCH_TREES", "20"))
 
 
-def score(spark, key: str, params: dict) -> DataFrame:
-    model = T.train(key, model_queries.train_rows(spark, SF_DIR), B.FEATURES, "target", "row_id", params)
+def score(spark, key: str) -> DataFrame:
+    """Train a model at its default settings and score both splits."""
+    model = T.train(key, model_queries.train_rows(spark, SF_DIR), B.FEATURES, "target", "row_id")
     return M.regression_metrics(T.predict_long({key: model}, model_queries.split_rows(spark, SF_DIR), "row_id", "target"))
 
 
-def bootstrap(spark) -> DataFrame:
-    samples = T.bootstrap_importances("xgboost", model_queries.train_rows(spark, SF_DIR), B.FEATURES, "target", "row_id", 20,
-                                      {"n_estimators": 5, "max_depth": 4, "learning_rate": 0.3})
-    return I.replicate_summary(samples)
-
-
 def training() -> dict:
-    boosted = {"n_estimators": TREES, "learning_rate": 0.1, "max_depth": 5, "subsample": 0.9, "colsample_bytree": 0.9}
-    return {
-        "train_decision_tree": lambda s: score(s, "decision_tree", {"max_depth": 10, "min_samples_leaf": 4}),
-        "train_random_forest": lambda s: score(s, "random_forest", {"n_estimators": TREES, "max_depth": 10, "max_features": "sqrt"}),
-        "train_gradient_boosting": lambda s: score(s, "gradient_boosting", {"n_estimators": TREES, "learning_rate": 0.1, "max_depth": 5}),
-        "train_depthwise_boosting": lambda s: score(s, "xgboost", {**boosted, "min_child_weight": 3, "gamma": 0.1}),
-        "train_leafwise_boosting": lambda s: score(s, "lightgbm", {**boosted, "num_leaves": 50, "min_child_samples": 20}),
-        "bootstrap_20_replicates": bootstrap,
-    }
+    names = {"decision_tree": "train_decision_tree", "random_forest": "train_random_forest_200", "gradient_boosting": "train_gradient_boosting_200",
+             "xgboost": "train_depthwise_boosting_200", "lightgbm": "train_leafwise_boosting_200"}
+    return {name: (lambda s, k=key: score(s, k)) for key, name in names.items()} | {
+        "bootstrap_100_replicates": lambda s: model_queries.bootstrap_intervals(s, SF_DIR)}
 
 
 def main() -> None:

@@ -1,7 +1,9 @@
-"""Queries that train models. Tree counts are small here; the shapes are those of the full settings."""
+"""Queries that train models, all at their default settings."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,16 +21,8 @@ from panelkit.plans.frames import with_sql
 from panelkit.plans.reuse import reuse
 from panelkit.session import fresh_path
 from panelkit.sources import bundles
+from panelkit.sources import fixed_values as fixed
 
-QUICK = {
-    "decision_tree": {"max_depth": 10, "min_samples_leaf": 4},
-    "random_forest": {"n_estimators": 20, "max_depth": 8, "min_samples_leaf": 2, "max_features": "sqrt"},
-    "gradient_boosting": {"n_estimators": 10, "learning_rate": 0.2, "max_depth": 5, "min_samples_leaf": 2, "subsample": 0.9},
-    "xgboost": {"n_estimators": 10, "learning_rate": 0.2, "max_depth": 5, "min_child_weight": 3, "subsample": 0.9,
-                "colsample_bytree": 0.9, "gamma": 0.1},
-    "lightgbm": {"n_estimators": 10, "learning_rate": 0.2, "max_depth": 5, "num_leaves": 20, "min_child_samples": 20,
-                 "subsample": 0.9, "colsample_bytree": 0.9, "reg_alpha": 0.1, "reg_lambda": 0.1},
-}
 _models: dict[tuple[str, str, str], T.TreeModel] = {}
 
 
@@ -44,7 +38,7 @@ def train_rows(spark, sf_dir) -> DataFrame:
 def fitted(spark, sf_dir, key: str) -> T.TreeModel:
     place = (spark.sparkContext.applicationId, f"{sf_dir} {B.state(spark, sf_dir)}", key)
     if place not in _models:
-        _models[place] = T.train(key, train_rows(spark, sf_dir), B.FEATURES, "target", "row_id", QUICK[key])
+        _models[place] = T.train(key, train_rows(spark, sf_dir), B.FEATURES, "target", "row_id")
     return _models[place]
 
 
@@ -69,43 +63,87 @@ for _name, _key in (("m1_decision_tree", "decision_tree"), ("m2_random_forest",
     _training_query(_name, _key)
 
 
+#: Some of the points that the boosted model's grid has.
+BOOSTED_GRID = {"max_depth": [3, 5], "learning_rate": [0.05, 0.1], "n_estimators": [100]}
+
+
+def searched(spark, sf_dir, key: str, grid: dict) -> DataFrame:
+    return B.written(spark, sf_dir, f"grid-{key}", lambda: T.grid_search(key, train_rows(spark, sf_dir), B.FEATURES, "target", "row_id", grid)[1])
+
+
 @query("m6_grid_search")
 def grid_search(spark, sf_dir):
-    grid = {"max_depth": [3, 6], "min_samples_leaf": [2, 4]}
-    return T.grid_search("decision_tree", train_rows(spark, sf_dir), B.FEATURES, "target", "row_id", grid, folds=3)[1]
+    return searched(spark, sf_dir, "decision_tree", fixed.GRIDS["decision_tree"])
 
 
 @query("m6b_batched_grid_search")
 def batched_grid_search(spark, sf_dir):
-    grid = {"max_depth": [2, 3], "learning_rate": [0.2, 0.4], "n_estimators": [5]}
-    return T.grid_search("xgboost", train_rows(spark, sf_dir), B.FEATURES, "target", "row_id", grid, folds=3)[1]
+    return searched(spark, sf_dir, "xgboost", BOOSTED_GRID)
+
+
+@query("m6c_grid_checks", with_sql("split_frame", """SELECT model, points, points AS fits, true AS beat_mean FROM
+    (SELECT unnest(['decision_tree', 'xgboost']) AS model, unnest([24, 4]) :: BIGINT AS points)"""))
+def grid_checks(spark, sf_dir):
+    """Every point is a fit of its own, and better than the variance of the target."""
+    spread = train_rows(spark, sf_dir).agg(F.var_pop("target")).first()[0]
+    found = grid_search(spark, sf_dir).withColumn("model", F.lit("decision_tree")).unionByName(
+        batched_grid_search(spark, sf_dir).withColumn("model", F.lit("xgboost")))
+    return found.groupBy("model").agg(F.count("*").alias("points"), F.countDistinct("params").alias("fits"), (F.max("cv_mse") < spread).alias("beat_mean"))
 
 
 @query("m7_default_fit")
 def default_fit(spark, sf_dir):
-    model = T.train("decision_tree", train_rows(spark, sf_dir), B.FEATURES, "target", "row_id")
-    return M.regression_metrics(T.predict_long({"decision_tree": model}, split_rows(spark, sf_dir), "row_id", "target"))
+    return model_metrics(spark, sf_dir, T.KEYS)
+
+
+@query("m7b_default_sizes", f"""SELECT unnest({list(T.KEYS)}) AS model, unnest([1, 200, 200, 200, 200]) :: BIGINT AS trees, true AS within_depth, true AS within_leaves""")
+def default_sizes(spark, sf_dir):
+    """Trees of the default models, none deeper or with more leaves than its settings say."""
+    rows = []
+    for key in T.KEYS:
+        model = fitted(spark, sf_dir, key)
+        setting, trees = model.boosted.params[0], model.boosted.trees[0]
+        leaves = setting.num_leaves or 1 << 62
+        rows.append((key, len(trees), all(max(t.depth) <= setting.depth_limit for t in trees), all(sum(f < 0 for f in t.feature) <= leaves for t in trees)))
+    return spark.createDataFrame(rows, "model string, trees long, within_depth boolean, within_leaves boolean")
+
+
+def cross_validated(spark, sf_dir) -> DataFrame:
+    """Out-of-fold predictions of all five models."""
+    def build():
+        parts = [T.cross_validate(k, train_rows(spark, sf_dir), B.FEATURES, "target", "row_id") for k in T.KEYS]
+        return reduce(DataFrame.unionByName, parts)
+
+    return B.written(spark, sf_dir, "cross-validated", build)
 
 
 @query("m8_cross_validation")
 def cross_validation(spark, sf_dir):
-    parts = [T.cross_validate(k, train_rows(spark, sf_dir), B.FEATURES, "target", "row_id", QUICK[k]) for k in ("decision_tree", "xgboost")]
-    return M.cross_validation_summary(parts[0].unionByName(parts[1]))
+    return M.cross_validation_summary(cross_validated(spark, sf_dir))
+
+
+@query("m8b_fold_checks", with_sql("split_frame", f"""SELECT model, CAST(fold AS INTEGER) AS fold, count(*) AS n, true AS beats_mean FROM (
+    SELECT model, CAST(('0x' || substr(md5(concat(row_id, ':fold42')), 1, 8)) AS BIGINT) % 5 AS fold FROM split_frame
+    CROSS JOIN (SELECT unnest({list(T.KEYS)}) AS model) WHERE split = 'train') GROUP BY 1, 2"""))
+def fold_checks(spark, sf_dir):
+    """Each fold is predicted once by a model that did not see it."""
+    found = cross_validated(spark, sf_dir).groupBy("model", "fold").agg(F.count("prediction").alias("n"), M.r2().alias("r2"))
+    return found.select("model", "fold", "n", (F.col("r2") > 0).alias("beats_mean"))
 
 
-@query("m9_predictions", with_sql("frame", f"SELECT row_id, model FROM frame CROSS JOIN (SELECT unnest({list(QUICK)}) AS model)"))
+@query("m9_predictions", with_sql("frame", f"SELECT row_id, model FROM frame CROSS JOIN (SELECT unnest({list(T.KEYS)}) AS model)"))
 def model_predictions(spark, sf_dir):
-    models = {k: fitted(spark, sf_dir, k) for k in QUICK}
+    models = {k: fitted(spark, sf_dir, k) for k in T.KEYS}
     scored = T.predict_long(models, split_rows(spark, sf_dir), "row_id", "target")
     return scored.where(F.col("prediction").isNotNull()).select("row_id", "model")
 
 
 @query("m10_importances")
 def model_importances(spark, sf_dir):
-    return T.importances_long({k: fitted(spark, sf_dir, k) for k in QUICK}, spark)
+    return T.importances_long({k: fitted(spark, sf_dir, k) for k in T.KEYS}, spark)
 
 
-@query("m10b_importance_sums", f"SELECT unnest({list(QUICK)}) AS model, 1.0::DOUBLE AS total, 7::BIGINT AS features")
+@query("m10b_importance_sums", f"SELECT unnest({list(T.KEYS)}) AS model, 1.0::DOUBLE AS total, 7::BIGINT AS features")
 def importance_sums(spark, sf_dir):
     return model_importances(spark, sf_dir).groupBy("model").agg(
         F.round(F.sum("importance"), 6).alias("total"), F.count(F.lit(1)).alias("features"))
@@ -113,84 +151,97 @@ def importance_sums(spark, sf_dir):
 
 @query("m11_train_all")
 def train_all(spark, sf_dir):
-    return model_metrics(spark, sf_dir, list(QUICK))
+    return model_metrics(spark, sf_dir, list(T.KEYS))
 
 
 @query("m11b_model_checks", with_sql("split_frame", f"""SELECT model, split, count(*) AS n, true AS beats_mean
-    FROM split_frame CROSS JOIN (SELECT unnest({list(QUICK)}) AS model) GROUP BY 1, 2"""))
+    FROM split_frame CROSS JOIN (SELECT unnest({list(T.KEYS)}) AS model) GROUP BY 1, 2"""))
 def model_checks(spark, sf_dir):
     """Every model scores all rows of both splits, and better than the mean does."""
-    return model_metrics(spark, sf_dir, list(QUICK)).select("model", "split", "n", (F.col("r2") > 0).alias("beats_mean"))
-
-
-@query("m8b_fold_checks", with_sql("split_frame", """SELECT model, CAST(fold AS INTEGER) AS fold, count(*) AS n, true AS beats_mean FROM (
-    SELECT model, CAST(('0x' || substr(md5(concat(row_id, ':fold42')), 1, 8)) AS BIGINT) % 5 AS fold FROM split_frame
-    CROSS JOIN (SELECT unnest(['decision_tree', 'xgboost']) AS model) WHERE split = 'train') GROUP BY 1, 2"""))
-def fold_checks(spark, sf_dir):
-    """Each fold is predicted once by a model that did not see it."""
-    parts = [T.cross_validate(k, train_rows(spark, sf_dir), B.FEATURES, "target", "row_id", QUICK[k]) for k in ("decision_tree", "xgboost")]
-    found = parts[0].unionByName(parts[1]).groupBy("model", "fold").agg(F.count("prediction").alias("n"), M.r2().alias("r2"))
-    return found.select("model", "fold", "n", (F.col("r2") > 0).alias("beats_mean"))
+    return model_metrics(spark, sf_dir, list(T.KEYS)).select("model", "split", "n", (F.col("r2") > 0).alias("beats_mean"))
 
 
 def regional(spark, sf_dir) -> DataFrame:
     return segments.lookup_segment(B.frame(spark, sf_dir).select("row_id", "entity", "target", *B.FEATURES), "entity", B.region_dimension(spark, sf_dir))
 
 
-SEGMENT_QUICK = {"random_forest": {"n_estimators": 5, "max_depth": 5}, "xgboost": {"n_estimators": 8}, "lightgbm": {"n_estimators": 8}}
+def by_income(spark, sf_dir) -> DataFrame:
+    """Rows with the quartile of their mean price as income segment."""
+    rows = B.frame(spark, sf_dir).select("row_id", "target", *B.FEATURES)
+    return segments.quartile_segment(rows, "price_avg", fixed.INCOME_LABELS, "segment")
+
+
+SEGMENT_MODELS = tuple(T.SEGMENT_DEFAULTS)
 
 
-def segment_training(spark, sf_dir, keys=("random_forest", "xgboost", "lightgbm")):
-    return T.train_segments(regional(spark, sf_dir), "segment", B.FEATURES, "target", "row_id", keys, SEGMENT_QUICK)
+def segment_training(spark, sf_dir, rows=regional):
+    """Test predictions of all models of all segments."""
+    return B.written(spark, sf_dir, f"segments-{rows.__name__}", lambda: T.train_segments(
+        rows(spark, sf_dir), "segment", B.FEATURES, "target", "row_id", SEGMENT_MODELS)[0])
 
 
 @query("m12_segment_models")
 def segment_models(spark, sf_dir):
-    scored, _ = segment_training(spark, sf_dir)
-    return M.regression_metrics(scored, ["segment", "model"])
+    return M.regression_metrics(segment_training(spark, sf_dir), ["segment", "model"])
 
 
-@query("m12b_segment_test_rows", with_sql(["frame", "region_dim"], """SELECT segment, 'xgboost' AS model, count(*) AS n FROM (
+@query("m12b_segment_test_rows", with_sql(["frame", "region_dim"], f"""SELECT segment, model, count(*) AS n FROM (
     SELECT row_id, segment, least(0.2::DOUBLE, greatest(0.1::DOUBLE, 10.0::DOUBLE / count(*) OVER (PARTITION BY segment))) AS f
     FROM (SELECT row_id, coalesce(label, 'Other') AS segment FROM frame LEFT JOIN region_dim ON code = entity))
-    WHERE CAST(('0x' || substr(md5(concat(row_id, ':42')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE >= 1 - f GROUP BY 1"""))
+    CROSS JOIN (SELECT unnest({list(SEGMENT_MODELS)}) AS model) WHERE CAST(('0x' || substr(md5(concat(row_id, ':42')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE >= 1 - f GROUP BY 1, 2"""))
 def segment_test_rows(spark, sf_dir):
-    scored, _ = segment_training(spark, sf_dir, ("xgboost",))
+    scored = segment_training(spark, sf_dir)
     return scored.where(F.col("prediction").isNotNull()).groupBy("segment", "model").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q5b_segment_checks", with_sql(["frame", "region_dim"], """SELECT segment, model, n, round(mean, 4) AS mean, round(std, 4) AS std, true AS beats_mean FROM (
-    SELECT coalesce(label, 'Other') AS segment, count(*) AS n, avg(target) AS mean, stddev_pop(target) AS std
-    FROM frame LEFT JOIN region_dim ON code = entity GROUP BY 1) CROSS JOIN (SELECT unnest(['random_forest', 'xgboost', 'lightgbm']) AS model)"""))
+_sizes_sql = """SELECT segment_type, segment, model, n, round(mean, 4) AS mean, round(std, 4) AS std, true AS beats_mean FROM (
+    SELECT 'Region' AS segment_type, coalesce(label, 'Other') AS segment, count(*) AS n, avg(target) AS mean, stddev_pop(target) AS std
+    FROM frame LEFT JOIN region_dim ON code = entity GROUP BY 1, 2
+    UNION ALL SELECT 'Income', CASE WHEN price_avg <= q1 THEN 'Low Income' WHEN price_avg <= q2 THEN 'Lower-Middle Income'
+           WHEN price_avg <= q3 THEN 'Upper-Middle Income' ELSE 'High Income' END, count(*), avg(target), stddev_pop(target)
+    FROM frame, (SELECT quantile_cont(price_avg, 0.25) AS q1, quantile_cont(price_avg, 0.5) AS q2, quantile_cont(price_avg, 0.75) AS q3 FROM frame) GROUP BY 1, 2)
+    CROSS JOIN (SELECT unnest({models}) AS model)"""
+
+
+def segment_table(spark, sf_dir) -> DataFrame:
+    parts = []
+    for name, rows in (("Region", regional), ("Income", by_income)):
+        sizes = segments.segment_summary(rows(spark, sf_dir), "segment", "target")
+        found = M.regression_metrics(segment_training(spark, sf_dir, rows), ["segment", "model"]).drop("n").join(sizes, "segment")
+        parts.append(found.withColumn("segment_type", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
+@query("q5b_segment_checks", with_sql(["frame", "region_dim"], _sizes_sql.format(models=list(SEGMENT_MODELS))))
 def segment_checks(spark, sf_dir):
-    """All three models per region, with the region's size, and better than its mean."""
-    scored, _ = segment_training(spark, sf_dir)
-    sizes = segments.segment_summary(regional(spark, sf_dir), "segment", "target")
-    found = M.regression_metrics(scored, ["segment", "model"]).drop("n").join(sizes, "segment")
-    return found.select("segment", "model", "n", r("mean", 4).alias("mean"), r("std", 4).alias("std"), (F.col("r2") > 0).alias("beats_mean"))
+    """All models per region and income quartile, with the segment's size, and better than its mean."""
+    return segment_table(spark, sf_dir).select(
+        "segment_type", "segment", "model", "n", r("mean", 4).alias("mean"), r("std", 4).alias("std"), (F.col("r2") > 0).alias("beats_mean"))
 
 
 @query("q5_segment_results")
 def segment_results(spark, sf_dir):
-    scored, _ = segment_training(spark, sf_dir)
-    sizes = segments.segment_summary(regional(spark, sf_dir), "segment", "target")
-    found = M.regression_metrics(scored, ["segment", "model"]).drop("n").join(sizes, "segment")
-    return found.select(F.lit("Region").alias("segment_type"), "segment", "n", "mean", "std", "model", "rmse", "mae", "r2")
+    return segment_table(spark, sf_dir).select("segment_type", "segment", "n", "mean", "std", "model", "rmse", "mae", "r2")
+
+
+#: Settings of the bootstrap's models, and how many of them.
+BOOTSTRAP = {"n_estimators": 100, "max_depth": 5, "learning_rate": 0.1}
+
+
+def replicates(spark, sf_dir) -> DataFrame:
+    return B.written(spark, sf_dir, "bootstrap", lambda: T.bootstrap_importances(
+        "xgboost", train_rows(spark, sf_dir), B.FEATURES, "target", "row_id", B.REPLICATES, BOOTSTRAP))
 
 
 @query("x5_bootstrap_intervals")
 def bootstrap_intervals(spark, sf_dir):
-    samples = T.bootstrap_importances("xgboost", train_rows(spark, sf_dir), B.FEATURES, "target", "row_id", 10,
-                                      {"n_estimators": 5, "max_depth": 4, "learning_rate": 0.3})
-    return I.replicate_summary(samples).orderBy(F.col("mean_importance").desc(), "feature")
+    return I.replicate_summary(replicates(spark, sf_dir)).orderBy(F.col("mean_importance").desc(), "feature")
 
 
-@query("x5b_replicate_checks", f"SELECT CAST(unnest(range(10)) AS INTEGER) AS replicate, {len(B.FEATURES)}::BIGINT AS features, 1.0::DOUBLE AS total")
+@query("x5b_replicate_checks", f"SELECT CAST(unnest(range({B.REPLICATES})) AS INTEGER) AS replicate, {len(B.FEATURES)}::BIGINT AS features, 1.0::DOUBLE AS total")
 def replicate_checks(spark, sf_dir):
     """Every replicate rates every feature, and its importances sum to one."""
-    samples = T.bootstrap_importances("xgboost", train_rows(spark, sf_dir), B.FEATURES, "target", "row_id", 10,
-                                      {"n_estimators": 5, "max_depth": 4, "learning_rate": 0.3})
-    return samples.groupBy("replicate").agg(F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"))
+    return replicates(spark, sf_dir).groupBy("replicate").agg(F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"))
 
 
 @query("x6b_model_permutation")
