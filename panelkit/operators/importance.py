@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.functions.scalar import coefficient_of_variation
+from panelkit.functions.scalar import coefficient_of_variation, present
 from panelkit.operators.ranks import small_rank
+from panelkit.session import settled
 
 
 def name_vector(vectors: DataFrame, features: DataFrame, vector: str = "importances") -> DataFrame:
@@ -76,10 +79,66 @@ def correlation_importance(
     df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str]
 ) -> DataFrame:
     """Model-free importances: squared correlation with the target, scaled to sum one per group."""
-    squares = df.groupBy(*keys).agg(*[F.pow(F.corr(f, target), F.lit(2.0)).alias(f) for f in features])
+    return _shares(df.groupBy(*keys).agg(*[F.pow(F.corr(f, target), F.lit(2.0)).alias(f) for f in features]), features, keys)
+
+
+def _shares(squares: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
     whole = sum((F.coalesce(F.col(f), F.lit(0.0)) for f in features), F.lit(0.0))
     pairs = F.array(*[
         F.struct(F.lit(f).alias("feature"), F.try_divide(F.coalesce(F.col(f), F.lit(0.0)), whole).alias("importance"))
         for f in features
     ])
     return squares.select(*keys, F.inline(pairs))
+
+
+def replicate_importance(
+    df: DataFrame, features: Sequence[str], target: str, models: Column, weights: Column
+) -> DataFrame:
+    """``model, replicate, feature, importance``: ``correlation_importance`` of every model and replicate without a copy of any row.
+
+    ``models`` is an array of the models that a row belongs to, ``weights`` an array of its weight in each replicate. A task multiplies its
+    weights (rows x replicates) by its moments (rows x 6 a feature) and hands on one row per model and replicate. Values are centred
+    first, so that sums of squares keep their digits; rows without a value or target do not count for that feature.
+    """
+    names = [f"x{i}" for i in range(len(features))]
+    rows = settled(df.select(
+        *[present(df, f).cast("double").alias(n) for f, n in zip(features, names)], present(df, target).cast("double").alias("y"),
+        models.alias("models"), weights.cast("array<double>").alias("weights")), "replicate-rows")
+    middle = rows.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in [*names, "y"]]).first()
+    centre, parts = [middle[c] for c in names], 6
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, np.ndarray] = {}
+        for batch in batches:
+            y = batch.column("y").to_numpy(zero_copy_only=False).astype(float) - middle["y"]
+            columns = []
+            for name, mean in zip(names, centre):
+                x = batch.column(name).to_numpy(zero_copy_only=False).astype(float) - mean
+                known = ~(np.isnan(x) | np.isnan(y))
+                a, b = np.where(known, x, 0.0), np.where(known, y, 0.0)
+                columns += [known.astype(float), a, b, a * a, b * b, a * b]
+            values = np.stack(columns, axis=1)
+            weight = batch.column("weights").flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
+            lists = batch.column("models")
+            owner = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
+            labels = np.array(lists.flatten().to_pylist(), dtype=object)
+            for model in set(labels) - {None}:
+                own = owner[labels == model]
+                part = weight[own].T @ values[own]
+                found[model] = found[model] + part if model in found else part
+        for model, sums in found.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([model] * len(sums), pa.string()), pa.array(np.arange(len(sums)), pa.int32()), *[pa.array(c) for c in sums.T]],
+                ["model", "replicate", *[f"s{k}" for k in range(sums.shape[1])]])
+
+    sums = [f"s{k}" for k in range(parts * len(features))]
+    schema = "model string, replicate int, " + ", ".join(f"{s} double" for s in sums)
+    whole = rows.mapInArrow(moments, schema).groupBy("model", "replicate").agg(*[F.sum(s).alias(s) for s in sums])
+
+    def square(k: int) -> Column:
+        n, x, y, xx, yy, xy = (F.col(f"s{parts * k + j}") for j in range(parts))
+        spread = (xx - x * x / n) * (yy - y * y / n)
+        return F.when((n > 0) & (spread > 0), F.pow(xy - x * y / n, F.lit(2.0)) / spread)
+
+    keys = ["model", "replicate"]
+    return _shares(whole.select(*keys, *[square(k).alias(f) for k, f in enumerate(features)]), features, keys)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.functions.hashing import hash_bucket
-from panelkit.operators.importance import correlation_importance
+from panelkit.operators.importance import replicate_importance
 from panelkit.operators.splits import fold_column, split_column
 from panelkit.plans.catalog import normal_two_sided_sql
 from panelkit.session import materialise, sized
@@ -207,13 +207,8 @@ def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("year") % 2 == 0, "even_year").otherwise("odd_year"),
             F.when(F.col("month") <= 6, "first_half").otherwise("second_half"),
         )
-        chosen = F.array_compact(F.array(*[
-            F.when(hash_bucket(F.col("row_id"), str(r)) < 80, F.lit(r)) for r in range(REPLICATES)
-        ]))
-        rows = df.select(*FEATURES, "target", models.alias("models"), F.explode(chosen).alias("replicate")).select(
-            *FEATURES, "target", F.explode("models").alias("model"), "replicate"
-        )
-        return correlation_importance(rows, FEATURES, "target", ["model", "replicate"])
+        weights = F.array(*[F.when(hash_bucket(F.col("row_id"), str(r)) < 80, 1).otherwise(0) for r in range(REPLICATES)])
+        return replicate_importance(df, FEATURES, "target", models, weights)
 
     return written(spark, sf_dir, "importances", build)
 

@@ -305,6 +305,25 @@ def test_metrics_on_literals(spark):
     assert metrics.regression_metrics(constant).first().r2 is None
 
 
+def test_replicate_importance_equals_correlations_of_each_replicate(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"a": rng.normal(size=300) + 1e6, "b": rng.normal(size=300), "y": rng.normal(size=300)})
+    pdf["y"] += pdf["b"] * 2
+    pdf.loc[rng.random(300) < 0.1, "a"] = np.nan
+    pdf["w"] = [list(map(int, w)) for w in rng.integers(0, 3, (300, 4))]
+    pdf["m"] = [["p", "q"] if k % 3 else (["p"] if k % 2 else []) for k in range(300)]
+    found = importance.replicate_importance(spark.createDataFrame(pdf).repartition(5), ["a", "b"], "y", F.col("m"), F.col("w"))
+    got = {(r.model, r.replicate, r.feature): r.importance for r in found.collect()}
+    for model in ("p", "q"):
+        for k in range(4):
+            own = pdf[[model in m for m in pdf["m"]]]
+            copies = own.loc[own.index.repeat([w[k] for w in own["w"]])]
+            squares = {f: np.corrcoef(*copies[[f, "y"]].dropna().to_numpy().T)[0, 1] ** 2 for f in ("a", "b")}
+            for f, value in squares.items():
+                assert got[model, k, f] == pytest.approx(value / sum(squares.values()), rel=1e-6)
+    assert len(got) == 16
+
+
 def test_ensemble_weights_must_sum_to_one(spark):
     df = frame(spark, [(1, "a", "test", 1.0, 2.0), (1, "b", "test", 1.0, 4.0)],
                "row_id int, model string, split string, label double, prediction double")
