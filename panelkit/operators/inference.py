@@ -18,6 +18,10 @@ def model_names(predictions: DataFrame) -> list[str]:
     return sorted(r["model"] for r in predictions.select("model").distinct().collect())
 
 
+#: So many pairs have an exact signed-rank probability.
+EXACT_PAIRS = 50
+
+
 def aligned_errors(predictions: DataFrame, models: Sequence[str]) -> DataFrame:
     """One row per ``row_id`` with the absolute error of every model: ``e0, e1, ...``.
 
@@ -73,8 +77,26 @@ def signed_ranks(pairs: DataFrame, edges: Sequence[float] | None = None, digits:
     )
 
 
+def exact_signed_rank(statistic: Column, n: Column) -> Column:
+    """Two-sided probability of a smaller rank sum this small, of n different non-zero values.
+
+    The number of subsets of the ranks 1 to n with each sum: every rank adds its shifted counts.
+    """
+    last = (n * (n + 1) / 2).cast("int")
+    start = F.transform(F.sequence(F.lit(0), last), lambda s: F.when(s == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+    counts = F.aggregate(F.sequence(F.lit(1), n.cast("int")), start, lambda have, rank: F.transform(
+        have, lambda c, s: c + F.when(s >= rank, F.get(have, s - rank)).otherwise(F.lit(0.0))))
+    below = F.aggregate(F.slice(counts, 1, F.floor(statistic).cast("int") + 1), F.lit(0.0), lambda a, c: a + c)
+    return F.least(F.lit(1.0), 2 * below / F.pow(F.lit(2.0), n))
+
+
 def wilcoxon(pairs: DataFrame, edges: Sequence[float] | None = None, digits: int | None = None) -> DataFrame:
-    """Signed-rank test: smaller rank sum and its normal two-sided p-value with tie correction."""
+    """Signed-rank test: smaller rank sum and its two-sided p-value.
+
+    Exact for up to ``EXACT_PAIRS`` pairs that all differ, and by different amounts; else normal with tie correction.
+    """
+    d = F.col("error_a") - F.col("error_b")
+    equal = pairs.where((d if digits is None else F.round(d, digits)) == 0).groupBy("model_a", "model_b").agg(F.count(F.lit(1)).alias("equal"))
     ties = F.col("ties").cast("double")
     sums = signed_ranks(pairs, edges, digits).groupBy("model_a", "model_b").agg(
         F.sum(F.col("rank") * F.col("positives")).alias("w_plus"),
@@ -85,9 +107,12 @@ def wilcoxon(pairs: DataFrame, edges: Sequence[float] | None = None, digits: int
     variance = m * (m + 1) * (2 * m + 1) / F.lit(24.0) - F.col("tie_term") / F.lit(48.0)
     statistic = F.least("w_plus", "w_minus")
     z = F.try_divide(statistic - m * (m + 1) / F.lit(4.0), F.sqrt(variance))
-    return sums.select(
-        "model_a", "model_b", statistic.alias("w_statistic"), z.alias("z_statistic"), m.cast("long").alias("n_nonzero")
-    ).withColumn("w_p_value", normal_two_sided(F.col("z_statistic")))
+    found = sums.select(
+        "model_a", "model_b", statistic.alias("w_statistic"), z.alias("z_statistic"), m.cast("long").alias("n_nonzero"), "tie_term"
+    ).join(equal, ["model_a", "model_b"], "left")
+    exact = (F.col("n_nonzero") <= EXACT_PAIRS) & (F.col("tie_term") == 0) & F.col("equal").isNull()
+    p = F.when(exact, exact_signed_rank(F.col("w_statistic"), F.col("n_nonzero"))).otherwise(normal_two_sided(F.col("z_statistic")))
+    return found.select("model_a", "model_b", "w_statistic", "z_statistic", "n_nonzero", p.alias("w_p_value"))
 
 
 def model_comparison_tests(predictions: DataFrame, models: Sequence[str], digits: int | None = None) -> DataFrame:

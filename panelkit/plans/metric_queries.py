@@ -193,6 +193,26 @@ def wilcoxon(spark, sf_dir):
     return found.select("model_a", "model_b", r("w_statistic", 2).alias("w_statistic"), "n_nonzero")
 
 
+@query("x2b_exact_signed_rank", with_sql(["frame", "test_predictions"], f"""SELECT model_a, model_b, w AS w_statistic, n AS n_nonzero,
+    round(CASE WHEN equal = 0 AND n <= 50 THEN least(1.0::DOUBLE, 2 * list_sum(c[1:CAST(floor(w) AS INTEGER) + 1]) / pow(2.0::DOUBLE, n))
+               ELSE {B.normal_two_sided_sql('(w - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE)')} END, 6) AS w_p_value FROM (
+      SELECT model_a, model_b, least(sum(CASE WHEN d > 0 THEN rank ELSE 0 END), sum(CASE WHEN d < 0 THEN rank ELSE 0 END)) :: DOUBLE AS w,
+             count(CASE WHEN d <> 0 THEN 1 END) AS n, count(CASE WHEN d = 0 THEN 1 END) AS equal FROM (
+        SELECT *, row_number() OVER (PARTITION BY model_a, model_b, d = 0 ORDER BY abs(d)) AS rank FROM (
+          SELECT a.model AS model_a, b.model AS model_b, round(a.loss - b.loss, 6) AS d FROM losses a JOIN losses b ON a.entity = b.entity
+          JOIN numbered x ON x.model = a.model JOIN numbered y ON y.model = b.model AND x.place < y.place)) GROUP BY 1, 2) LEFT JOIN sums ON r = n""",
+    losses="SELECT entity, model, avg(abs(label - prediction)) AS loss FROM test_predictions JOIN frame USING (row_id) GROUP BY 1, 2",
+    numbered=f"SELECT unnest({list(B.MODELS)}) AS model, generate_subscripts({list(B.MODELS)}, 1) AS place",
+    sums="""WITH RECURSIVE dp(r, c) AS (SELECT 0, list_transform(range(1276), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
+    UNION ALL SELECT r + 1, list_transform(range(1276), lambda i: c[i + 1] + CASE WHEN i > r THEN c[i - r] ELSE 0.0::DOUBLE END) FROM dp WHERE r < 50) SELECT * FROM dp"""))
+def exact_signed_rank(spark, sf_dir):
+    """Mean errors of the entities, of which there are few: the distribution of the rank sum is counted."""
+    rows = B.test_predictions(spark, sf_dir).join(B.frame(spark, sf_dir).select("row_id", "entity"), "row_id")
+    losses = rows.groupBy(F.col("entity").alias("row_id"), "model").agg(F.avg(F.abs(F.col("label") - F.col("prediction"))).alias("label"))
+    found = X.wilcoxon(X.paired_errors(losses.withColumn("prediction", F.lit(0.0)), B.MODELS), digits=6)
+    return rounded(found.drop("z_statistic"))
+
+
 @query("f13_f14_pair_labels", with_sql("t_tests", f"""SELECT model_a || ' vs ' || model_b AS comparison,
     CASE WHEN t_statistic < 0 THEN model_a ELSE model_b END AS better_model,
     CASE WHEN p < 0.05 THEN 'Yes' ELSE 'No' END AS significant FROM (SELECT *, {t_two_sided_sql('t_statistic', 'n - 1')} AS p FROM t_tests)"""))

@@ -324,6 +324,27 @@ def test_replicate_importance_equals_correlations_of_each_replicate(spark):
     assert len(got) == 16
 
 
+@pytest.mark.parametrize("n", [1, 5, 11])
+def test_exact_signed_rank_counts_all_signs(spark, n):
+    sums = [sum(k + 1 for k in range(n) if signs >> k & 1) for signs in range(1 << n)]
+    rows = spark.createDataFrame([(float(w), n) for w in range(n * (n + 1) // 4 + 1)], "w double, n long")
+    for r in rows.withColumn("p", inference.exact_signed_rank(F.col("w"), F.col("n"))).collect():
+        assert r.p == pytest.approx(min(1.0, 2 * sum(s <= r.w for s in sums) / len(sums)))
+
+
+def test_signed_rank_is_exact_only_without_ties_and_zeros(spark):
+    def p(differences):
+        rows = [(k, "a", "b", float(d), 0.0) for k, d in enumerate(differences)]
+        found = inference.wilcoxon(spark.createDataFrame(rows, "row_id long, model_a string, model_b string, error_a double, error_b double")).first()
+        return found.w_p_value, math.erfc(abs(found.z_statistic) / math.sqrt(2))
+
+    exact, normal = p([1, 2, 3, -4, 5])
+    assert exact == pytest.approx(14 / 32) and exact != pytest.approx(normal)
+    for other in ([1, 1, 3, -4, 5], [0, 1, 2, 3, -4, 5], [k * (-1) ** k for k in range(1, 53)]):
+        found, normal = p(other)
+        assert found == pytest.approx(normal)
+
+
 def test_ensemble_weights_must_sum_to_one(spark):
     df = frame(spark, [(1, "a", "test", 1.0, 2.0), (1, "b", "test", 1.0, 4.0)],
                "row_id int, model string, split string, label double, prediction double")
