@@ -199,13 +199,16 @@ class Scanner:
         out = []
         for template, own in by.items():
             chains: list[list[int]] = []  # first word, end, end in the template, covered
+            open_: list[list[int]] = []  # those that a match may still go on: matches come by first word
             for first, length, place in own:
-                fits = [c for c in chains if first <= c[1] + GAP and first >= c[1] and place >= c[2]]
+                open_ = [c for c in open_ if first <= c[1] + GAP]
+                fits = [c for c in open_ if first >= c[1] and place >= c[2]]
                 if fits:
                     best = max(fits, key=lambda c: c[3])
                     best[1], best[2], best[3] = first + length, place + length, best[3] + length
                 else:
                     chains.append([first, first + length, place + length, length])
+                    open_.append(chains[-1])
             out += [(self.labels[template], c[0], c[1] - 1, c[3] / self.sizes[template]) for c in chains if c[3] >= COVERAGE * self.sizes[template]]
         return sorted(out, key=lambda s: (s[1], s[2], s[0]))
 

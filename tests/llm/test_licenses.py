@@ -53,3 +53,21 @@ def test_query(spark, sf_dir):
     for r in got:
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
         assert ("mit" in r.labels.split(",")) == ("Released under the MIT License." in docs[r.doc_id])
+
+
+def test_chains_of_a_long_repeated_notice():
+    """Spans of a notice repeated thousands of times: as many as repeats, equal to those of one, and not in quadratic time."""
+    import time
+
+    import pyarrow as pa
+
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.PHRASES)
+    notice = max((t for _, t in licenses.TEMPLATES), key=len)
+    one = licenses.scan_column(scanner, pa.array([notice]))[0]
+    start = time.time()
+    many = licenses.scan_column(scanner, pa.array([(notice + " some other words between these two ") * 2_000]))[0]
+    assert time.time() - start < 60
+    whole = [s for s in many["spans"] if s["share"] > 0.99]
+    assert one["spans"] and len(whole) >= 2_000 and set(one["labels"].split(",")) <= set(many["labels"].split(","))
+    sizes = {s["last"] - s["first"] for s in whole if s["label"] == one["spans"][0]["label"]}
+    assert one["spans"][0]["last"] - one["spans"][0]["first"] in sizes
