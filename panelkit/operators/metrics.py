@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions.scalar import band
 from panelkit.operators.quantiles import exact_quantiles, quantile_relation
+from panelkit.session import sized
 
 
 def error() -> Column:
@@ -48,7 +49,7 @@ def extended_metrics(predictions: DataFrame, keys: Sequence[str] = ("model", "sp
         F.skewness("residual").alias("residual_skewness"), F.kurtosis("residual").alias("residual_kurtosis"),
     )
     medians = quantile_relation(base, ["abs_error"], [0.5], keys).select(*keys, F.col("q0").alias("median_abs_error"))
-    return moments.join(F.broadcast(medians), keys)
+    return moments.join(sized(medians, "medians"), keys)  # one row a group: the planner goes by the written size
 
 
 def band_metrics(predictions: DataFrame, bands: Sequence[tuple[float | None, float | None, str]]) -> DataFrame:
@@ -113,7 +114,7 @@ def error_boxes(predictions: DataFrame) -> DataFrame:
     found = exact_quantiles(base, ["abs_error"], [0.25, 0.5, 0.75], ["model"])
     rows = [(g[0], *v["abs_error"]) for g, v in found.items()]
     boxes = base.sparkSession.createDataFrame(rows, "model string, q1 double, median double, q3 double")
-    fenced = base.join(F.broadcast(boxes), "model")
+    fenced = base.join(boxes, "model")
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     inside = F.col("abs_error").between(F.col("q1") - reach, F.col("q3") + reach)
     return fenced.groupBy("model", "q1", "median", "q3").agg(

@@ -23,7 +23,8 @@ from panelkit.plans.frames import with_sql
 from panelkit.session import fresh_path
 from panelkit.sources import tables
 
-WEIGHTS = {"m_const": 0.05, "m_entity": 0.20, "m_ym": 0.15, "m_lin": 0.30, "m_prod": 0.30}
+#: Weights of this query's own models.
+WEIGHTS = {"m_const": 0.1, "m_entity": 0.25, "m_ym": 0.1, "m_lin": 0.45, "m_prod": 0.1}
 
 
 def metrics(spark, sf_dir) -> DataFrame:

@@ -82,10 +82,23 @@ def parse_pages(spark, sf_dir):
 @query("s2_collect_indicators", f"""SELECT indicator, entity_code, count(*) AS n, round(avg(value), 6) AS value
     FROM ({PAGE_ROWS}) WHERE year BETWEEN 2024 AND 2030 GROUP BY 1, 2""")
 def collect_indicators(spark, sf_dir):
-    long = panel.between_years(pages.parse_pages(landed_pages(spark, sf_dir)), "year", 2024, 2030)
+    long = pages.collect_indicators(spark, page_files(spark, sf_dir), 2024, 2030)
     return long.groupBy("indicator", "entity_code").agg(F.count(F.lit(1)).alias("n"), r(F.avg("value")).alias("value"))
 
 
+def page_files(spark, sf_dir) -> str:
+    """A folder with every page as a file of its own."""
+    path = fresh_path(spark, "landed-pages")
+    pages.land_pages(landed_pages(spark, sf_dir), path)
+    return path
+
+
+@query("s2b_page_problems", """SELECT indicator, problem, n * CASE problem WHEN 'ok' THEN 2 ELSE 1 END AS pages FROM (
+    SELECT event_type AS indicator, count(DISTINCT floor(event_id / 200)) AS n FROM events GROUP BY 1) CROSS JOIN (SELECT unnest(['ok', 'error message']) AS problem)""")
+def page_problems(spark, sf_dir):
+    return pages.page_problems(pages.read_pages(spark, page_files(spark, sf_dir)))
+
+
 @query("s3_table_scan", """SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total,
     CAST(min(o_orderdate) AS VARCHAR) AS first_date FROM orders GROUP BY 1""")
 def table_scan(spark, sf_dir):

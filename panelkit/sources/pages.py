@@ -8,10 +8,32 @@ from pyspark.sql import functions as F
 RECORDS = "array<struct<countryiso3code:string,country:struct<id:string,value:string>,date:string,value:double>>"
 
 
+def land_pages(pages: DataFrame, path: str) -> None:
+    """Write ``value, indicator`` as one file a page, below a folder for each indicator."""
+    pages.select("value", "indicator").write.option("maxRecordsPerFile", 1).partitionBy("indicator").text(path)
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """One row per landed page file: ``value, indicator``; the indicator is the file name before the first underscore-number or suffix."""
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:_\d+)?\.json$", 1)
-    return spark.read.text(path, wholetext=True).select("value", F.url_decode(name).alias("indicator"))
+    """One row per landed page file: ``value, indicator``; the indicator is that of the folder ``indicator=...``, else the file name before
+    the first underscore-number or suffix."""
+    file = F.input_file_name()
+    folder, name = F.regexp_extract(file, r"/indicator=([^/]+)/", 1), F.regexp_extract(file, r"([^/]+?)(?:_\d+)?\.json$", 1)
+    plain = lambda text: F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+    # A folder's name is escaped by its writer and once more as part of an address.
+    return spark.read.text(path, wholetext=True).select("value", F.when(folder != "", plain(plain(folder))).otherwise(plain(name)).alias("indicator"))
+
+
+def page_problems(pages: DataFrame, page: str = "value", indicator: str = "indicator") -> DataFrame:
+    """``indicator, problem, pages``: how many pages are well formed (``ok``), are no JSON, hold an error message, or hold fewer or more records
+    than their head says (where that is the only page)."""
+    text = F.col(page)
+    total, records = F.get_json_object(text, "$[0].total").cast("long"), F.from_json(F.get_json_object(text, "$[1]"), RECORDS)
+    alone = F.coalesce(F.get_json_object(text, "$[0].pages").cast("long"), F.lit(1)) <= 1
+    problem = (
+        F.when(F.get_json_object(text, "$").isNull(), "no json").when(F.get_json_object(text, "$[0].message").isNotNull(), "error message")
+        .when(alone & total.isNotNull() & (total != F.coalesce(F.size(records), F.lit(0))), "records differ").otherwise("ok")
+    )
+    return pages.groupBy(F.col(indicator).alias("indicator"), problem.alias("problem")).agg(F.count(F.lit(1)).alias("pages"))
 
 
 def parse_pages(pages: DataFrame, page: str = "value", indicator: str = "indicator") -> DataFrame:

@@ -34,6 +34,18 @@ def test_pages_parse_and_skip_errors(spark, tmp_path):
     assert [tuple(r) for r in found] == [("AAA", "Aaa", 2001, "NY.GDP", 1.5)]
 
 
+def test_landed_pages_come_back_and_tell_their_problems(spark, tmp_path):
+    good = [{"countryiso3code": "A", "country": {"id": "A", "value": "a"}, "date": "2001", "value": 1.0}]
+    made = [("007", json.dumps([{"total": 1}, good])), ("007", json.dumps([{"total": 2}, good])), ("007", json.dumps([{"total": 9, "pages": 5}, good])),
+            ("a/b+c d%", "<html>"), ("a/b+c d%", json.dumps([{"message": [{"id": "1"}]}])), ("a/b+c d%", json.dumps([{"total": 0}, None])), ("a/b+c d%", json.dumps([{"total": 3}, None]))]
+    pages.land_pages(spark.createDataFrame(made, "indicator string, value string"), str(tmp_path / "p"))
+    back = pages.read_pages(spark, str(tmp_path / "p"))
+    assert sorted((r.indicator, r.value.strip()) for r in back.collect()) == sorted(made)
+    assert {(r.indicator, r.problem): r.pages for r in pages.page_problems(back).collect()} == {
+        ("007", "ok"): 2, ("007", "records differ"): 1, ("a/b+c d%", "no json"): 1, ("a/b+c d%", "error message"): 1, ("a/b+c d%", "ok"): 1, ("a/b+c d%", "records differ"): 1}
+    assert pages.collect_indicators(spark, str(tmp_path / "p")).count() == 3
+
+
 def test_csv_round_trip_turns_nan_into_null(spark, tmp_path):
     df = frame(spark, [(1, float("nan")), (2, 2.0)], "id int, v double")
     tables.write_table(df, str(tmp_path / "t"), "csv")
