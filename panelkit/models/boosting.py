@@ -219,11 +219,11 @@ def _count(x: np.ndarray, slot: np.ndarray, gradient: np.ndarray, weight: np.nda
     return part
 
 
-def _sampled(keys: np.ndarray, rows: np.ndarray, setting: BoostParams, model: int, tree_no: int) -> np.ndarray:
-    """The rows that a tree sees."""
+def _sampled(keys: np.ndarray, rows: np.ndarray, setting: BoostParams, tree_no: int) -> np.ndarray:
+    """The rows that a tree sees, by seed and tree alone: a model does not depend on what else is fitted with it."""
     if setting.subsample >= 1.0 or not len(rows):
         return rows
-    return rows[_mix(keys[rows], (setting.seed * 100_003 + model) * 10_007 + tree_no) < setting.subsample]
+    return rows[_mix(keys[rows], setting.seed * 100_003 * 10_007 + tree_no) < setting.subsample]
 
 
 def _poisson(uniform: np.ndarray) -> np.ndarray:
@@ -338,7 +338,7 @@ def _level(blocks, open_slots, current, params, tree_no, scale, bins):
     for block in blocks:
         for model, slots in open_slots.items():
             weight = block["w"][:, model]
-            rows = _sampled(block["k"], np.flatnonzero(weight), params[model], model, tree_no)
+            rows = _sampled(block["k"], np.flatnonzero(weight), params[model], tree_no)
             if not len(rows):
                 continue
             slot = slots[_descend(block["x"][rows], current[model])]
@@ -363,7 +363,7 @@ def _train_alone(block: dict, model: int, setting: BoostParams, scale: float, ba
     margins, every, done = np.full(len(held), base), np.arange(len(held)), []
     for number in range(setting.n_estimators):
         mask, tree = _column_mask(x.shape[1], setting, number), _Tree()
-        rows = _sampled(keys, every, setting, model, number)
+        rows = _sampled(keys, every, setting, number)
         own, weight = x[rows], weights[rows]
         gradient = np.rint((margins[rows] - y[rows]) * scale) * weight
         node, held_counts, pairs, frontier = np.zeros(len(rows), np.int32), {}, [(0, None, None)], [0]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from panelkit.models.boosting import BoostedModels, BoostParams, fit_boosted, fits_one_block
 from panelkit.operators.importance import name_vector
-from panelkit.operators.splits import SEED, bootstrap_weight, bootstrap_weights, fold_column, with_segment_split
+from panelkit.operators.splits import SEED, bootstrap_weight, fold_column, with_segment_split
 from panelkit.session import materialise, settled
 from panelkit.sources.fixed_values import DEFAULTS
 from panelkit.sources.tables import feature_list
@@ -304,20 +304,25 @@ def train_segments(
 
 def bootstrap_importances(
     key: str, df: DataFrame, features: Sequence[str], label: str, row_id: str, replicates: int = 100,
-    params: dict[str, Any] | None = None, seed: int = SEED, threads: int = 4,
+    params: dict[str, Any] | None = None, seed: int = SEED, threads: int = 4, numbers: Sequence[int] | None = None,
 ) -> DataFrame:
     """``model, replicate, feature, importance``: refits on bootstrap weights; replicate i has seed ``seed + i``.
 
+    ``numbers`` fits these replicates alone; a replicate is the same whichever others are fitted with it.
+
     Boosted replicates share every job; the other models are refitted one by one from a small thread pool.
     """
     spark = df.sparkSession
     params = DEFAULTS[key] if params is None else params
     schema = "model string, replicate int, feature string, importance double"
     rows = settled(df.select(row_id, label, *features), "bootstrap-rows")
-    if in_engine(key, rows, features, replicates):
-        settings = [boost_params(key, {**params, "seed": seed + i}) for i in range(replicates)]
-        fitted = fit_boosted(rows, row_id, features, label, settings, bootstrap_weights(row_id, replicates, seed))
-        return spark.createDataFrame([(key, m, f, v) for m, f, v in fitted.importance_rows()], schema)
+    chosen = list(range(replicates) if numbers is None else numbers)
+    if not chosen:
+        return spark.createDataFrame([], schema)
+    if in_engine(key, rows, features, len(chosen)):
+        settings = [boost_params(key, {**params, "seed": seed + i}) for i in chosen]
+        fitted = fit_boosted(rows, row_id, features, label, settings, F.array(*[bootstrap_weight(row_id, r, seed) for r in chosen]))
+        return spark.createDataFrame([(key, chosen[m], f, v) for m, f, v in fitted.importance_rows()], schema)
 
     def one(replicate: int) -> list[tuple]:
         model = train(key, rows, features, label, row_id, params, bootstrap_weight(row_id, replicate, seed), seed + replicate)
@@ -325,7 +330,7 @@ def bootstrap_importances(
         return [(key, replicate, f, float(v)) for f, v in zip(features, values)]
 
     with ThreadPoolExecutor(threads) as pool:
-        found = [row for part in pool.map(one, range(replicates)) for row in part]
+        found = [row for part in pool.map(one, chosen) for row in part]
     return spark.createDataFrame(found, schema)
 
 

@@ -17,6 +17,7 @@ from panelkit.operators.features import derive
 from panelkit.operators.panel import repeated_keys, widen, with_year_feature
 from panelkit.operators.permutation import permutation_importance
 from panelkit.plans import reports as R
+from panelkit.plans.reuse import reuse_parts
 from panelkit.session import materialise
 from panelkit.sources import fixed_values as fixed
 from panelkit.sources.pages import collect_indicators
@@ -42,6 +43,7 @@ class RunOptions:
     segment_params: dict[str, dict[str, Any]] = field(default_factory=dict)
     tested_model: str = "xgboost"
     bootstrap_replicates: int = 100
+    reuse_folder: str | None = None  # bootstrap replicates are kept here and only missing ones fitted
     permutations: int = 50
     top_k: int = 20
     folds: int = 5
@@ -165,8 +167,14 @@ def _run(panel: DataFrame, row_id: str, target: str, ids: Sequence[str], options
 
     if options.statistics:
         key = options.tested_model
-        samples = materialise(T.bootstrap_importances(
-            key, train_rows, features, target, row_id, options.bootstrap_replicates, models[key].params), "bootstrap")
+        wanted = range(options.bootstrap_replicates)
+        fit = lambda numbers: T.bootstrap_importances(
+            key, train_rows, features, target, row_id, params=models[key].params, numbers=numbers)
+        if options.reuse_folder:
+            settings = {"model": key, "params": models[key].params, "features": list(features)}
+            samples = reuse_parts(spark, options.reuse_folder, train_rows.select(row_id, target, *[quoted(f) for f in features]), settings, wanted, fit)
+        else:
+            samples = materialise(fit(list(wanted)), "bootstrap")
         out["bootstrap"] = I.replicate_summary(samples, ["feature"])
         base = models[key].importances(spark)
         out["permutation"] = materialise(permutation_importance(

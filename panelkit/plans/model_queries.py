@@ -18,7 +18,7 @@ from panelkit.operators.splits import with_split
 from panelkit.plans import frames as B
 from panelkit.plans.catalog import query, r, rounded
 from panelkit.plans.frames import with_sql
-from panelkit.plans.reuse import reuse
+from panelkit.plans.reuse import reuse, reuse_parts
 from panelkit.session import fresh_path
 from panelkit.sources import bundles
 from panelkit.sources import fixed_values as fixed
@@ -266,6 +266,17 @@ def result_reuse(spark, sf_dir):
     return reuse(spark, folder, data, {"by": "entity"}, lambda: data.where(F.lit(False)).groupBy("entity").agg(F.count(F.lit(1)).alias("n")))
 
 
+@query("u3b_partial_reuse", with_sql("frame", """SELECT CAST(part AS INTEGER) AS replicate, n, CASE WHEN part < 3 THEN 1 ELSE 2 END AS built_in
+    FROM (SELECT count(*) AS n FROM frame) CROSS JOIN (SELECT unnest(range(5)) AS part)"""))
+def partial_reuse(spark, sf_dir):
+    """Three stored parts of five: the second call builds the other two."""
+    folder, data = fresh_path(spark, "parts"), B.frame(spark, sf_dir).select("row_id")
+    size = lambda numbers, call: data.agg(F.count(F.lit(1)).alias("n")).select(
+        F.explode(F.array(*[F.lit(k) for k in numbers])).alias("replicate"), "n", F.lit(call).alias("built_in"))
+    reuse_parts(spark, folder, data, {}, range(3), lambda numbers: size(numbers, 1))
+    return reuse_parts(spark, folder, data, {}, range(5), lambda numbers: size(numbers, 2))
+
+
 @query("u4_consistency_check", "SELECT count(*) AS rows, true AS same, false AS same_after_change FROM orders")
 def consistency_check(spark, sf_dir):
     from panelkit.plans.reuse import check_unchanged, fingerprint_text

@@ -20,6 +20,22 @@ def test_full_run_returns_every_relation(spark, sf_dir):
     assert found["consensus"].first()["feature"] in ("price_avg", "disc_avg")
 
 
+def test_second_run_takes_stored_replicates(spark, sf_dir, monkeypatch):
+    from dataclasses import replace
+
+    from panelkit.models import trees as T
+    from panelkit.session import fresh_path
+
+    quick, asked, fit = {"n_estimators": 2, "max_depth": 2, "learning_rate": 0.3}, [], T.bootstrap_importances
+    monkeypatch.setattr(T, "bootstrap_importances", lambda *a, **k: asked.append(k["numbers"]) or fit(*a, **k))
+    options = RunOptions(strategy="median", specs=(), models=("xgboost",), params={"xgboost": quick}, bands=B.BANDS, income_column=None,
+                         cross_validate=False, bootstrap_replicates=2, permutations=2, top_k=2, reuse_folder=fresh_path(spark, "kept"))
+    panel = B.frame_nulls(spark, sf_dir).drop("ext_a", "ext_n", "ext_r")
+    first, *_, last = (run(panel, "row_id", "target", ["entity", "region_key", "year", "month"], o)["bootstrap"].collect()
+                       for o in (options, options, replace(options, bootstrap_replicates=3)))
+    assert asked == [[0, 1], [2]] and len(first) == len(last) > 0
+
+
 def test_indicator_codes_run_end_to_end(spark, tmp_path):
     """Landed pages of all indicators, dotted codes and text row ids: 59 features, shipped specs and display names."""
     import json

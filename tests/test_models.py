@@ -8,6 +8,7 @@ from panelkit.models import boosting as H
 from panelkit.models import trees as T
 from panelkit.operators import metrics as M
 from panelkit.operators.splits import bootstrap_weights, with_split
+from panelkit.plans.reuse import reuse_parts
 from panelkit.session import fresh_path
 from panelkit.sources import bundles
 
@@ -208,6 +209,35 @@ def test_bootstrap_replicates_differ_and_repeat(data):
     assert len(run("decision_tree", {"max_depth": 3})) == 9
 
 
+@pytest.mark.parametrize("key", ["xgboost", "random_forest"])
+def test_stored_replicates_are_not_fitted_again(spark, data, key):
+    folder, asked = fresh_path(spark, "parts"), []
+    params = {"n_estimators": 2, "max_depth": 3, **({"subsample": 0.8} if key == "xgboost" else {})}
+
+    def fit(numbers):
+        asked.append(numbers)
+        return T.bootstrap_importances(key, data, FEATURES, "y", "id", params=params, numbers=numbers)
+
+    read = lambda wanted, settings=params: {(r.replicate, r.feature): r.importance for r in reuse_parts(spark, folder, data, settings, wanted, fit).collect()}
+    read(range(3))
+    five = read(range(5))
+    assert asked == [[0, 1, 2], [3, 4]] and len(five) == 15
+    again = read([1, 4])
+    assert asked == [[0, 1, 2], [3, 4]] and again == {k: v for k, v in five.items() if k[0] in (1, 4)}
+    whole = T.bootstrap_importances(key, data, FEATURES, "y", "id", 5, params)
+    assert {(r.replicate, r.feature): pytest.approx(r.importance, abs=1e-6) for r in whole.collect()} == five
+    read(range(2), {**params, "other": 1})
+    assert asked[-1] == [0, 1]
+    spark.createDataFrame([("x", 0, "a", 9.0)], "model string, replicate int, feature string, importance double").write.parquet(
+        f"{next(iter(_paths(spark, folder)))}/batch=0/unfinished")
+    assert read(range(5)) == five
+
+
+def _paths(spark, folder):
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder + "/*/*")
+    return [f.getPath().toString() for f in place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)]
+
+
 def test_bundle_round_trip_and_changed_rows(spark, data):
     path = fresh_path(spark, "test-bundle")
     models = T.train_all(data.where("split = 'train'"), FEATURES, "y", "id", ["decision_tree", "lightgbm"],
