@@ -327,3 +327,50 @@ def test_parameter_mapping():
         "maxIter": 7, "stepSize": 0.1, "subsamplingRate": 0.9}
     assert T.boost_params("lightgbm", {"max_depth": -1}).depth_limit == 30
     assert T.boost_params("xgboost", {}).reg_lambda == 1.0
+
+
+def test_large_forests_stay_in_the_shared_folder(spark, data, monkeypatch):
+    """Trees beyond the bound neither reach the driver for scoring nor for importances, and give what small ones do."""
+    params = {"n_estimators": 12, "max_depth": 8, "max_features": "sqrt"}
+    holes = data.withColumn("a", F.when(F.col("id") % 7 > 0, F.col("a")))
+    small = T.train("random_forest", holes, FEATURES, "y", "id", params)
+    folds = T.cross_validate("random_forest", holes, FEATURES, "y", "id", params, 3)
+    grid = T.grid_search("decision_tree", holes, FEATURES, "y", "id", {"max_depth": [2, 5]}, 3)[1]
+    monkeypatch.setattr(H, "DRIVER_NODES", 0)
+    monkeypatch.setattr(H, "SCORE_ROWS", 400)
+    monkeypatch.setattr(H, "BLOCK_ROWS", 300)
+    large = T.train("random_forest", holes, FEATURES, "y", "id", params)
+    assert small.boosted.stored is None and large.boosted.stored is not None
+    for model in (large, saved_model(spark, large)):
+        both = model.transform(small.transform(holes, "one"), "two")
+        assert both.count() == 1500 and both.where("two is null or abs(one - two) > 1e-9").count() == 0
+        assert model.boosted.importance_rows() == small.boosted.importance_rows()
+    assert [t["leaves"] for t in large.boosted.sums[0]] == [sum(f < 0 for f in t.feature) for t in small.boosted.trees[0]]
+    again = T.cross_validate("random_forest", holes, FEATURES, "y", "id", params, 3).withColumnRenamed("prediction", "again")
+    assert again.join(folds, ["row_id", "fold"]).where("abs(prediction - again) < 1e-9").count() == 1500
+    scores = T.grid_search("decision_tree", holes, FEATURES, "y", "id", {"max_depth": [2, 5]}, 3)[1]
+    assert [r.cv_mse for r in scores.orderBy("point").collect()] == pytest.approx([r.cv_mse for r in grid.orderBy("point").collect()])
+
+
+def saved_model(spark, model):
+    path = fresh_path(spark, "saved")
+    model.boosted.save(spark, path)
+    return T.TreeModel(model.key, model.features, model.params, boosted=H.BoostedModels.load(spark, path))
+
+
+def test_many_models_do_not_leave_their_tasks(data, monkeypatch):
+    """Rows, not rows times models, say whether models are trained by one task each; models of equal rows share a weight."""
+    assert H.fits_one_block(700_000, 7, 100) and H.fits_one_block(700_000, 7)
+    monkeypatch.setattr(H._Trainer, "best", lambda *_: pytest.fail("models grew level by level"))
+    settings = [H.BoostParams(n_estimators=1, max_depth=k % 3 + 1) for k in range(30)]
+    shared = F.array(F.when(F.col("id") % 2 == 0, 1).otherwise(0), F.lit(1))
+    made = H.fit_boosted(data, "id", FEATURES, "y", settings, shared, columns=[k % 2 for k in range(30)])
+    assert made.models == 30 and made.base[0] == made.base[2] != made.base[1]
+
+
+def test_sums_of_many_rows_are_counted_in_exact_pieces(monkeypatch):
+    x, slot = np.arange(50, dtype=np.uint8).reshape(-1, 1) % 4, np.arange(50) % 3
+    count = lambda: H._count(x, slot, np.arange(50.0), np.ones(50), 3, 4, np.ones(1, bool)).tolist()
+    whole = count()
+    monkeypatch.setattr(H, "EXACT_BITS", 3)
+    assert count() == whole
