@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelkit.operators.importance import top_features
 from panelkit.operators.inference import drop_summary
 from panelkit.operators.metrics import r2
-from panelkit.operators.splits import SEED, shuffled_values
+from panelkit.operators.splits import SEED, with_shuffled_values
 from panelkit.session import settled
 
 Predict = Callable[[DataFrame], DataFrame]
@@ -27,7 +27,7 @@ def permutation_drops(
     """
     base = settled(df.select(key, label, *features), "permutation-rows")
     baseline = predict(base.withColumn("label", F.col(label))).agg(r2().alias("score")).first()["score"]
-    shuffled = shuffled_values(base, key, tested, replicates, seed)
+    shuffled = with_shuffled_values(base, key, tested, replicates, seed)
     variants = F.explode(F.array(*[
         F.struct(
             F.lit(t).alias("feature"),
@@ -35,7 +35,7 @@ def permutation_drops(
         )
         for t in tested
     ])).alias("variant")
-    expanded = base.join(shuffled, key).select("replicate", F.col(label).alias("label"), variants)
+    expanded = shuffled.select("replicate", F.col(label).alias("label"), variants)
     scored = predict(expanded.select("replicate", "label", F.col("variant.feature").alias("feature"),
                                      *[F.col(f"variant.{c}").alias(c) for c in features]))
     return scored.groupBy("feature", "replicate").agg(r2().alias("score")).select(

@@ -430,3 +430,14 @@ def test_fingerprint_ignores_order_and_sees_copies(spark):
     with pytest.raises(DataChanged):
         check_unchanged(df.limit(2), stored)
     assert not check_unchanged(df.distinct(), stored, raise_on_change=False)
+
+
+def test_replicates_are_lined_up_with_one_shuffle_of_their_rows(spark, monkeypatch):
+    """What a join with the shuffled values gives, copies and rows without a key too, but replicates are not shuffled by position or key."""
+    monkeypatch.setattr(splits, "SHUFFLED_ROWS", 100)
+    df = spark.createDataFrame([(k, float(k), k % 7 * 1.5) for k in range(300)] * 2 + [(None, 9.0, 9.0)], "id long, `v.w` double, y double")
+    plain = df.join(splits.shuffled_values(df, "id", ["y"], 3), "id").select("replicate", "`v.w`", "y", "y_shuffled")
+    found = splits.with_shuffled_values(df, "id", ["y"], 3)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) and found.count() == 3 * 300 * 4
+    plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert not any("hashpartitioning(position" in line or "hashpartitioning(id" in line for line in plan.splitlines())
