@@ -313,8 +313,11 @@ def near_duplicates(
         return materialise(both.mapInArrow(_verify(width, similarity), "a long, b long, similarity double"), "near-links")
 
     links = verified(materialise(central_pairs(members), "pairs"))
-    links = links.select("a", "b").unionByName(remaining_links(members, components(links, "a", "b"), bodies, width, similarity))
     found = components(links, "a", "b")
+    far = remaining_links(members, found, bodies, width, similarity)
+    if not far.isEmpty():
+        # components stand for the links that made them
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(far), "a", "b")
     class_of = classes.select("digest", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "digest", F.coalesce("component", "id").alias("class_id"))
     member = signed.select("id", "digest").join(materialise(class_of, "classes"), "digest").select("id", "class_id")
