@@ -34,6 +34,8 @@ CELL_ROWS = 1024
 CELLS = 4096
 #: Sampled rows a leaf, from which the tree is grown, and sampled rows that fill missing values for placing.
 SAMPLED, GUIDES = 16, 1024
+#: Successive leaves whose common range is looked at first.
+GROUP_CELLS = 64
 CHUNK_ROWS = 20_000
 BLOCK_CELLS = 4_000_000
 #: Each round visits so many times the leaves of the rounds before.
@@ -173,6 +175,18 @@ class Boxes:
         return cls(np.array([r["cell"] for r in rows], np.int64), table("lo", np.inf), table("hi", -np.inf), has > 0, has < total,
                    np.array([r["lost"] for r in rows], np.int64))
 
+    def part(self, chosen: np.ndarray) -> Boxes:
+        return Boxes(self.names[chosen], self.low[chosen], self.high[chosen], self.holds[chosen], self.lacks[chosen], self.lost[chosen])
+
+    def grouped(self, size: int) -> Boxes:
+        """The ranges of so many successive cells together; cells are numbered along the tree, so that these lie side by side."""
+        starts = np.arange(0, len(self.names), size)
+        if not len(starts):
+            return self
+        joined = lambda f, values: f.reduceat(values, starts, axis=0)
+        return Boxes(starts // size, joined(np.minimum, self.low), joined(np.maximum, self.high), joined(np.logical_or, self.holds),
+                     joined(np.logical_or, self.lacks), joined(np.maximum, self.lost))
+
     def bounds(self, vectors: np.ndarray, observed: np.ndarray) -> np.ndarray:
         """Lower bound of the squared distance, receivers x cells; infinite where no feature can be shared.
 
@@ -243,10 +257,12 @@ def _visits(boxes: Boxes, width: int, start: int, end: int):
     """mapInPandas function: the visits of receivers to their nearest cells, from the ``start``-th to before the ``end``-th.
 
     A receiver's own leaf is its nearest cell and the first to visit. ``more`` says that cells beyond may have to be visited; a receiver with none in
-    this round and some beyond has one row without a cell.
+    this round and some beyond has one row without a cell. Cells stand in the order of the larger of their bound and their group's, so that the
+    cells of groups beyond a receiver's reach need not be looked at: none of them comes before one within it.
     """
     values, limits = [f"v{i}" for i in range(width)], [f"u{i}" for i in range(width)]
     step = max(1, BLOCK_CELLS // max(1, len(boxes.names) * width))
+    groups = boxes.grouped(GROUP_CELLS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -258,21 +274,35 @@ def _visits(boxes: Boxes, width: int, start: int, end: int):
                     at_home = useful[place] & (boxes.names[place] == homes[index])
                     yield batch.iloc[index][["id", *values, *limits]].assign(cell=np.where(at_home, homes[index], -1), more=True)
                     continue
-                for first in range(0, len(index), step):
-                    part = index[first : first + step]
-                    bounds = np.where(useful, boxes.bounds(matrix[part], ~missing), np.inf)
-                    wanted = np.zeros(bounds.shape, bool)
-                    for f in np.flatnonzero(missing):
-                        limit = np.where(np.isnan(kth[part, f]), np.inf, kth[part, f])[:, None]
-                        wanted |= np.isfinite(bounds) & boxes.holds[:, f] & (bounds <= limit * SLACK)
-                    # The first place of every order is the receiver's own leaf, which the first round has seen.
-                    own = boxes.names == homes[part][:, None]
-                    order = np.argsort(np.column_stack([np.full(len(part), -1.0), np.where(own, np.inf, bounds)]), axis=1, kind="stable")
-                    ordered = np.take_along_axis(np.column_stack([np.zeros(len(part), bool), wanted & ~own]), order, axis=1)
-                    more = ordered[:, end:].any(axis=1)
-                    rows, places = np.nonzero(ordered[:, start:end])
-                    cells = boxes.names[order[rows, places + start] - 1]
-                    idle = np.flatnonzero(more & ~ordered[:, start:end].any(axis=1))
+                lacking = np.flatnonzero(missing)
+                limit = np.where(np.isnan(kth[index][:, lacking]), np.inf, kth[index][:, lacking]) * SLACK
+                reach = limit.max(axis=1, initial=0.0)
+                # receivers of a block lie side by side; those without a limit look at all cells
+                order = np.lexsort((homes[index], np.isinf(reach)))
+                index, limit, reach = index[order], limit[order], reach[order]
+                side = np.column_stack([homes[index] // GROUP_CELLS, np.isinf(reach)])
+                starts = np.flatnonzero(np.append(True, (side[1:] != side[:-1]).any(axis=1)))
+                blocks = [slice(k, min(k + step, stop)) for first, stop in zip(starts, np.append(starts[1:], len(index))) for k in range(first, stop, step)]
+                for block in blocks:
+                    part = index[block]
+                    coarse = groups.bounds(matrix[part], ~missing)
+                    near = (coarse <= reach[block, None]).any(axis=0)
+                    chosen = np.flatnonzero(useful & np.repeat(near, GROUP_CELLS)[: len(useful)])
+                    bounds = np.maximum(boxes.part(chosen).bounds(matrix[part], ~missing), coarse[:, chosen // GROUP_CELLS])
+                    within = np.isfinite(bounds) & (bounds <= reach[block, None]) & (boxes.names[chosen] != homes[part][:, None])
+                    rows, places = np.nonzero(within)
+                    distance = bounds[rows, places]
+                    order = np.lexsort((places, distance, rows))
+                    rows, places, distance = rows[order], places[order], distance[order]
+                    # The receiver's own leaf, which the first round has seen, has place 0.
+                    place = 1 + np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+                    wanted = (boxes.holds[chosen[places]][:, lacking] & (distance[:, None] <= limit[block][rows])).any(axis=1)
+                    more, now = np.zeros(len(part), bool), np.zeros(len(part), bool)
+                    more[rows[wanted & (place >= end)]] = True
+                    hit = wanted & (place >= start) & (place < end)
+                    rows, cells = rows[hit], boxes.names[chosen[places[hit]]]
+                    now[rows] = True
+                    idle = np.flatnonzero(more & ~now)
                     rows, cells = np.concatenate([rows, idle]), np.concatenate([cells, np.full(len(idle), -1)])
                     yield batch.iloc[part[rows]][["id", *values, *limits]].assign(cell=cells, more=more[rows])
 

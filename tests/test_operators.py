@@ -289,6 +289,40 @@ def test_visits_follow_the_data_not_the_number_of_donors(spark):
     assert rates[1] < 12 and rates[1] < 1.3 * rates[0]
 
 
+def test_visits_look_at_the_cells_of_near_groups_only(monkeypatch):
+    """Visits of all rounds are those that a look at all cells gives, from a small part of the bounds."""
+    rng = np.random.default_rng(3)
+    donors = rng.random((16_000, 2)).round(3)
+    donors[rng.random(donors.shape) < 0.02] = np.nan
+    tree = neighbours.Tree(donors, 1_024)
+    home = tree.place(donors)
+    boxes, asked = neighbours.Boxes.of(donors, home), []
+    matrix = rng.random((400, 2))
+    matrix[np.arange(400), rng.integers(0, 2, 400)] = np.nan
+    batch = pd.DataFrame({"id": np.arange(400), "v0": matrix[:, 0], "v1": matrix[:, 1], "u0": 1e-5, "u1": 1e-5, "home": tree.place(matrix)})
+    batch.loc[:4, ["u0", "u1"]] = np.nan  # no limit: every cell may matter
+    plain = neighbours.Boxes.bounds
+    monkeypatch.setattr(neighbours.Boxes, "bounds", lambda self, v, o: (asked.append(len(v) * len(self.names)), plain(self, v, o))[1])
+    seen = {}
+    for start, end in ((1, 5), (5, 25), (25, 10_000)):
+        for out in neighbours._visits(boxes, 2, start, end)(iter([batch])):
+            for row in out.itertuples():
+                if row.cell >= 0:
+                    assert (row.id, row.cell) not in seen
+                    seen[row.id, row.cell] = True
+    assert sum(asked) < 0.7 * 3 * 400 * len(boxes.names)
+    for i in range(400):
+        pattern = ~np.isnan(matrix[i])
+        bound = plain(boxes, matrix[i][None], pattern)[0]
+        reach = np.inf if i < 5 else 1e-5 * neighbours.SLACK
+        must = {(i, int(c)) for c in boxes.names[(bound <= reach) & np.isfinite(bound) & boxes.holds[:, ~pattern].any(axis=1)] if c != batch["home"][i]}
+        mine = {k for k in seen if k[0] == i}
+        assert mine <= must
+        gap = (donors[:, pattern] - matrix[i, pattern])[:, 0]
+        near = (2 * gap**2 <= reach) & ~np.isnan(donors[:, ~pattern][:, 0])
+        assert {(i, int(c)) for c in set(home[near]) if c != batch["home"][i]} <= mine
+
+
 def test_knn_impute_falls_back_to_the_column_mean(spark):
     df = frame(spark, [(1, None, 2.0), (2, 4.0, None), (3, 8.0, None)], "id long, a double, b double")
     rows = {r.id: (r.a, r.b) for r in knn_impute(df, "id", ["a", "b"], 2).collect()}
