@@ -88,3 +88,14 @@ def test_poisson_weights_have_unit_mean_and_variance(spark):
     assert one(spark, poisson_one(F.lit(0.9999999))) >= 6
     uniform = spark.range(5000).select(hash_uniform(F.col("id"), "u").alias("u")).agg(F.min("u"), F.max("u"), F.avg("u")).first()
     assert 0 <= uniform[0] and uniform[1] < 1 and uniform[2] == pytest.approx(0.5, abs=0.02)
+
+
+def test_flags_of_many_salts_are_those_of_each_bucket(spark):
+    from panelkit.functions.hashing import hash_bucket, hash_flags
+
+    keys = spark.createDataFrame([(k,) for k in ["1", "22", "", "é", None, "7", "x" * 50, "y" * 53, "z" * 200]], "k string").repartition(3)
+    salts = [str(s) for s in range(40)]
+    rows = keys.select(F.array(*[F.when(hash_bucket(F.col("k"), s) < 80, 1).otherwise(0) for s in salts]).alias("plain"),
+                       hash_flags(F.col("k"), salts, 80).alias("flags")).collect()
+    assert len(rows) == 9 and all(r.plain == r.flags for r in rows)
+    assert keys.where("k is null").select(hash_flags(F.col("k"), salts, 80).alias("flags")).first().flags == [0] * 40
