@@ -352,6 +352,24 @@ def test_large_forests_stay_in_the_shared_folder(spark, data, monkeypatch):
     assert [r.cv_mse for r in scores.orderBy("point").collect()] == pytest.approx([r.cv_mse for r in grid.orderBy("point").collect()])
 
 
+@pytest.mark.parametrize("setting", [{"max_depth": 6}, {"max_depth": 5, "num_leaves": 20}, {"max_depth": 2, "gamma": 1e9}, {"max_depth": 9}])
+def test_leaves_are_looked_up_as_nodes_are_walked_to(setting, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (4_000, 3)).astype(np.uint8)
+    y = np.where(x[:, 0] == 0, 3.0, x[:, 0] * x[:, 1]) + rng.normal(size=4_000)
+    block = {"x": x, "y": y, "w": np.ones(4_000, np.uint16), "k": np.arange(4_000, dtype=np.uint64)}
+    trees = [t.packed() for t in H._train_alone(block, H.BoostParams(n_estimators=3, **setting), 2.0**16, 0.0, 14)]
+    other = np.concatenate([x, rng.integers(0, 256, (500, 3))]).astype(np.uint16)
+    monkeypatch.setattr(H, "TABLE_ROWS", 1 << 40)
+    walked = [H._descend(other, t).tolist() for t in trees]
+    monkeypatch.setattr(H, "TABLE_ROWS", 0)
+    large = [(t[0] < 0).sum() > 64 for t in trees]
+    assert all(large) == (setting["max_depth"] == 9)
+    if not any(large) and "gamma" not in setting:
+        monkeypatch.setattr(H, "_goes_low", lambda *_: pytest.fail("rows were walked node by node"))
+    assert [H._descend(other, t).tolist() for t in trees] == walked
+
+
 def saved_model(spark, model):
     path = fresh_path(spark, "saved")
     model.boosted.save(spark, path)
