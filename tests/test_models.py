@@ -352,6 +352,13 @@ def test_large_forests_stay_in_the_shared_folder(spark, data, monkeypatch):
     assert [r.cv_mse for r in scores.orderBy("point").collect()] == pytest.approx([r.cv_mse for r in grid.orderBy("point").collect()])
 
 
+def test_large_forests_are_written_in_one_form(spark, data, monkeypatch):
+    monkeypatch.setattr(H, "DRIVER_NODES", 0)
+    model = T.train("random_forest", data, FEATURES, "y", "id", {"n_estimators": 6, "max_depth": 4})
+    stored = spark.read.parquet(*model.boosted.stored.inputFiles())
+    assert stored.where("trees is not null").count() == 2 and stored.where("grown is not null").count() == 0
+
+
 @pytest.mark.parametrize("setting", [{"max_depth": 6}, {"max_depth": 5, "num_leaves": 20}, {"max_depth": 2, "gamma": 1e9}, {"max_depth": 9}])
 def test_leaves_are_looked_up_as_nodes_are_walked_to(setting, monkeypatch):
     rng = np.random.default_rng(4)
