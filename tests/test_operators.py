@@ -380,6 +380,22 @@ def test_replicate_importance_equals_correlations_of_each_replicate(spark):
     assert len(got) == 16
 
 
+def test_replicate_importance_makes_the_weights_of_keys_in_the_task(spark):
+    from functools import partial
+
+    from panelkit.functions.hashing import flag_matrix, hash_flags
+
+    rng = np.random.default_rng(3)
+    rows = [(str(k * 37) if k % 50 else None, float(a), float(a + b), ["p", None] if k % 3 else ["q", "p"])
+            for k, (a, b) in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "k string, a double, y double, m array<string>").repartition(3).withColumn("b", F.col("a") * F.col("y"))
+    salts = [str(s) for s in range(12)]
+    by_column = importance.replicate_importance(df, ["a", "b"], "y", F.col("m"), hash_flags(F.col("k"), salts, 80))
+    by_key = importance.replicate_importance(df, ["a", "b"], "y", F.col("m"), F.col("k"), partial(flag_matrix, salts=salts, limit=80))
+    found, known = ({(r.model, r.replicate, r.feature): r.importance for r in d.collect()} for d in (by_key, by_column))
+    assert len(found) == 2 * 12 * 2 and found == pytest.approx(known, rel=1e-9)
+
+
 @pytest.mark.parametrize("n", [1, 5, 11])
 def test_exact_signed_rank_counts_all_signs(spark, n):
     sums = [sum(k + 1 for k in range(n) if signs >> k & 1) for signs in range(1 << n)]
