@@ -399,3 +399,59 @@ def test_sums_of_many_rows_are_counted_in_exact_pieces(monkeypatch):
     whole = count()
     monkeypatch.setattr(H, "EXACT_BITS", 3)
     assert count() == whole
+
+
+def spread_out(monkeypatch, node_rows=100):
+    """Every model has more rows than a task takes."""
+    monkeypatch.setattr(H, "ALONE_BYTES", 0)
+    monkeypatch.setattr(H, "NODE_ROWS", node_rows)
+    monkeypatch.setattr(H, "BLOCK_ROWS", 400)
+    monkeypatch.setattr(H, "UNITS_AT_ONCE", 2)
+
+
+@pytest.mark.parametrize("params", [
+    {"n_estimators": 12, "max_depth": 8, "max_features": None, "min_samples_split": 5, "min_samples_leaf": 2},
+    {"n_estimators": 6, "max_depth": None, "max_features": None}, {"n_estimators": 6, "max_depth": 2, "max_features": None}])
+def test_forests_beyond_a_task_are_those_of_one_task(spark, data, monkeypatch, params):
+    """Tops grown in shared jobs and what tasks grow below them are the trees of whole tasks, where every node asks all features."""
+    holes = data.withColumn("a", F.when(F.col("id") % 7 > 0, F.col("a")))
+    whole = T.train("random_forest", holes, FEATURES, "y", "id", params)
+    spread_out(monkeypatch)
+    spread = T.train("random_forest", holes, FEATURES, "y", "id", params)
+    assert spread.boosted.stored is not None and spread.boosted.stored.count() == -(-params["n_estimators"] // 5)
+    for model in (spread, saved_model(spark, spread)):
+        both = model.transform(whole.transform(holes, "one"), "two")
+        assert both.count() == 1500 and both.where("two is null or abs(one - two) > 1e-9").count() == 0
+        assert [v for *_, v in model.boosted.importance_rows()] == pytest.approx([v for *_, v in whole.boosted.importance_rows()])
+    for own in ("depth", "leaves"):
+        assert [t[own] for t in spread.boosted.sums[0]] == [t[own] for t in whole.boosted.sums[0]]
+    assert [sorted(t.value[t.feature < 0]) for t in spread.boosted.trees[0]] == [
+        pytest.approx(sorted(t.value[t.feature < 0])) for t in whole.boosted.trees[0]]
+
+
+def test_forests_beyond_a_task_do_not_depend_on_partitioning_or_company(data, monkeypatch):
+    spread_out(monkeypatch)
+    setting = T.boost_params("random_forest", {"n_estimators": 7, "max_depth": 20, "max_features": "sqrt", "min_samples_leaf": 2})
+    edges = H.quantile_edges(data, FEATURES, 64)
+    shape = lambda model, m=0: [[np.asarray(getattr(t, k)).tolist() for k in ("feature", "bin", "left", "value", "low")] for t in model.trees[m]]
+    one = H.fit_boosted(data.repartition(1), "id", FEATURES, "y", setting, edges=edges)
+    two = H.fit_boosted(data.repartition(7), "id", FEATURES, "y", [replace(setting, seed=1), setting], F.array(F.lit(1), F.lit(1)), edges)
+    assert shape(one) == shape(two, 1) != shape(two)
+    assert len({tuple(t.feature[:7]) for t in one.trees[0]}) > 4
+    assert rmse(one.transform(data)) < 1.5
+
+
+def test_folds_points_and_segments_beyond_a_task(data, monkeypatch):
+    """The other callers of the engine, with a single tree, row weights beyond a byte, and a model without rows."""
+    run = lambda: (
+        T.cross_validate("decision_tree", data, FEATURES, "y", "id", {"max_depth": 6}, 3).orderBy("row_id").collect(),
+        T.grid_search("decision_tree", data, FEATURES, "y", "id", {"max_depth": [2, None]}, 3)[1].orderBy("point").collect(),
+        T.train_segments(data, "seg", FEATURES, "y", "id", ["random_forest"], {"random_forest": {"n_estimators": 3, "max_depth": 5, "max_features": None}})[0].orderBy("row_id").collect(),
+        H.fit_boosted(data, "id", FEATURES, "y", [T.boost_params("random_forest", {"n_estimators": 2, "max_depth": 7, "max_features": None})] * 2,
+                      F.array((F.col("id") % 3) * 30_000, F.lit(0))).transform(data, (F.col("id") % 2).cast("int")).orderBy("id").select("id", "prediction").collect())
+    whole = run()
+    spread_out(monkeypatch)
+    for got, wanted in zip(run(), whole):
+        assert len(got) == len(wanted)
+        for a, b in zip(got, wanted):
+            assert [pytest.approx(v) if isinstance(v, float) else v for v in b] == list(a)
