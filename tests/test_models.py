@@ -455,3 +455,75 @@ def test_folds_points_and_segments_beyond_a_task(data, monkeypatch):
         assert len(got) == len(wanted)
         for a, b in zip(got, wanted):
             assert [pytest.approx(v) if isinstance(v, float) else v for v in b] == list(a)
+
+
+def test_cuts_of_sorted_rows_and_of_tables_are_equal(monkeypatch):
+    """Both ways to sum the cells of a level, with missing values, copies of rows and nodes of few rows."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 40, (3_000, 3)).astype(np.uint8)
+    block = {"x": x, "y": x[:, 0] * 2.0 + (x[:, 1] == 0) * 9 + rng.normal(size=3_000), "w": rng.integers(0, 3, 3_000).astype(np.uint16),
+             "k": np.arange(3_000, dtype=np.uint64)}
+    setting = T.boost_params("random_forest", {"n_estimators": 3, "max_depth": 20, "max_features": "sqrt", "min_samples_leaf": 2})
+    grow = lambda: [[np.asarray(getattr(t, k)).tolist() for k in t.FIELDS] for t in H._train_forest(block, setting, 2.0**16, 0.0, 42, range(3))]
+    mixed = grow()
+    for cells in (0, 1 << 40):
+        monkeypatch.setattr(H, "DENSE_CELLS", cells)
+        assert grow() == mixed
+
+
+def test_one_boosted_model_of_many_rows_is_one_task():
+    assert H.fits_one_block(7_100_000, 7, 1) and not H.fits_one_block(43_000_000, 7, 1)
+
+
+def test_pieces_of_rows_give_the_trees_of_all_rows(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 30, (2_500, 3)).astype(np.uint8)
+    for w in (np.ones(2_500), rng.integers(0, 4, 2_500)):
+        block = {"x": x, "y": np.sin(x[:, 0]) + (x[:, 1] == 0) + rng.normal(size=2_500), "w": w.astype(np.uint16), "k": np.arange(2_500, dtype=np.uint64)}
+        setting = H.BoostParams(n_estimators=4, max_depth=4, subsample=0.7, colsample_bytree=0.7)
+        grow = lambda: [[np.asarray(getattr(t, k)).tolist() for k in t.FIELDS] for t in H._train_alone(block, setting, 2.0**16, 0.0, 32)]
+        whole = grow()
+        monkeypatch.setattr(H, "PIECE_ROWS", 300)
+        assert grow() == whole
+        monkeypatch.undo()
+
+
+def test_trees_scored_in_pairs_give_the_leaves_they_walk_to(monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 50, (3_000, 4)).astype(np.uint16)
+    block = {"x": x, "y": x[:, 0] * 1.0 * x[:, 1] + (x[:, 2] == 0) * 500, "w": np.ones(3_000, np.uint16), "k": np.arange(3_000, dtype=np.uint64)}
+    trees = [t.packed() for kind in ({"max_depth": 5}, {"max_depth": 6}, {"max_depth": 2, "gamma": 1e12}, {"max_depth": 9})
+             for t in H._train_alone(block, H.BoostParams(n_estimators=3, **kind), 2.0**16, 0.0, 51)]
+    rows = np.concatenate([x, rng.integers(0, 300, (500, 4)).astype(np.uint16)])
+    monkeypatch.setattr(H, "PIECE_ROWS", 1_000)
+    got = H._Scorer(trees, 0.25)(rows)
+    monkeypatch.setattr(H, "TABLE_ROWS", 1 << 40)
+    want = np.full(len(rows), 0.25)
+    for tree in trees:
+        want += tree[4][H._descend(rows, tree)]
+    assert got.tolist() == want.tolist()
+
+
+def test_rows_walk_by_words_as_by_columns(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 60, (4_000, 3)).astype(np.uint8)
+    tree = H._grow_whole(x, np.rint(x[:, 0] * x[:, 1] + rng.normal(size=4_000) * 900), np.ones(4_000), H.BoostParams(max_depth=12), 1, 62, 1.0, 1.0).packed()
+    assert H._node_codes(tree) is not None and (tree[0] < 0).sum() > 64
+    by_words = [H._descend(order(x), tree).tolist() for order in (np.ascontiguousarray, np.asfortranarray)]
+    monkeypatch.setattr(H, "_node_codes", lambda _: None)
+    assert by_words == [H._descend(order(x), tree).tolist() for order in (np.ascontiguousarray, np.asfortranarray)]
+
+
+def test_counts_of_draws_are_those_of_the_steps():
+    steps = np.cumsum([np.exp(-1) / H.math.factorial(k) for k in range(13)])
+    draws = np.concatenate([np.random.default_rng(9).random(20_000), steps[:12], np.nextafter(steps[:12], 0), [0.0, 1 - 2.0**-53], np.arange(4096) / 4096])
+    assert H._POISSON_OPEN.sum() <= 13 and H._poisson(draws).tolist() == np.searchsorted(H._POISSON_STEPS, draws, side="right").tolist()
+
+
+def test_models_fitted_side_by_side_are_those_fitted_alone(spark, data):
+    keys = ["decision_tree", "xgboost", "lightgbm"]
+    found = T.train_together(keys, data.where("split = 'train'"), FEATURES, "y", "id")
+    assert list(found) == keys
+    for key in ("decision_tree", "lightgbm"):
+        alone = T.train(key, data.where("split = 'train'"), FEATURES, "y", "id")
+        assert found[key].boosted.node_rows() == alone.boosted.node_rows() and found[key].params == alone.params
