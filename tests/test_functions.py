@@ -99,3 +99,14 @@ def test_flags_of_many_salts_are_those_of_each_bucket(spark):
                        hash_flags(F.col("k"), salts, 80).alias("flags")).collect()
     assert len(rows) == 9 and all(r.plain == r.flags for r in rows)
     assert keys.where("k is null").select(hash_flags(F.col("k"), salts, 80).alias("flags")).first().flags == [0] * 40
+
+
+def test_poisson_weights_of_a_task_are_those_of_the_column(spark):
+    """Draws next to a step of the distribution function, keys of all lengths and a null key."""
+    from panelkit.functions import hashing as H
+
+    keys = [None, "", "x" * 80, *map(str, range(3_000))]
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k string")
+    salts = ["boot42:0", "boot42:17"]
+    rows = df.select("i", *[H.poisson_one(H.hash_uniform(F.col("k"), s)).alias(f"w{n}") for n, s in enumerate(salts)]).orderBy("i").collect()
+    assert H.poisson_matrix(keys, salts).tolist() == [[r["w0"], r["w1"]] for r in rows]

@@ -480,12 +480,13 @@ def test_pieces_of_rows_give_the_trees_of_all_rows(monkeypatch):
     x = rng.integers(0, 30, (2_500, 3)).astype(np.uint8)
     for w in (np.ones(2_500), rng.integers(0, 4, 2_500)):
         block = {"x": x, "y": np.sin(x[:, 0]) + (x[:, 1] == 0) + rng.normal(size=2_500), "w": w.astype(np.uint16), "k": np.arange(2_500, dtype=np.uint64)}
-        setting = H.BoostParams(n_estimators=4, max_depth=4, subsample=0.7, colsample_bytree=0.7)
-        grow = lambda: [[np.asarray(getattr(t, k)).tolist() for k in t.FIELDS] for t in H._train_alone(block, setting, 2.0**16, 0.0, 32)]
-        whole = grow()
-        monkeypatch.setattr(H, "PIECE_ROWS", 300)
-        assert grow() == whole
-        monkeypatch.undo()
+        for share in (0.7, 1.0):
+            setting = H.BoostParams(n_estimators=4, max_depth=4, subsample=share, colsample_bytree=share)
+            grow = lambda: [[np.asarray(getattr(t, k)).tolist() for k in t.FIELDS] for t in H._train_alone(block, setting, 2.0**16, 0.0, 32)]
+            whole = grow()
+            monkeypatch.setattr(H, "PIECE_ROWS", 300)
+            assert grow() == whole
+            monkeypatch.undo()
 
 
 def test_trees_scored_in_pairs_give_the_leaves_they_walk_to(monkeypatch):
