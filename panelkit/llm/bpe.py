@@ -31,6 +31,8 @@ SHORTEST, LONGEST = 64, 8192
 BITMAP_BITS = 1 << 26  # 8 MB, whatever the number of shared chunks
 PROBES = 3
 CACHED_WORDS = 300_000
+#: Texts of an Arrow batch that are copied at once.
+COPIED_ROWS = 1_024
 
 SEGMENTS = T.ArrayType(T.StructType([
     T.StructField("ids", T.BinaryType()), T.StructField("chunk", T.BinaryType()), T.StructField("text", T.BinaryType())]))
@@ -204,9 +206,16 @@ def _bits(digest: bytes) -> list[int]:
     return [int.from_bytes(digest[4 * k : 4 * k + 4], "little") % BITMAP_BITS for k in range(PROBES)]
 
 
+def _pieces(texts: pa.Array) -> Iterator[W.Piece]:
+    """``W.pieces`` without a copy of the whole column: a worker holds one of some rows."""
+    for start in range(0, len(texts), COPIED_ROWS):
+        for piece in W.pieces(texts.slice(start, COPIED_ROWS)):
+            yield W.Piece(start + piece.first, piece.data, piece.offsets)
+
+
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for piece in W.pieces(batch.column(0)):
+        for piece in _pieces(batch.column(0)):
             out = []
             for k, ends in enumerate(chunk_ends(piece)):
                 start = int(piece.offsets[k])
@@ -237,7 +246,7 @@ def _shared_bitmap(texts: DataFrame) -> Broadcast:
 
 def _plans(batch: pa.RecordBatch, column: str, bitmap: np.ndarray) -> Iterator[tuple[int, list[_Plan], list[bool]]]:
     """First row, plans, and which of them need a shared chunk, piece by piece."""
-    for piece in W.pieces(batch.column(column)):
+    for piece in _pieces(batch.column(column)):
         plans, open_ = [], []
         for k, ends in enumerate(chunk_ends(piece)):
             cuts = [int(piece.offsets[k]), *ends]

@@ -70,3 +70,15 @@ def test_query(spark, sf_dir):
     want = [(r.doc_id, n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(d.encode()).hexdigest())
             for r, (n, ids, d) in zip(docs, library([r.text for r in docs]))]
     assert [tuple(r) for r in got] == want
+
+
+def test_texts_are_copied_some_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from panelkit.llm import bpe as B
+
+    texts = pa.array(["a b", None, "", "c" * 40, *[f"text {k}" for k in range(30)]])
+    monkeypatch.setattr(B, "COPIED_ROWS", 7)
+    for column in (texts, texts.slice(3, 20), texts.slice(0, 0)):
+        found = {piece.first + k: piece.text(k).decode() for piece in B._pieces(column) for k in range(len(piece))}
+        assert found == {k: t or "" for k, t in enumerate(column.to_pylist())}

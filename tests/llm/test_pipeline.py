@@ -74,3 +74,18 @@ def test_odd_rows_pass_every_stage(spark, sf_dir):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert {r.doc_id for r in docs.collect()} <= {None, 3, 4, 5}
+
+
+def test_tables_of_finished_stages_go(spark, sf_dir):
+    """Only what the last stage gave is left in the work folder; tables that others wrote there stay."""
+    from pathlib import Path
+
+    from panelkit import session
+
+    folder = lambda: set(Path(session.work_folder(spark).removeprefix("file://"), "panelkit", spark.sparkContext.applicationId).iterdir())
+    other = session.materialise(spark.range(3), "other")
+    before = folder()
+    found = pipeline.run(spark, sf_dir)
+    left = folder() - before
+    assert len(left) == 1 and left.pop().name.startswith("pipeline-bpe") and before <= folder()
+    assert found.count() > 0 and other.count() == 3
